@@ -98,10 +98,12 @@ def _codes(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, list[tup
     return codes, list(uniques.itertuples(index=False, name=None))
 
 
-def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None) -> DataFrame:
+def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None,
+                 weight: str | None = None) -> DataFrame:
     """(keys, d, part, vals): flattened pieces of the sums of each group, merged once.
 
-    Pieces of one group may still come in several rows; ``assemble`` adds them up.
+    Pieces of one group may still come in several rows; ``assemble`` adds them up. A row with
+    weight w counts as w equal rows.
     """
     keys = list(keys)
     schema = df.schema
@@ -132,12 +134,16 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
             ys = _as_matrix(batch.column("__y")) if y else np.zeros((len(xs), 0))
             left = np.hstack([np.ones((len(xs), 1)), xs])
             right = np.hstack([left, ys])
+            squares = ys ** 2
+            if weight:
+                w = batch.column("__w").to_numpy(zero_copy_only=False)[:, None]
+                left, squares = left * w, squares * w
             codes, tuples = _codes(batch, keys)
             order = np.argsort(codes, kind="stable")
             bounds = np.searchsorted(codes[order], np.arange(len(tuples) + 1))
             for g, key in enumerate(tuples):
                 rows = order[bounds[g]:bounds[g + 1]]
-                m, yy = left[rows].T @ right[rows], (ys[rows] ** 2).sum(axis=0)
+                m, yy = left[rows].T @ right[rows], squares[rows].sum(axis=0)
                 slot = sums.get((key, xs.shape[1]))
                 if slot is None:
                     sums[(key, xs.shape[1])] = [m, yy]
@@ -181,6 +187,8 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
     cols = [F.col(k) for k in keys] + [F.col(x).cast("array<double>").alias("__x")]
     if y:
         cols.append(F.col(y).cast("array<double>").alias("__y"))
+    if weight:
+        cols.append(F.col(weight).cast("double").alias("__w"))
     partial = df.select(*cols).mapInArrow(fold, ddl)
     return partial.repartition(*[F.col(k) for k in keys], "part").mapInArrow(merge, ddl)
 
