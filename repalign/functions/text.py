@@ -14,8 +14,8 @@ COLORS = ("red", "blue", "green", "yellow", "orange", "purple", "pink", "black",
 SIZES = ("large", "small", "big", "tiny", "huge", "little")
 POSITIONS = ("left", "right", "top", "bottom", "center", "middle", "above", "below", "beside", "near")
 NOT_OBJECTS = ("a", "an", "the", "is", "are", "and", "or", "of", "in")
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
-PUNCTUATION = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+PUNCTUATION = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE = r"[^.!?\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][^.!?]*"
 FULL_LENGTH, FULL_SENTENCES = 50.0, 3.0
 WEIGHTS = {"length": 0.3, "vocab": 0.3, "repetition": 0.2, "sentences": 0.2}

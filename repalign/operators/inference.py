@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import md5_draw, md5_key, pearson
 from ..functions.tails import correlation_p, mann_whitney_p, student_p
+from ..session import cut_lineage
 from .moments import moment_parts, per_group
-from .order import average_rank, exact_quantiles, md5_bucket, ordered_position, position_by_value, value_bucket
+from .order import average_rank, average_ranks, exact_quantiles, md5_bucket, ordered_position, position_by_value, value_bucket
 from .similarity import linear_cka_value
 
 # Null and observed statistics are sums in different orders; this much is rounding.
@@ -98,7 +99,7 @@ def bootstrap_rsa(pairs: DataFrame, keys: Sequence[str], a: str, b: str, reps: i
     rows = drawn.unionByName(copies)
     group = [*keys, "rep"]
     if method == "spearman":
-        rows = average_rank(average_rank(rows, group, "a", "__ra", "w"), group, "b", "__rb", "w")
+        rows = average_ranks(cut_lineage(rows), group, {"a": "__ra", "b": "__rb"}, "w")
         rows = rows.select(*group, F.col("__ra").alias("a"), F.col("__rb").alias("b"), "w")
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")
@@ -195,11 +196,11 @@ def permutation_test_rsa(pairs: DataFrame, keys: Sequence[str], a: str, b: str,
     keys = list(keys)
     rows = pairs.select(*keys, "i", "j", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     if method == "spearman":
-        rows = average_rank(average_rank(rows, keys, "a", "__ra"), keys, "b", "__rb")
+        rows = average_ranks(cut_lineage(rows), keys, {"a": "__ra", "b": "__rb"})
         rows = rows.select(*keys, "i", "j", F.col("__ra").alias("a"), F.col("__rb").alias("b"))
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")
-    rows = standardised(rows, keys, ["a", "b"])
+    rows = cut_lineage(standardised(rows, keys, ["a", "b"]))
     null, observed = permuted_rsa(rows.drop("b"), rows.drop("a"), keys, [], "a", "b", reps, seed)
     return p_value(null, observed, keys, plus_one=plus_one)
 
@@ -368,7 +369,7 @@ def fdr_summary(adjusted: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
 def correlate(df: DataFrame, keys: Sequence[str], x: str, y: str, method: str = "spearman", with_p: bool = True) -> DataFrame:
     """r, n and p of two columns per group (I8)."""
     if method == "spearman":
-        df = average_rank(average_rank(df, keys, x, "__rx"), keys, y, "__ry")
+        df = average_ranks(df, keys, {x: "__rx", y: "__ry"})
         x, y = "__rx", "__ry"
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")
@@ -420,8 +421,7 @@ def rdm_ceiling(cells: DataFrame, keys: Sequence[str], subject: str, value: str,
     rows = leave_one_out(cells, [*keys, "i", "j"], value, "__loo", "__full")
     cols = [value, "__loo", "__full"]
     if method == "spearman":
-        for c in list(cols):
-            rows = average_rank(rows, [*keys, subject], c, f"{c}_r")
+        rows = average_ranks(cut_lineage(rows), [*keys, subject], {c: f"{c}_r" for c in cols})
         cols = [f"{c}_r" for c in cols]
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")

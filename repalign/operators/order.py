@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import col, md5_key
 
 # Buckets per power of two; the number of buckets of a group is at most 2 * 2098 * this.
-STEPS_PER_OCTAVE = 4096
+STEPS_PER_OCTAVE = 1024
+# Buckets with more rows are ranked without gathering them; at most n / HEAVY_BUCKET exist.
+HEAVY_BUCKET = 4_000_000
 
 
 def value_bucket(v: str | Column) -> Column:
@@ -78,18 +80,45 @@ def position_by_md5(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed
     return res.drop("__h")
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-                 weight: str | None = None) -> DataFrame:
-    """Rank with ties sharing their mean rank (W2), optionally over weighted rows.
+def _add_rank(rows: DataFrame, base: DataFrame, keys: list[str], value: str, out: str, weight: str | None) -> DataFrame:
+    w = F.col(weight) if weight else F.lit(1.0)
+    buckets = (base.groupBy(*keys, value_bucket(value).alias("__b"))
+               .agg(F.sum(w).alias("__c"), F.count(F.lit(1)).alias("__k"))
+               .withColumn("__o", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")))
+    heavy = F.broadcast(buckets.where(F.col("__k") > HEAVY_BUCKET).select(*keys, "__b", F.col("__o").alias("__h")))
+    light = buckets.where(F.col("__k") <= HEAVY_BUCKET).select(*keys, "__b", "__o")
+    on = [*keys, "__b"]
+    rows = rows.withColumn("__b", value_bucket(value))
+    cols = [c for c in rows.columns if c != "__b"] + [out]
+
+    inside = Window.partitionBy(*on).orderBy(value)
+    same = Window.partitionBy(*on, value)
+    few = (rows.join(heavy, on, "left").where(F.col("__h").isNull()).drop("__h").join(light, on)
+           .withColumn(out, F.col("__o") + F.sum(w).over(inside) - (F.sum(w).over(same) - 1) / 2))
+
+    many = rows.join(heavy, on)
+    counted = many.groupBy(*on, "__h", value).agg(F.sum(w).alias("__m"))
+    ranked = counted.select(*on, value, (F.col("__h") + F.sum("__m").over(inside) - (F.col("__m") - 1) / 2).alias(out))
+    return few.select(*cols).unionByName(many.drop("__h").join(ranked, [*on, value]).select(*cols))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], weight: str | None = None) -> DataFrame:
+    """Ranks of several columns, ties sharing their mean rank (W2), optionally over weighted rows.
 
-    Equal values are counted first, so a value shared by most rows costs one row from then on.
+    Each column costs one small aggregate and one shuffle. Buckets of more than HEAVY_BUCKET
+    rows, of which there can be only few, never meet in one task: their values are counted
+    before they are ordered, and the rows fetch their rank by a join that AQE may split.
+    ``df`` is read once per column and more; hand in a written table if it is dear to compute.
     """
-    keys = list(keys)
-    mass = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = df.groupBy(*keys, value).agg(mass.cast("double").alias("__c"))
-    ranked = running_totals(counted, keys, [F.col(value)], value_bucket(value), {"__r": F.col("__c")})
-    ranked = ranked.select(*keys, value, (F.col("__r") - F.col("__c") + (F.col("__c") + 1) / 2).alias(out))
-    return df.join(ranked, [*keys, value])
+    out = df
+    for value, name in columns.items():
+        out = _add_rank(out, df, list(keys), value, name, weight)
+    return out
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
+                 weight: str | None = None) -> DataFrame:
+    return average_ranks(df, keys, {value: out}, weight)
 
 
 def small_group_rank(keys: Sequence[str], value: str | Column) -> Column:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import pearson
 from ..functions.vectors import with_unit_rows
+from ..session import cut_lineage
 from .moments import Moments, moment_parts, per_group
-from .order import average_rank, exact_quantiles
+from .order import average_rank, average_ranks, exact_quantiles
 from .pairs import ROWS_PER_BLOCK, euclidean_block, pack_blocks, rdm, tile_map
 
 RSA_METHODS = ("spearman", "pearson")
@@ -106,7 +107,7 @@ def compare_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, method:
     if method not in RSA_METHODS:
         raise ValueError(f"unknown method: {method}")
     if method == "spearman":
-        pairs = average_rank(average_rank(pairs, keys, a, "__ra"), keys, b, "__rb")
+        pairs = average_ranks(cut_lineage(pairs.select(*keys, a, b)), keys, {a: "__ra", b: "__rb"})
         a, b = "__ra", "__rb"
     return pairs.groupBy(*keys).agg(pearson(a, b).alias("rsa"), F.count(F.lit(1)).alias("n_pairs"))
 
@@ -139,7 +140,7 @@ def rsa_matrix(df: DataFrame, keys: Sequence[str], item: str, left: Sequence[str
     cells = segment_rdms(df, keys, item, names, metric)
     value = "d"
     if method == "spearman":
-        cells, value = average_rank(cells, [*keys, "segment"], "d", "__rank"), "__rank"
+        cells, value = average_rank(cut_lineage(cells), [*keys, "segment"], "d", "__rank"), "__rank"
     at = F.element_at(F.create_map(*[c for p, s in enumerate(names) for c in (F.lit(s), F.lit(p))]), F.col("segment"))
     rows = (cells.groupBy(*keys, "i", "j")
             .agg(F.sort_array(F.collect_list(F.struct(at.alias("p"), F.col(value).alias("v")))).alias("__s"))
@@ -170,7 +171,7 @@ def kernel_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, si
     keys = list(keys)
     blocks = pack_blocks(df, keys, item, [x, y], rows_per_block)
     if sigma is None:
-        pairs = rdm(df, keys, item, {"dx": x, "dy": y}, "euclidean", rows_per_block)
+        pairs = cut_lineage(rdm(df, keys, item, {"dx": x, "dy": y}, "euclidean", rows_per_block))
         mid = (exact_quantiles(pairs, keys, "dx", {"mx": 0.5})
                .join(exact_quantiles(pairs, keys, "dy", {"my": 0.5}), keys)
                .withColumn("sigma", (F.col("mx") + F.col("my")) / 2))
