@@ -64,7 +64,8 @@ def captions_in_order(annotations: DataFrame, image: str, order: Sequence[str],
     bucket = value_bucket(order[-1])
     if len(order) == 2:  # (split number, position in the split's file)
         bucket = F.col(order[0]).cast("long") * (1 << 24) + bucket
-    return ordered_position(rows, [image], [F.col(c) for c in order], bucket, "pos", "n_captions")
+    return ordered_position(rows, [image], [F.col(c) for c in order], bucket, "pos", "n_captions").select(
+        image, "pos", "caption", "n_captions")
 
 
 def first_caption(annotations: DataFrame, image: str, order: Sequence[str], text: str) -> DataFrame:
