@@ -113,8 +113,14 @@ def crop_rectangle(width: Column, height: Column, box: Column) -> Column:
                     ((right > left) & (bottom > top)).alias("valid"))
 
 
+def zero_padded(number: str | Column, digits: int) -> Column:
+    """A non-negative number with leading zeros; longer numbers are kept whole."""
+    text = col(number).cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
 def image_path(split: str | Column, image_id: str | Column, known: tuple[str, ...]) -> Column:
     """'split/000000000123.jpg'; an unknown split is an error (P5)."""
     s = col(split)
-    return F.when(s.isin(*known), F.format_string("%s/%012d.jpg", s, col(image_id).cast("long"))).otherwise(
+    return F.when(s.isin(*known), F.concat(s, F.lit("/"), zero_padded(image_id, 12), F.lit(".jpg"))).otherwise(
         F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce(s, F.lit("null")))))

@@ -99,7 +99,7 @@ def with_quality_parts(df: DataFrame, text: str) -> DataFrame:
     n = F.size("__w")
     tri = F.transform(F.slice("__w", 1, F.greatest(n - 2, F.lit(0))),
                       lambda x, i: F.concat_ws(" ", x, F.get("__w", i + 1), F.get("__w", i + 2)))
-    w = w.withColumn("__t", F.array_sort(tri))
+    w = w.withColumn("__t", F.sort_array(tri))
     repeated = F.size(F.filter("__t", lambda x, i: (x == F.get("__t", i + 1)) & ((i == 0) | (x != F.get("__t", i - 1)))))
     return (w.withColumn("n_words", n)
             .withColumn("ttr", F.when(n > 0, F.size(F.array_distinct(F.transform("__w", F.lower))) / n).otherwise(0.0))

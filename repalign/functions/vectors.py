@@ -27,12 +27,17 @@ def norm(v: str | Column) -> Column:
     return F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def spread_scalar(v: str | Column, by: Column) -> Column:
+    """``by`` once per element of v. A scalar used inside a lambda would be computed per element."""
+    return F.array_repeat(by, F.size(col(v)))
+
+
 def shift(v: str | Column, by: Column) -> Column:
-    return F.transform(col(v), lambda x: x - by)
+    return F.zip_with(col(v), spread_scalar(v, by), lambda x, b: x - b)
 
 
 def scale(v: str | Column, by: Column) -> Column:
-    return F.transform(col(v), lambda x: x / by)
+    return F.zip_with(col(v), spread_scalar(v, by), lambda x, b: x / b)
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -67,12 +72,10 @@ def with_zscored_rows(df, vec: str, out: str):
 
 def softmax_top_k(df, logits: str, k: int, out: str):
     """The k largest softmax entries with their ids, largest first, first id on ties."""
-    tmp, z = f"__{out}_e", f"__{out}_z"
-    return (df.withColumn(tmp, shift(logits, F.array_max(logits)))
-              .withColumn(tmp, F.transform(tmp, F.exp))
-              .withColumn(z, total(tmp))
-              .withColumn(tmp, F.transform(tmp, lambda e, i: F.struct((e / F.col(z)).alias("prob"),
-                                                                      (-i).alias("neg"))))
+    tmp = f"__{out}_e"
+    return (df.withColumn(tmp, F.transform(shift(logits, F.array_max(logits)), F.exp))
+              .withColumn(tmp, scale(tmp, total(tmp)))
+              .withColumn(tmp, F.transform(tmp, lambda p, i: F.struct(p.alias("prob"), (-i).alias("neg"))))
               .withColumn(tmp, F.slice(F.sort_array(tmp, asc=False), 1, k))
               .withColumn(out, F.transform(tmp, lambda s: F.struct((-s["neg"]).alias("id"), s["prob"].alias("prob"))))
-              .drop(tmp, z))
+              .drop(tmp))

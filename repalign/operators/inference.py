@@ -19,22 +19,39 @@ from .similarity import linear_cka_value
 
 # Null and observed statistics are sums in different orders; this much is rounding.
 SLACK = 1e-12
+REPLICATES_PER_CHUNK = 64
 ALTERNATIVES = ("two-sided", "greater", "less")
 STATISTICS = ("mean_diff", "rank_sum")
 
 
-def replicates(df: DataFrame, reps: int) -> DataFrame:
-    """Every row once per replicate 0..reps-1."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+def replicates(df: DataFrame, reps: int, by: Sequence[str]) -> DataFrame:
+    """Every row once per replicate 0..reps-1.
+
+    Rows are spread by ``by`` and a chunk of replicates before they multiply: the partitions
+    of the input were sized for one copy of it.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = -(-reps // REPLICATES_PER_CHUNK)
+    wide = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else df.withColumn("__chunk", F.lit(0))
+    first = F.col("__chunk") * REPLICATES_PER_CHUNK
+    last = F.least(first + REPLICATES_PER_CHUNK, F.lit(reps)) - 1
+    return (wide.repartition(width, *[F.col(c) for c in by], "__chunk")
+            .withColumn("rep", F.explode(F.sequence(first, last))).drop("__chunk"))
 
 
 # ---- resampling --------------------------------------------------------------------------
 
-def bootstrap_counts(df: DataFrame, keys: Sequence[str], item: str, reps: int, seed: int = 42) -> DataFrame:
-    """(keys, rep, item, m): how often each item is drawn in n-of-n resampling; undrawn items are absent."""
+def bootstrap_counts(df: DataFrame, keys: Sequence[str], item: str, reps: int, seed: int = 42,
+                     carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, rep, item, m): how often each item is drawn in n-of-n resampling; undrawn items are absent.
+
+    ``carry`` names further columns of ``df`` to bring along. Only place numbers are shuffled
+    for the draws; items join once, after the draws of a place are counted.
+    """
     keys = list(keys)
-    placed = position_by_value(df.select(*keys, item), keys, item, (), "__p", "__n")
-    draws = (replicates(placed.select(*keys, "__p", "__n"), reps)
+    placed = position_by_value(df.select(*keys, item, *carry), keys, item, (), "__p", "__n")
+    draws = (replicates(placed.select(*keys, "__p", "__n"), reps, [*keys, "__p"])
              .select(*keys, "rep", md5_draw(seed, F.col("__n"), "rep", "__p").alias("__p"))
              .groupBy(*keys, "rep", "__p").agg(F.count(F.lit(1)).alias("m")))
     return draws.join(placed.drop("__n"), [*keys, "__p"]).drop("__p")
@@ -68,7 +85,7 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], item: str, value: str, reps
                  statistic: str = "mean", level: float = 0.95, seed: int = 42) -> DataFrame:
     """observed, ci_low, ci_high and se of a statistic."""
     keys = list(keys)
-    counts = bootstrap_counts(df, keys, item, reps, seed).join(df.select(*keys, item, value), [*keys, item])
+    counts = bootstrap_counts(df, keys, item, reps, seed, [value])
     if statistic == "median":
         rows = counts.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
         stats = exact_quantiles(rows, [*keys, "rep"], value, {"stat": 0.5})
@@ -116,8 +133,7 @@ def bootstrap_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str,
                   level: float = 0.95, seed: int = 42) -> DataFrame:
     """Interval of linear CKA under resampling of rows (I3): Gram matrices with multiplicities."""
     keys = list(keys)
-    counts = bootstrap_counts(df, keys, item, reps, seed)
-    rows = counts.join(df.select(*keys, item, F.concat(x, y).alias("__z")), [*keys, item])
+    rows = bootstrap_counts(df.select(*keys, item, F.concat(x, y).alias("__z")), keys, item, reps, seed, ["__z"])
     return interval(_cka_per_group(rows, [*keys, "rep"], dx, dy, "m"), keys, "stat", level)
 
 
@@ -140,7 +156,7 @@ def permutation_table(df: DataFrame, keys: Sequence[str], item: str, reps: int,
     keys = list(keys)
     items = df.select(*keys, item)
     home = position_by_value(items, keys, item, (), "__p", "__n").drop("__n")
-    moved = replicates(items, reps).withColumn("__h", md5_key(seed, "rep", item))
+    moved = replicates(items, reps, [*keys, item]).withColumn("__h", md5_key(seed, "rep", item))
     moved = ordered_position(moved, [*keys, "rep"], [F.col("__h"), F.col(item)], md5_bucket(F.col("__h")), "__p", "__n")
     return (moved.select(*keys, "rep", "__p", F.col(item).alias("other")).join(home, [*keys, "__p"])
             .select(*keys, "rep", item, "other"))
@@ -252,7 +268,7 @@ def shuffled_labels(df: DataFrame, label: str, reps: int, seed: int = 42) -> Dat
     """
     labels = df.select(label).distinct()
     home = labels.withColumn("__p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(label)))
-    moved = replicates(labels, reps).withColumn("__p", F.row_number().over(
+    moved = replicates(labels, reps, [label]).withColumn("__p", F.row_number().over(
         Window.partitionBy("rep").orderBy(md5_key(seed, "rep", label), F.col(label))))
     perm = moved.withColumnRenamed(label, "other").join(home, "__p").drop("__p")
     return df.join(perm, label).drop(label).withColumnRenamed("other", label)
@@ -279,7 +295,7 @@ def permutation_test(df: DataFrame, keys: Sequence[str], item: str, in_first: Co
 
     observed = rows.groupBy(*keys).agg(stat(F.col("__a")).alias("observed"),
                                        F.sum(F.col("__a").cast("int")).alias("__na"))
-    moved = replicates(rows.drop("__a"), reps).withColumn("__h", md5_key(seed, "rep", item))
+    moved = replicates(rows.drop("__a"), reps, [*keys, item]).withColumn("__h", md5_key(seed, "rep", item))
     moved = ordered_position(moved, [*keys, "rep"], [F.col("__h"), F.col(item)], md5_bucket(F.col("__h")), "__p", "__n")
     null = (moved.join(observed.select(*keys, "__na"), keys).groupBy(*keys, "rep")
             .agg(stat(F.col("__p") < F.col("__na")).alias("stat")))

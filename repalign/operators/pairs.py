@@ -20,14 +20,17 @@ ROWS_PER_BLOCK = 256
 
 def pack_blocks(df: DataFrame, keys: Sequence[str], item: str, vectors: Sequence[str],
                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(keys, blk, n_blk, ids, one flat array per vector column); hashing spreads rows evenly."""
+    """(keys, blk, n_blk, ids, one flat array per vector column); hashing spreads rows evenly.
+
+    Rows are sorted inside a block, so a block computed again after a loss is the same block.
+    """
     keys = list(keys)
     if not keys:
         raise ValueError("give at least one group key (a constant will do)")
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_blk"))
     return (df.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64(item), F.col("n_blk")).cast("int"))
             .groupBy(*keys, "n_blk", "blk")
-            .agg(F.collect_list(F.struct(F.col(item).alias("id"), *vectors)).alias("__rows"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(item).alias("id"), *vectors))).alias("__rows"))
             .select(*keys, "n_blk", "blk", F.col("__rows.id").alias("ids"),
                     *[F.flatten(F.col("__rows").getField(v)).cast("array<double>").alias(v) for v in vectors]))
 
@@ -47,7 +50,8 @@ def tile_map(blocks: DataFrame, keys: Sequence[str], vectors: Sequence[str], ker
              extra: DataFrame | None = None, extra_cols: Sequence[str] = ()) -> DataFrame:
     """Run ``kernel(same, ids_a, mats_a, ids_b, mats_b, extra) -> {column: numpy array}`` on all block pairs.
 
-    ``fields`` lists the kernel's columns as DDL. ``extra`` adds per-key scalars to each tile.
+    ``fields`` lists the kernel's columns as DDL. ``extra`` adds per-key scalars to each tile;
+    the kernel also gets the tile numbers ti and tj.
     """
     keys = list(keys)
     left = _side(blocks, keys, vectors, True, True)
@@ -72,8 +76,11 @@ def cross_tile_map(left: DataFrame, right: DataFrame, keys: Sequence[str], vecto
 def _run_tiles(tiles, keys, vectors, kernel, fields, extra_cols, schema):
     key_ddl = "".join(f"`{k}` {schema[k].dataType.simpleString()}, " for k in keys)
     wanted = [*keys, "ti", "tj", "ids_a", "ids_b"] + [f"{v}_{t}" for v in vectors for t in "ab"] + extra_cols
-    spark = tiles.sparkSession
-    out_fields = [p.strip().split(" ")[0] for p in fields.split(",")]
+    out_types = dict(p.strip().split(" ") for p in fields.split(","))
+    out_fields = list(out_types)
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+             "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+    types = {f: arrow[t] for f, t in out_types.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,14 +90,14 @@ def _run_tiles(tiles, keys, vectors, kernel, fields, extra_cols, schema):
                 ids_b = cols["ids_b"][r].values.to_numpy(zero_copy_only=False)
                 mats_a = {v: cols[f"{v}_a"][r].values.to_numpy(zero_copy_only=False).reshape(len(ids_a), -1) for v in vectors}
                 mats_b = {v: cols[f"{v}_b"][r].values.to_numpy(zero_copy_only=False).reshape(len(ids_b), -1) for v in vectors}
-                extra = {c: cols[c][r].as_py() for c in extra_cols}
-                same = cols["ti"][r].as_py() == cols["tj"][r].as_py()
+                extra = {c: cols[c][r].as_py() for c in ("ti", "tj", *extra_cols)}
+                same = extra["ti"] == extra["tj"]
                 res = kernel(same, ids_a, mats_a, ids_b, mats_b, extra)
                 size = len(res[out_fields[0]])
                 if not size:
                     continue
                 take = pa.array(np.zeros(size, dtype=np.int64) + r)
-                arrays = [cols[k].take(take) for k in keys] + [pa.array(res[f]) for f in out_fields]
+                arrays = [cols[k].take(take) for k in keys] + [pa.array(res[f], types[f]) for f in out_fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *out_fields])
 
     return tiles.select(*wanted).mapInArrow(run, key_ddl + fields)

@@ -17,8 +17,9 @@ from ..functions.scalars import pearson
 from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import Moments, moment_parts, per_group
-from .order import average_rank, average_ranks, exact_quantiles
+from .order import average_ranks, exact_quantiles
 from .pairs import ROWS_PER_BLOCK, euclidean_block, pack_blocks, rdm, tile_map
+from .rankpairs import pair_correlations
 
 RSA_METHODS = ("spearman", "pearson")
 CKA_METHODS = ("linear", "kernel")
@@ -114,8 +115,9 @@ def compare_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, method:
 
 def rsa(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, method: str = "spearman",
         metric: str = "correlation") -> DataFrame:
-    """RSA of two vectors of the same items; both distances come from one tile pass."""
-    return compare_pairs(rdm(df, keys, item, {"dx": x, "dy": y}, metric), keys, "dx", "dy", method)
+    """(keys, rsa, n_pairs): RSA of two vectors of the same items; both distances come from one tile."""
+    r = pair_correlations(df, keys, item, [x, y], [(0, 1)], method, metric)
+    return r.select(*keys, F.col("r").alias("rsa"), "n_pairs")
 
 
 def segment_rdms(df: DataFrame, keys: Sequence[str], item: str, segments: Sequence[str],
@@ -128,38 +130,12 @@ def segment_rdms(df: DataFrame, keys: Sequence[str], item: str, segments: Sequen
 
 def rsa_matrix(df: DataFrame, keys: Sequence[str], item: str, left: Sequence[str], right: Sequence[str],
                method: str = "spearman", metric: str = "correlation") -> DataFrame:
-    """RSA of every left vector column with every right one.
-
-    Each RDM is ranked once; ranks of one pair are gathered into a short array and all
-    correlations are read off a single Gram pass over the pairs.
-    """
-    if method not in RSA_METHODS:
-        raise ValueError(f"unknown method: {method}")
-    keys = list(keys)
+    """RSA of every left vector column with every right one (M6, J13): all distances of a pair share one tile."""
     names = [*left, *right]
-    cells = segment_rdms(df, keys, item, names, metric)
-    value = "d"
-    if method == "spearman":
-        cells, value = average_rank(cut_lineage(cells), [*keys, "segment"], "d", "__rank"), "__rank"
-    at = F.element_at(F.create_map(*[c for p, s in enumerate(names) for c in (F.lit(s), F.lit(p))]), F.col("segment"))
-    rows = (cells.groupBy(*keys, "i", "j")
-            .agg(F.sort_array(F.collect_list(F.struct(at.alias("p"), F.col(value).alias("v")))).alias("__s"))
-            .select(*keys, F.transform("__s", lambda s: s["v"]).alias("__z")))
-
-    def solve(groups):
-        (g,) = groups.values()
-        c = g.centred_xx()
-        out = {"left": [], "right": [], "rsa": []}
-        for p, a in enumerate(left):
-            for q, b in enumerate(right):
-                q_at = len(left) + q
-                den = np.sqrt(max(c[p, p], 0) * max(c[q_at, q_at], 0))
-                out["left"].append(a)
-                out["right"].append(b)
-                out["rsa"].append(c[p, q_at] / den if den > 0 else None)
-        return out
-
-    return per_group(moment_parts(rows, keys, "__z"), keys, [], solve, "left string, right string, rsa double")
+    cells = [(p, len(left) + q) for p in range(len(left)) for q in range(len(right))]
+    r = pair_correlations(df, keys, item, names, cells, method, metric)
+    label = F.array(*[F.lit(n) for n in names])
+    return r.select(*keys, F.get(label, F.col("a")).alias("left"), F.get(label, F.col("b")).alias("right"), F.col("r").alias("rsa"))
 
 
 def kernel_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, sigma: float | None = None,
@@ -171,10 +147,11 @@ def kernel_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, si
     keys = list(keys)
     blocks = pack_blocks(df, keys, item, [x, y], rows_per_block)
     if sigma is None:
-        pairs = cut_lineage(rdm(df, keys, item, {"dx": x, "dy": y}, "euclidean", rows_per_block))
-        mid = (exact_quantiles(pairs, keys, "dx", {"mx": 0.5})
-               .join(exact_quantiles(pairs, keys, "dy", {"my": 0.5}), keys)
-               .withColumn("sigma", (F.col("mx") + F.col("my")) / 2))
+        pairs = rdm(df, keys, item, {"dx": x, "dy": y}, "euclidean", rows_per_block)
+        both = F.explode(F.array(F.struct(F.lit("x").alias("s"), F.col("dx").alias("d")),
+                                 F.struct(F.lit("y").alias("s"), F.col("dy").alias("d")))).alias("c")
+        mid = (exact_quantiles(cut_lineage(pairs.select(*keys, both).select(*keys, "c.s", "c.d")), [*keys, "s"], "d", {"mid": 0.5})
+               .groupBy(*keys).agg(F.avg("mid").alias("sigma")))
         band = mid.select(*keys, F.when(F.col("sigma") < 1e-10, 1.0).otherwise(F.col("sigma")).alias("sigma"))
     else:
         band = df.select(*keys).distinct().withColumn("sigma", F.lit(float(sigma)))

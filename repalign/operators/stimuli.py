@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import col, md5_key
+from ..functions.scalars import col, md5_key, zero_padded
 from .order import keep_first, ordered_position, position_by_value, value_bucket
 
 # Splits, file patterns, prompts and option lists.
 SPLITS = ("train2017", "val2017", "train2014", "val2014")
 IMAGE_DIRS = SPLITS + ("images/train2017", "images/val2017")
-ITEM_FILE_FORMATS = ("nsd%05d.png", "nsd-%05d.png", "stimuli_%05d.png", "%d.png")
+ITEM_FILE_FORMATS = (("nsd", 5), ("nsd-", 5), ("stimuli_", 5), ("", 0))  # prefix, digits; all end in .png
 COLOR_OPTIONS = ("red", "green", "blue", "yellow", "white", "black", "gray", "brown")
 OBJECT_PROMPT = "What is the main object in this image? Answer with a single word or short phrase."
 OPTION_PROMPT = ("Which of these best describes the main object? Choices: ", ". Answer with one of the choices.")
@@ -96,7 +96,7 @@ def with_options(df: DataFrame, truth: str, names: Column, item: str, distractor
     """Add ``options`` and ``correct_idx``: truth and distinct distractors in md5 order."""
     def ranked(values: Column, salt: int) -> Column:
         keyed = F.transform(values, lambda c: F.struct(md5_key(salt, item, c).alias("h"), c.alias("c")))
-        return F.transform(F.array_sort(keyed), lambda s: s["c"])
+        return F.sort_array(keyed).getField("c")
 
     return (df.withColumn("__names", names)
             .withColumn("__others", F.filter("__names", lambda c: c != F.col(truth)))
@@ -121,9 +121,9 @@ def resolve_path(candidates: DataFrame, files: DataFrame, item: str) -> DataFram
 
 def candidate_paths(items: DataFrame, item: str, ext: str) -> DataFrame:
     """All places an image may be, best first: local file names, then the external folders."""
-    local = [F.struct(F.lit(p).alias("priority"), F.format_string(f, F.col(item)).alias("path"))
-             for p, f in enumerate(ITEM_FILE_FORMATS)]
-    outside = [F.struct(F.lit(len(local) + p).alias("priority"), F.format_string(f"{d}/%012d.jpg", F.col(ext)).alias("path"))
+    local = [F.struct(F.lit(p).alias("priority"), F.concat(F.lit(prefix), zero_padded(item, digits), F.lit(".png")).alias("path"))
+             for p, (prefix, digits) in enumerate(ITEM_FILE_FORMATS)]
+    outside = [F.struct(F.lit(len(local) + p).alias("priority"), F.concat(F.lit(f"{d}/"), zero_padded(ext, 12), F.lit(".jpg")).alias("path"))
                for p, d in enumerate(IMAGE_DIRS)]
     usable = F.when(F.col(ext) > 0, F.array(*local, *outside)).otherwise(F.array(*local))
     return items.select(item, F.explode(usable).alias("c")).select(item, "c.priority", "c.path")

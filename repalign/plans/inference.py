@@ -8,7 +8,7 @@ from ..functions.scalars import stars
 from ..operators import inference as I, order as O, pairs as P, ridge as G, similarity as S
 from .inputs import EMB, avg_rank, items, pair_distances, r_of, responses, segments, streams, student_sql, table, unit_rows, RESP
 from .registry import query
-from .similarity import SEG_RANKS, TWO, TWO_BY_LABEL, centred, VIS, subject_cells
+from .similarity import SEG_RANKS, TWO, TWO_BY_LABEL, centred, VIS
 
 DRAW = "(('0x' || substr(md5('42-' || r.r || '-' || p.p), 1, 8))::BIGINT % n)"
 

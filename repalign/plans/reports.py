@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pearson
-from ..operators import inference as I, order as O, ridge as G, similarity as S, summaries as R
+from ..operators import inference as I, order as O, rankpairs as K, ridge as G, similarity as S, summaries as R
+from ..session import cut_lineage
 from .inputs import EMB, FEAT, avg_rank, features, items, r_of, region_scores, response_vectors, segments, streams, student_sql, table
 from .registry import query
 from .similarity import SEG_RANKS
@@ -199,7 +200,7 @@ def attention(spark, d):
 
 @query("attention_distance", f"WITH {ATT}, k AS (SELECT layer, {avg_rank('weight', 'layer')} AS a, {avg_rank('dist', 'layer')} AS b FROM ap) SELECT layer, {r_of('a', 'b')} AS r, count(*) AS n FROM k GROUP BY layer", "r")
 def attention_distance(spark, d):
-    return I.correlate(attention(spark, d), ["layer"], "weight", "dist", with_p=False)
+    return I.correlate(cut_lineage(attention(spark, d).select("layer", "weight", "dist")), ["layer"], "weight", "dist", with_p=False)
 
 
 @query("attention_bins", f"WITH {ATT} SELECT layer, floor(dist) + 0.5 AS centre, avg(weight) AS weight, count(*) AS n FROM ap GROUP BY ALL", "centre weight")
@@ -215,17 +216,17 @@ def attention_near_far(spark, d):
 # ---- layers across models ----------------------------------------------------------------
 
 # Models are event types with 5, 6, .. layers; regions are items mod 3.
-MODELS = ("click", "error", "purchase", "scroll", "view")
+MODELS = ("click", "error", "purchase", "signup", "view")
 
 
 def model_scores(spark, d):
     names = F.array(*[F.lit(m) for m in MODELS])
     e = table(spark, d, "events").withColumn("m", F.array_position(names, F.col("event_type")).cast("int"))
     k = F.get_json_object("props", "$.k").cast("int")
-    return e.where("m > 0").groupBy(F.col("event_type").alias("model"), F.pmod("user_id", F.col("m") + 4).cast("int").alias("layer"), F.pmod(k, F.lit(3)).alias("roi")).agg(F.avg("value").alias("value"))
+    return e.groupBy(F.col("event_type").alias("model"), F.pmod("user_id", F.col("m") + 4).cast("int").alias("layer"), F.pmod(k, F.lit(3)).alias("roi")).agg(F.avg("value").alias("value"))
 
 
-MS = f"""ms AS (SELECT event_type AS model, (user_id % (list_position({list(MODELS)}, event_type) + 4))::INT AS layer, ((props->>'$.k')::INT % 3)::INT AS roi, avg(value) AS value FROM events WHERE event_type IN {MODELS} GROUP BY ALL),
+MS = f"""ms AS (SELECT event_type AS model, (user_id % (list_position({list(MODELS)}, event_type) + 4))::INT AS layer, ((props->>'$.k')::INT % 3)::INT AS roi, avg(value) AS value FROM events GROUP BY ALL),
     sz AS (SELECT model, max(layer) + 1 AS n FROM ms GROUP BY model)"""
 
 
@@ -259,8 +260,6 @@ def vector_difference_all(spark, d):
 @query("rsa_full_table")
 def rsa_full_table(spark, d):
     """Observed RSA, interval, p and ceiling per layer against the subject-mean RDM."""
-    from ..session import cut_lineage
-
     subjects = [f"S{s}" for s in range(6)]
     cells = cut_lineage(S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)] + subjects))
     mean = cells.where("segment LIKE 'S%'").groupBy("g", "i", "j").agg(F.avg("d").alias("b"))
@@ -268,7 +267,7 @@ def rsa_full_table(spark, d):
     keys = ["layer"]
     test = I.permutation_test_rsa(pairs.drop("g"), keys, "a", "b", 3)
     ci = I.bootstrap_rsa(pairs.drop("g"), keys, "a", "b", 3)
-    ceiling = I.rdm_ceiling(cells.where("segment LIKE 'S%'").withColumnRenamed("segment", "subject"), ["g"], "subject", "d", "pearson")
+    ceiling = K.rdm_ceiling(segments(spark, d), ["g"], "item_id", subjects, "pearson")
     out = test.join(ci, keys).withColumn("g", F.lit(0)).join(ceiling, "g")
     return out.select("layer", F.col("observed").alias("rsa"), "p", "ci_low", "ci_high", "upper", "lower")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import pearson
-from ..operators import inference as I, order as O, pairs as P, similarity as S, summaries as R
+from ..operators import order as O, pairs as P, rankpairs as K, similarity as S, summaries as R
 from .inputs import (EMB, SEG, avg_rank, items, pair_distances, r_of, segments, streams, student_sql, unit_rows, table)
 from .registry import query
 
@@ -88,10 +88,6 @@ def rsa_matrix_euclidean_pearson(spark, d):
                         "pearson", "euclidean").drop("g")
 
 
-def subject_cells(spark, d):
-    return S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)]).withColumnRenamed("segment", "subject")
-
-
 SUBJ = SEG_PAIRS + """, cells AS (SELECT segment AS subject, i, j, d, (sum(d) OVER c - d) / (count(*) OVER c - 1) AS loo,
     avg(d) OVER c AS full_mean FROM ps WHERE segment LIKE 'S%' WINDOW c AS (PARTITION BY i, j))"""
 
@@ -100,21 +96,20 @@ SUBJ = SEG_PAIRS + """, cells AS (SELECT segment AS subject, i, j, d, (sum(d) OV
     {avg_rank('full_mean', 'subject')} AS f FROM cells), s AS (SELECT subject, {r_of('a', 'f')} AS u, {r_of('a', 'l')} AS l FROM rk GROUP BY subject)
     SELECT avg(u) AS upper, avg(l) AS lower, count(*) AS n_subjects FROM s""", "upper lower")
 def rsa_noise_ceiling(spark, d):
-    return I.rdm_ceiling(subject_cells(spark, d), ["g"], "subject", "d").drop("g")
+    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)]).drop("g")
 
 
 @query("rsa_noise_ceiling_pearson", f"""WITH {SUBJ}, s AS (SELECT subject, {r_of('d', 'full_mean')} AS u, {r_of('d', 'loo')} AS l FROM cells GROUP BY subject)
     SELECT avg(u) AS upper, avg(l) AS lower, count(*) AS n_subjects FROM s""", "upper lower")
 def rsa_noise_ceiling_pearson(spark, d):
-    return I.rdm_ceiling(subject_cells(spark, d), ["g"], "subject", "d", "pearson").drop("g")
+    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)], "pearson").drop("g")
 
 
 @query("rank_reliability", f"""WITH {SEG_RANKS}, c AS (SELECT segment, r, (sum(r) OVER c - r) / (count(*) OVER c - 1) AS loo FROM rk
     WHERE segment LIKE 'S%' WINDOW c AS (PARTITION BY i, j)), s AS (SELECT segment, {r_of('r', 'loo')} AS r FROM c GROUP BY segment)
     SELECT avg(r) AS mean, stddev_pop(r) AS std, count(*) AS n FROM s""", "mean std")
 def rank_reliability(spark, d):
-    ranks = O.average_rank(subject_cells(spark, d), ["g", "subject"], "d", "r")
-    return I.rank_reliability(ranks.drop("d"), ["g"], "subject", "r").drop("g")
+    return K.rank_reliability(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)]).drop("g")
 
 
 @query("top1_retrieval", f"""WITH {UNITS} sim AS (SELECT a.item_id AS i, b.item_id AS j, list_inner_product(a.u, b.u) AS s FROM uv a, ut b),

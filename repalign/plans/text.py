@@ -8,6 +8,7 @@ from ..functions import scalars as C, text as T
 from ..operators import scoring as S
 from .inputs import ANSWERS, answers, table
 from .registry import query
+from ..session import spread
 
 B = chr(92)
 UNI = r"\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -29,7 +30,7 @@ def quoted(words) -> str:
 
 @query("normalize_answer", f"SELECT doc_id, md5({norm_sql('text')}) AS h FROM documents")
 def normalize_answer(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.normalise_answer("text").cast("binary")).alias("h"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.normalise_answer("text").cast("binary")).alias("h"))
 
 
 VQA = f"""{ANSWERS}, n AS (SELECT conv_id, {norm_sql('pred')} AS p, {norm_sql('gt')} AS g FROM answers),
@@ -49,7 +50,7 @@ BINDS = """list_filter(list_transform({0}, lambda x, i: {{'a': x, 'o': {0}[i + 1
 @query("bindings", f"""WITH w AS (SELECT doc_id, {words_sql('lower(text)')} AS w FROM documents)
     SELECT doc_id, len({BINDS.format('w', quoted(T.COLORS + T.SIZES + T.POSITIONS), quoted(T.NOT_OBJECTS))})::INT AS n, len({BINDS.format('w', quoted(ATTR), quoted(T.NOT_OBJECTS))})::INT AS n_common FROM w""")
 def bindings(spark, d):
-    w = table(spark, d, "documents").withColumn("w", T.words(F.lower("text")))
+    w = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("w", T.words(F.lower("text")))
     return w.select("doc_id", F.size(T.bindings("w")).alias("n"), F.size(T.bindings("w", ATTR)).alias("n_common"))
 
 
@@ -109,7 +110,7 @@ COMPOSITE = "0.3 * least(length / 50.0, 1) + 0.3 * vocab_richness + 0.2 * (1 - r
 @query("language_quality", f"WITH {quality_sql('documents', 'lang')} SELECT k AS lang, length, vocab_richness, repetition_rate, sentence_count, {COMPOSITE} AS composite FROM g",
        "length vocab_richness repetition_rate sentence_count composite")
 def language_quality(spark, d):
-    return S.language_quality(table(spark, d, "documents"), ["lang"], "text")
+    return S.language_quality(spread(table(spark, d, "documents").select("lang", "text")), ["lang"], "text")
 
 
 @query("exact_match", "WITH " + ANSWERS + f""", t AS (SELECT conv_id, regexp_replace(lower(pred), '^{WS}+|{WS}+$', '', 'g') AS p, lower(string_split(gt, ' ')[1]) AS g FROM answers)
