@@ -10,8 +10,19 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, x) -> np.ndarray:
+    """A scalar function over an array. (np.vectorize caches objects that tasks cannot receive.)"""
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()], float).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def _beta_fraction(a, b, x, rounds: int = 400):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import EPS_NORM, md5_key
+from ..session import cut_lineage
 from .order import keep_first, random_subset
 from .ridge import pca, single_split_ridge
 
@@ -160,8 +161,8 @@ def semantic_encoding(semantic: DataFrame, responses: DataFrame, keys: Sequence[
 
     The basis is fitted per layer on at most ``fit_rows`` randomly ordered rows.
     """
-    sample = random_subset(semantic.withColumn("__row", F.concat_ws("-", item, "token")), ["layer"], "__row", fit_rows, seed)
-    ready = semantic.withColumn("__row", F.concat_ws("-", item, "token"))
+    ready = cut_lineage(semantic.withColumn("__row", F.concat_ws("-", item, "token")))
+    sample = random_subset(ready, ["layer"], "__row", fit_rows, seed)
     scores = pca(ready, ["layer"], "__row", "vector", k, "x", sample)
     rows = ready.select("layer", "__row", "token", item).join(scores.select("layer", "__row", "x"), ["layer", "__row"])
     return single_split_ridge(rows.join(responses, item), ["layer", "token", *keys], item, "x", "y", seed=seed)
