@@ -224,39 +224,49 @@ def near_far(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         "ratio", F.col("near") / F.greatest(F.col("far"), F.lit(RATIO_FLOOR)))
 
 
+def _blend(points: DataFrame, keys: Sequence[str], scores: DataFrame, model: str, roi: str, value: str) -> DataFrame:
+    """Linear blend of the two layers around each point (keys, model, n, t): k = 0..t-1.
+
+    Both neighbours are found by equality on (model, layer).
+    """
+    spots = (points.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("t") - 1).cast("int"))))
+             .withColumn("__p", F.when(F.col("t") > 1, F.col("k") * (F.col("n") - 1) / (F.col("t") - 1)).otherwise(0.0)))
+    low = F.floor("__p")
+    ends = F.explode(F.array(F.struct(low.cast("int").alias("layer"), (1 - (F.col("__p") - low)).alias("w")),
+                             F.struct((low + 1).cast("int").alias("layer"), (F.col("__p") - low).alias("w"))))
+    ends = spots.select(*keys, model, "k", ends.alias("e")).select(*keys, model, "k", "e.layer", F.col("e.w").alias("__w")).where("__w > 0")
+    return (scores.select(model, F.col("layer").cast("int").alias("layer"), roi, value).join(ends, [model, "layer"])
+            .groupBy(*keys, model, "k", roi).agg(F.sum(F.col(value) * F.col("__w")).alias(value)))
+
+
+def layer_counts(scores: DataFrame, model: str) -> DataFrame:
+    return scores.groupBy(model).agg((F.max("layer") + 1).alias("n"))
+
+
 def resample_layers(scores: DataFrame, model: str, roi: str, value: str, target: Column) -> DataFrame:
     """Each model's layer curve at ``target`` evenly spaced points, linear in between.
 
-    ``scores`` has (model, layer, roi, value) with layers 0..n-1; the two neighbours of a point
-    are found by equality.
+    ``scores`` has (model, layer, roi, value) with layers 0..n-1.
     """
-    size = scores.groupBy(model).agg((F.max("layer") + 1).alias("__n"))
-    points = (size.withColumn("__t", target)
-              .withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("__t") - 1).cast("int"))))
-              .withColumn("__p", F.when(F.col("__t") > 1, F.col("k") * (F.col("__n") - 1) / (F.col("__t") - 1)).otherwise(0.0))
-              .withColumn("__f", F.floor("__p")))
-    ends = points.select(model, "k", F.explode(F.array(
-        F.struct(F.col("__f").alias("layer"), (1 - (F.col("__p") - F.col("__f"))).alias("w")),
-        F.struct((F.col("__f") + 1).alias("layer"), (F.col("__p") - F.col("__f")).alias("w")))).alias("e"))
-    ends = ends.where(F.col("e.w") > 0).select(model, "k", F.col("e.layer").cast("int").alias("layer"), F.col("e.w").alias("__w"))
-    return (scores.select(model, F.col("layer").cast("int").alias("layer"), roi, value).join(ends, [model, "layer"])
-            .groupBy(model, "k", roi).agg(F.sum(F.col(value) * F.col("__w")).alias(value)))
+    return _blend(layer_counts(scores, model).withColumn("t", target), [], scores, model, roi, value)
 
 
 def model_convergence(scores: DataFrame, model: str, roi: str, value: str, names: Sequence[str]) -> DataFrame:
     """Spearman of the layer-by-region matrices of each model pair, at the smaller layer count."""
-    pairs = [(a, b) for p, a in enumerate(names) for b in names[p + 1:]]
-    out = None
-    for a, b in pairs:
-        two = scores.where(F.col(model).isin(a, b))
-        least = two.groupBy(model).agg((F.max("layer") + 1).alias("n")).agg(F.min("n"))
-        both = resample_layers(two, model, roi, value, least.scalar())
-        left = both.where(F.col(model) == a).select("k", roi, F.col(value).alias("x"))
-        right = both.where(F.col(model) == b).select("k", roi, F.col(value).alias("y"))
-        cells = left.join(right, ["k", roi]).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "x", "y")
-        out = cells if out is None else out.unionByName(cells)
+    both = [(a, b) for p, a in enumerate(names) for b in names[p + 1:]]
+    pairs = scores.sparkSession.createDataFrame(both, "model_a string, model_b string")
+    n = layer_counts(scores, model)
+    sized = (pairs.join(n.select(F.col(model).alias("model_a"), F.col("n").alias("na")), "model_a")
+             .join(n.select(F.col(model).alias("model_b"), F.col("n").alias("nb")), "model_b"))
     keys = ["model_a", "model_b"]
-    ranked = out.withColumn("__x", small_group_rank(keys, "x")).withColumn("__y", small_group_rank(keys, "y"))
+    sides = F.explode(F.array(F.struct(F.col("model_a").alias(model), F.col("na").alias("n")),
+                              F.struct(F.col("model_b").alias(model), F.col("nb").alias("n"))))
+    points = sized.select(*keys, F.least("na", "nb").alias("t"), sides.alias("s")).select(*keys, "t", "s.*")
+    curves = _blend(points, keys, scores, model, roi, value)
+    cells = curves.groupBy(*keys, "k", roi).agg(F.max(F.when(F.col(model) == F.col("model_a"), F.col(value))).alias("x"),
+                                                F.max(F.when(F.col(model) == F.col("model_b"), F.col(value))).alias("y"))
+    cells = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ranked = cells.withColumn("__x", small_group_rank(keys, "x")).withColumn("__y", small_group_rank(keys, "y"))
     return ranked.groupBy(*keys).agg(pearson("__x", "__y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

@@ -197,26 +197,26 @@ def paired_t(spark, d):
     return I.paired_t(c, ["label"], "a", "b")
 
 
-@query("two_sample_t", f"""WITH g AS (SELECT event_type, count(*) FILTER (user_id < 75) AS n_a, count(*) FILTER (user_id >= 75) AS n_b, avg(value) FILTER (user_id < 75) AS mean_a, avg(value) FILTER (user_id >= 75) AS mean_b,
-    var_samp(value) FILTER (user_id < 75) AS va, var_samp(value) FILTER (user_id >= 75) AS vb FROM events GROUP BY event_type),
+@query("two_sample_t", f"""WITH g AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS n_a, count(*) FILTER (user_id % 2 <> 0) AS n_b, avg(value) FILTER (user_id % 2 = 0) AS mean_a, avg(value) FILTER (user_id % 2 <> 0) AS mean_b,
+    var_samp(value) FILTER (user_id % 2 = 0) AS va, var_samp(value) FILTER (user_id % 2 <> 0) AS vb FROM events GROUP BY event_type),
     t AS (SELECT *, (n_a + n_b - 2)::DOUBLE AS df, (mean_a - mean_b) / sqrt(((n_a-1)*va + (n_b-1)*vb) / (n_a+n_b-2) * (1.0/n_a + 1.0/n_b)) AS t FROM g)
     SELECT event_type, n_a, n_b, mean_a, mean_b, t, df, {student_sql('t', 'df')} AS p FROM t""", "mean_a mean_b t df p")
 def two_sample_t(spark, d):
-    return I.two_sample_t(table(spark, d, "events"), ["event_type"], F.col("user_id") < 75, "value")
+    return I.two_sample_t(table(spark, d, "events"), ["event_type"], F.pmod("user_id", F.lit(2)) == 0, "value")
 
 
-@query("mann_whitney", f"""WITH e AS (SELECT event_type, user_id < 75 AS a, {avg_rank('value', 'event_type')} AS r, value FROM events),
+@query("mann_whitney", f"""WITH e AS (SELECT event_type, user_id % 2 = 0 AS a, {avg_rank('value', 'event_type')} AS r, value FROM events),
     g AS (SELECT event_type, count(*) FILTER (a) AS m, count(*) FILTER (NOT a) AS n, sum(r) FILTER (a) AS w FROM e GROUP BY event_type),
     t AS (SELECT event_type, sum(c*c*c - c)::DOUBLE AS ties FROM (SELECT event_type, value, count(*)::DOUBLE AS c FROM events GROUP BY ALL) GROUP BY event_type)
     SELECT event_type, m, n, ties, w - m*(m+1)/2.0 AS u FROM g JOIN t USING (event_type)""", "ties u")
 def mann_whitney(spark, d):
     """The p of the normal tail is checked in the tests; SQL has no such function."""
-    return I.mann_whitney(table(spark, d, "events"), ["event_type"], F.col("user_id") < 75, "value").drop("p")
+    return I.mann_whitney(table(spark, d, "events"), ["event_type"], F.pmod("user_id", F.lit(2)) == 0, "value").drop("p")
 
 
 @query("mann_whitney_p")
 def mann_whitney_p(spark, d):
-    return I.mann_whitney(table(spark, d, "events"), ["event_type"], F.col("user_id") < 75, "value").select("event_type", "p")
+    return I.mann_whitney(table(spark, d, "events"), ["event_type"], F.pmod("user_id", F.lit(2)) == 0, "value").select("event_type", "p")
 
 
 PV = "pv AS (SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY value)::DOUBLE / (count(*) OVER (PARTITION BY event_type) * 4) AS p FROM events)"

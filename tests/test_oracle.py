@@ -1,6 +1,6 @@
 """Registered queries against their SQL at the smallest scale.
 
-REPALIGN_ALL=1 runs every query; the default leaves out the slowest ones.
+REPALIGN_ALL=1 runs every query; the default takes some of each kind.
 """
 
 import os
@@ -11,10 +11,15 @@ from oracle import compare, connect
 from repalign.plans import catalog
 
 SF_DIR = os.environ.get("REPALIGN_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"perm_rsa_shared", "rsa_full_table", "perm_rsa_pearson", "bootstrap_rsa_spearman", "bootstrap_rsa_pearson", "model_convergence",
-        "bootstrap_ci_median", "encoding_semantic", "kernel_cka_by_label", "rdm_correlation", "layer_stream_convergence",
-        "two_leg_alignment", "see_read_convergence", "rsa_matrix_spearman", "metric_agreement", "encoding_nested", "encoding_loo"}
-NAMES = [n for n in catalog.QUERIES if os.environ.get("REPALIGN_ALL") or n not in SLOW]
+QUICK = """rdm_euclidean rdm_square_row_sums average_rank rsa_spearman_by_label rsa_pearson rsa_matrix_euclidean_pearson rsa_noise_ceiling
+rank_reliability top1_retrieval linear_cka_by_label cka_matrix kernel_cka_fixed_band cosine_streams zscore_rows softmax_top_k kfold_md5
+ridge_fold_local_one_feature ridge_loo_one_feature ridge_holdout_one_feature ridge_plain_two_features inner_rows encoding_within_cross
+encoding_noise_ceiling bootstrap_ci_mean bootstrap_cka permutation_table perm_two_sample_mean paired_t two_sample_t bh_fdr exact_quantiles
+trial_sessions rep_index hemisphere_used shared_trials complete_subjects roi_mask roi_fallback largest_object multi_object_scenes
+task_metadata path_resolution mean_pool ablate_noise semantic_vectors normalize_answer vqa_accuracy binding_accuracy language_quality
+mc_accuracy performance_drop stage_means peak_layers dissociation_stats interaction win_verdict grid_coherence attention_bins
+layer_resample model_convergence""".split()
+NAMES = list(catalog.QUERIES) if os.environ.get("REPALIGN_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
