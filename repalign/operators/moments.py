@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 # A task writes its sums early once they pass this size; later merging adds them up again.
 FLUSH_DOUBLES = 8_000_000
 BLOCK_DOUBLES = 65_536
+# From this many shuffle partitions on, sums are merged in two steps.
+WIDE_CLUSTER, MERGE_LANES = 400, 32
 
 
 class Moments:
@@ -190,7 +192,12 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
     if weight:
         cols.append(F.col(weight).cast("double").alias("__w"))
     partial = df.select(*cols).mapInArrow(fold, ddl)
-    return partial.repartition(*[F.col(k) for k in keys], "part").mapInArrow(merge, ddl)
+    by = [F.col(k) for k in keys] + [F.col("part")]
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > WIDE_CLUSTER:
+        # many tasks send sums of the same group: add them up in lanes first
+        lane = F.pmod(F.spark_partition_id(), F.lit(MERGE_LANES))
+        partial = (partial.withColumn("lane", lane).repartition(*by, "lane").drop("lane").mapInArrow(merge, ddl))
+    return partial.repartition(*by).mapInArrow(merge, ddl)
 
 
 def assemble(d: int, parts, vals) -> Moments:

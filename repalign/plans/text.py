@@ -64,16 +64,15 @@ def fuzzy_match(spark, d):
     return table(spark, d, "part").select("p_partkey", T.fuzzy_match(F.element_at(w, 1), F.element_at(w, 2)).alias("hit"))
 
 
-PARTS = """ans AS (SELECT p_brand AS k, p_partkey AS id, p_name AS gt, lead(p_name, 1, p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) || ' and ' || p_name AS pred FROM part)"""
+PARTS = """ans AS (SELECT a.p_brand AS k, a.p_name AS gt, coalesce(b.p_name, a.p_name) || ' and ' || a.p_name AS pred FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
 
 
 def part_answers(spark, d):
-    """Part names as references; the next name of the brand and the name itself as prediction."""
-    from pyspark.sql import Window
-
-    nxt = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, d, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("id"), F.col("p_name").alias("gt"),
-                                          F.concat(F.coalesce(nxt, F.col("p_name")), F.lit(" and "), "p_name").alias("pred"))
+    """Part names as references; the next part's name and the name itself as prediction."""
+    p = table(spark, d, "part")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("nxt"))
+    return p.join(nxt, "p_partkey", "left").select(F.col("p_brand").alias("k"), F.col("p_name").alias("gt"),
+                                                   F.concat(F.coalesce("nxt", "p_name"), F.lit(" and "), "p_name").alias("pred"))
 
 
 def binding_sql(source: str, key: str) -> str:
