@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import md5_draw, md5_key, pearson
 from ..functions.tails import correlation_p, mann_whitney_p, student_p
+from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import moment_parts, per_group
 from .order import average_rank, average_ranks, exact_quantiles, md5_bucket, ordered_position, position_by_value, value_bucket
-from .similarity import linear_cka_value
+from .similarity import linear_cka_value, pearson_rsa, rsa_of_stack, stack_units
 
 # Null and observed statistics are sums in different orders; this much is rounding.
 SLACK = 1e-12
@@ -221,6 +222,20 @@ def permutation_test_rsa(pairs: DataFrame, keys: Sequence[str], a: str, b: str,
     return p_value(null, observed, keys, plus_one=plus_one)
 
 
+def permutation_test_rsa_linear(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, dx: int, dy: int, reps: int,
+                                seed: int = 42, plus_one: bool = False) -> DataFrame:
+    """I4 for Pearson on correlation distances: a replicate moves rows, not pairs, and sums them once."""
+    keys = list(keys)
+    unit = with_unit_rows(with_unit_rows(df.select(*keys, item, x, y), x, "__ux"), y, "__uy")
+    perm = permutation_table(df, keys, item, reps, seed)
+    rows = (perm.join(unit.select(*keys, item, "__ux"), [*keys, item])
+            .join(unit.select(*keys, F.col(item).alias("other"), "__uy"), [*keys, "other"]))
+    group = [*keys, "rep"]
+    null = rsa_of_stack(stack_units(rows, group, "__ux", "__uy"), group, dx, dy).withColumnRenamed("rsa", "stat")
+    observed = pearson_rsa(df, keys, x, y, dx, dy).withColumnRenamed("rsa", "observed")
+    return p_value(null, observed, keys, plus_one=plus_one)
+
+
 def shared_permutation_null(model: DataFrame, brain: DataFrame, keys: Sequence[str], subject: str, reps: int,
                             model_value: str = "rank", brain_value: str = "rank", seed: int = 42) -> DataFrame:
     """Mean over subjects of the permuted r, one permutation per replicate for all of them.

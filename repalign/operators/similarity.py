@@ -83,16 +83,14 @@ def pearson_rsa_value(g: Moments, diag_a: np.ndarray, diag_b: np.ndarray, a, b)
     return float((sab - sa * sb / pairs) / den) if den > 0 else float("nan")
 
 
-def pearson_rsa(df: DataFrame, keys: Sequence[str], x: str, y: str, dx: int, dy: int) -> DataFrame:
-    """Pearson RSA on correlation distances in one linear pass: no pair is ever formed (M5).
-
-    The distances are 1 - k, so their correlation is that of the similarities k.
-    """
-    keys = list(keys)
-    rows = with_unit_rows(with_unit_rows(df, x, "__ux"), y, "__uy")
+def stack_units(rows: DataFrame, keys: Sequence[str], ux: str, uy: str) -> DataFrame:
+    """(keys, __z): both unit rows and the diagonal terms a pair sum has to leave out."""
     sq = lambda v: F.aggregate(F.col(v), F.lit(0.0), lambda s, e: s + e * e)
-    extra = F.array(sq("__ux"), sq("__uy"), sq("__ux") * sq("__ux"), sq("__uy") * sq("__uy"), sq("__ux") * sq("__uy"))
-    stacked = rows.select(*keys, F.concat("__ux", "__uy", extra).alias("__z"))
+    extra = F.array(sq(ux), sq(uy), sq(ux) * sq(ux), sq(uy) * sq(uy), sq(ux) * sq(uy))
+    return rows.select(*keys, F.concat(ux, uy, extra).alias("__z"))
+
+
+def rsa_of_stack(stacked: DataFrame, keys: Sequence[str], dx: int, dy: int) -> DataFrame:
     a, b = np.arange(dx), dx + np.arange(dy)
 
     def solve(groups):
@@ -103,6 +101,15 @@ def pearson_rsa(df: DataFrame, keys: Sequence[str], x: str, y: str, dx: int, dy:
     return per_group(moment_parts(stacked, keys, "__z"), keys, [], solve, "rsa double")
 
 
+def pearson_rsa(df: DataFrame, keys: Sequence[str], x: str, y: str, dx: int, dy: int) -> DataFrame:
+    """Pearson RSA on correlation distances in one linear pass: no pair is ever formed (M5).
+
+    The distances are 1 - k, so their correlation is that of the similarities k.
+    """
+    rows = with_unit_rows(with_unit_rows(df, x, "__ux"), y, "__uy")
+    return rsa_of_stack(stack_units(rows, keys, "__ux", "__uy"), list(keys), dx, dy)
+
+
 def compare_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, method: str = "spearman") -> DataFrame:
     """(keys, rsa, n_pairs) of two distance columns of the same pairs (M5)."""
     if method not in RSA_METHODS:

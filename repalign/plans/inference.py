@@ -103,8 +103,7 @@ def perm_rsa_by_label(spark, d):
       JOIN rk y ON y.i = least(p.other, q.other) AND y.j = greatest(p.other, q.other) GROUP BY ALL)
     SELECT observed, (1 + sum((s >= observed - 1e-12)::INT)) / (count(*) + 1) AS p, avg(s) AS null_mean, stddev_pop(s) AS null_std FROM n, o GROUP BY observed""", "observed p null_mean null_std")
 def perm_rsa_pearson(spark, d):
-    pairs = P.rdm(streams(spark, d), ["g"], "item_id", {"a": "vis", "b": "txt"})
-    return I.permutation_test_rsa(pairs, ["g"], "a", "b", 10, "pearson", plus_one=True).drop("g")
+    return I.permutation_test_rsa_linear(streams(spark, d), ["g"], "item_id", "vis", "txt", 32, 32, 10, plus_one=True).drop("g")
 
 
 @query("perm_rsa_shared", f"""WITH {SEG_RANKS}, {perm_sql(5, '0', 'emb', 'item_id')},
