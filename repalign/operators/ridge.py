@@ -450,3 +450,39 @@ def pca(df: DataFrame, keys: Sequence[str], item: str, vector: str, k: int, out:
 
     rows = df.select(*keys, item, F.col(vector).cast("array<double>").alias("__x"))
     return apply_in_chunks(rows, model, keys, item, project, key_ddl + item_ddl + f"`{out}` array<double>, explained double")
+
+
+def whiten(df: DataFrame, keys: Sequence[str], item: str, vector: str) -> DataFrame:
+    """Vectors whose sample covariance within each key is the identity; flat directions are dropped (M3)."""
+    import pandas as pd
+
+    keys = list(keys)
+
+    def basis(groups):
+        (g,) = groups.values()
+        lam, vec = np.linalg.eigh(g.centred_xx() / max(g.n - 1, 1.0))
+        keep = lam > 1e-12 * max(lam.max(), 1e-300)
+        return {"w": [np.where(keep, vec / np.sqrt(np.where(keep, lam, 1.0)), 0.0).ravel()]}
+
+    model = per_group(moment_parts(df, keys, vector), keys, [], basis, "w array<double>")
+    key_ddl = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def apply(key, a, b):
+        if not len(a):
+            return pd.DataFrame(columns=[*keys, item, vector])
+        x = np.vstack(a["__x"])
+        frame = pd.DataFrame({item: a[item], vector: list(x @ np.asarray(b["w"].iloc[0]).reshape(x.shape[1], -1))})
+        for at, (name, value) in enumerate(zip(keys, key)):
+            frame.insert(at, name, [value] * len(frame))
+        return frame
+
+    rows = df.select(*keys, item, F.col(vector).cast("array<double>").alias("__x"))
+    return apply_in_chunks(rows, model, keys, item, apply,
+                           key_ddl + f"`{item}` {df.schema[item].dataType.simpleString()}, `{vector}` array<double>")
+
+
+def mahalanobis_rdm(df: DataFrame, keys: Sequence[str], item: str, vector: str, out: str = "d") -> DataFrame:
+    """Euclidean RDM of the whitened vectors (M3)."""
+    from .pairs import rdm
+
+    return rdm(whiten(df, keys, item, vector), keys, item, {out: vector}, "euclidean")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import pearson
-from ..operators import order as O, pairs as P, rankpairs as K, similarity as S, summaries as R
+from ..operators import order as O, pairs as P, rankpairs as K, ridge as G, similarity as S, summaries as R
 from .inputs import (EMB, SEG, avg_rank, items, pair_distances, r_of, segments, streams, student_sql, unit_rows, table)
 from .registry import query
 
@@ -28,6 +28,15 @@ def rdm_euclidean(spark, d):
     return P.rdm(streams(spark, d), ["g"], "item_id", {"dist": "vis"}, "euclidean").drop("g")
 
 
+@query("rdm_mahalanobis", f"""WITH {EMB}, c AS (SELECT label, var_samp(e[1]) AS a, covar_samp(e[1], e[2]) AS b, var_samp(e[2]) AS c FROM emb GROUP BY label)
+    SELECT x.label, x.item_id AS i, y.item_id AS j, sqrt((c * pow(x.e[1] - y.e[1], 2) - 2 * b * (x.e[1] - y.e[1]) * (x.e[2] - y.e[2]) + a * pow(x.e[2] - y.e[2], 2)) / (a * c - b * b)) AS dist
+    FROM emb x JOIN emb y ON x.label = y.label AND x.item_id < y.item_id JOIN c ON c.label = x.label""", "dist")
+def rdm_mahalanobis(spark, d):
+    """Two dimensions per item, whitened within each label."""
+    e = items(spark, d).select("label", "item_id", F.slice("e", 1, 2).alias("v"))
+    return G.mahalanobis_rdm(e, ["label"], "item_id", "v", "dist")
+
+
 @query("rdm_square_row_sums", f"""WITH {UNITS} {pair_distances('uv', 'label', 'pv')}, sq AS (SELECT i, d FROM pv UNION ALL SELECT j, d FROM pv)
     SELECT i, sum(d) AS row_sum, count(*) + 1 AS n FROM sq GROUP BY i""", "row_sum")
 def rdm_square_row_sums(spark, d):

@@ -202,6 +202,13 @@ def corr_rdm(z):
     return 1 - np.corrcoef(z)[np.triu_indices(len(z), 1)]
 
 
+def test_mahalanobis(data):
+    df, x, _, ids = data
+    got = G.mahalanobis_rdm(df, ["g"], "item", "x").orderBy("i", "j").toPandas()["d"]
+    inv, diff = np.linalg.inv(np.cov(x.T)), (x[:, None] - x[None])[np.triu_indices(len(x), 1)]
+    np.testing.assert_allclose(got, np.sqrt(np.einsum("pi,ij,pj->p", diff, inv, diff)), atol=1e-9)
+
+
 @pytest.mark.parametrize("rows", [13, 256])
 def test_rsa_tiles(data, rows):
     df, x, y, _ = data
