@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(g, item_id, label, e): one row per embedding, with a constant group."""
+    """(g, item_id, label, e): one row per embedding, all in group 0.
+
+    The group is computed, not a literal: joins on a literal key lose their key in the optimizer.
+    """
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.lit(0).alias("g"), F.col("vec_id").alias("item_id"), "label",
+    return e.select(F.pmod("vec_id", F.lit(1)).cast("int").alias("g"), F.col("vec_id").alias("item_id"), "label",
                     F.col("embedding").cast("array<double>").alias("e"))
 
 
