@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, licenses, pii, sharding, toxicity
+from . import contamination, embeddings, jaccard, licenses, pii, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", "m.start")
+
+
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -50,3 +56,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
