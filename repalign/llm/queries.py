@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, embeddings, jaccard, licenses, pii, sharding, toxicity
+from . import contamination, embeddings, jaccard, licenses, pieces, pii, sharding, tokens, toxicity
+
+# The folder of the public tokenizers' files, the same on every machine.
+PIECES, WORDS = (public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "word_bpe_49k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +62,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
 
 
+@query("op8_sentence_pieces")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    rows = pieces.decoded(rows, PIECES, out="decoded")
+    return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), pieces.digests().alias("ids_crc32"),
+                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+                       (F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")).alias("lossless"))
+
+
+@query("op9_token_planes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), WORDS)
+
+
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
