@@ -96,7 +96,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     out = np.empty(begin[-1], np.uint64)
     rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
-        rolled += words[k:len(words) - width + 1 + k] * np.uint64(((k + 1) * 0x9FB21C651E98DF25 | 1) & (2**64 - 1))
+        rolled += words[k:k + len(rolled)] * np.uint64(((k + 1) * 0x9FB21C651E98DF25 | 1) & (2**64 - 1))
     rolled = mix(rolled)
     long = counts >= width
     inside = np.repeat(first[:-1][long] - begin[:-1][long], runs[long]) + _positions(begin, long)

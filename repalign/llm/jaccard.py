@@ -14,10 +14,10 @@ from .storage import kept, shuffle_parts
 from .tiles import dealt, spread_in_tiles, tiles_of
 
 # Weight of a tile part in n-grams; a document counts for DOC_WEIGHT more, which bounds its rows.
-PART_WEIGHT, DOC_WEIGHT = 2_000_000, 1_000
+PART_WEIGHT, DOC_WEIGHT = 600_000, 1_000
 
-_ENTRY = "kind int, slot long, doc_id long, sig long, n long, keys binary, sizes binary, counts binary, grams binary, extra binary"
-_ROWS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
+_ENTRY = "kind int, slot long, doc_id long, text_key long, sig long, n long, keys binary, sizes binary, counts binary, grams binary, extra binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
                    ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("extra", pa.binary())])
 
 
@@ -63,12 +63,10 @@ def _unpacked(rows: list[tuple[bytes, ...]]) -> tuple[np.ndarray, ...]:
 
 def _sets(width: int, slots: int):
     """Documents -> kind 0: (doc_id, sig, n); kind 1: their distinct n-grams dealt to slots by value."""
-    shift = np.uint64(64 - (slots - 1).bit_length()) if slots > 1 else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            ids, keys = batch.column(0), batch.column(1)
+            for a, b, data, offsets in text_chunks(batch.column(2)):
                 hashes, _, _, first = word_hashes(data, offsets, WHITE_SPACE)
                 grams, begin = shingle_hashes(hashes, first, width)
                 sets = [np.unique(grams[begin[k]:begin[k + 1]]) for k in range(b - a)]
@@ -80,12 +78,12 @@ def _sets(width: int, slots: int):
                 ends = np.cumsum(n)
                 sig = mix(total[ends] - total[ends - n])
                 spread = (mix(sig + np.arange(a, b, dtype=np.uint64)) % np.uint64(slots)).astype(np.int64)
-                yield _batch(kind=[0] * (b - a), slot=spread, doc_id=ids.slice(a, b - a), sig=sig.view(np.int64), n=n)
+                yield _batch(kind=[0] * (b - a), slot=spread, doc_id=ids.slice(a, b - a), text_key=keys.slice(a, b - a), sig=sig.view(np.int64), n=n)
                 _, once = np.unique(sig, return_index=True)  # copies in this chunk count once
                 keep = np.isin(doc, once)
                 flat, doc = flat[keep], doc[keep]
                 if len(flat):
-                    slot = (flat >> shift).astype(np.int64) if shift is not None else np.zeros(len(flat), np.int64)
+                    slot = ((flat >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
                     yield _packed(1, slot, doc, sig, n, flat)
 
     return run
@@ -105,7 +103,7 @@ def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 if rows:
                     yield None, rows
                 slot, rows = slots[k].as_py(), []
-            rows.append(tuple(batch.column(c)[k].as_py() or b"" for c in range(5, 10)))
+            rows.append(tuple(batch.column(c)[k].as_py() or b"" for c in range(6, 11)))
     if rows:
         yield None, rows
 
@@ -264,7 +262,7 @@ def _links(percent: int):
 
 
 def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id) of every row of ``docs``.
+    """(doc_id, n_shingles, n_links, component_id, text_key) of every row of ``docs``.
 
     A document's set holds its distinct shingles of ``width`` words (runs of other characters
     than ASCII white space, A-Z lower-cased); with fewer words the whole sequence is its only
@@ -287,13 +285,12 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: st
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    slots = 1 << max(0, (parts - 1).bit_length())
-    pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    deal = lambda df: df.repartition(parts, "slot").sortWithinPartitions("kind", "slot")
-    by_gram = deal(pairs.mapInArrow(_sets(width, slots), _ENTRY)).mapInArrow(_shared(slots), _ENTRY)
+    pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
+    deal = lambda df: df.repartitionById(parts, F.col("slot").cast("int")).sortWithinPartitions("kind", "slot")
+    by_gram = deal(pairs.mapInArrow(_sets(width, parts), _ENTRY)).mapInArrow(_shared(parts), _ENTRY)
     rows = kept(deal(by_gram).mapInArrow(_prefixes(percent), _ENTRY).drop("slot", "keys", "sizes", "counts"), "jaccard")
 
-    members = rows.where("kind = 0").select("doc_id", "sig", "n")
+    members = rows.where("kind = 0").select("doc_id", "text_key", "sig", "n")
     classes = members.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = rows.where("kind = 1").select("sig", "n", "grams", "extra")
     prefixes = sets.select("sig", F.explode(_longs("extra")).alias("gram"))
@@ -312,4 +309,20 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: st
                       (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     return (members.join(labels, ["sig", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component", "doc_id").alias("component_id")))
+                    F.coalesce("component", "doc_id").alias("component_id"), "text_key"))
+
+
+def distinct(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that stay when each group of linked ones keeps its smallest doc_id.
+
+    Of rows with one doc_id and one text one stays. Rows without an id stay unless they link to
+    one that has an id or are its copy, or a copy of each other.
+    """
+    links = jaccard_links(docs, **options)
+    links = kept(links.groupBy("doc_id", "text_key").agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("rows")), "groups")
+    gone = links.where("component is not null and not (doc_id <=> component)").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    names, keyed = docs.columns, docs.withColumn("__k", F.xxhash64("text"))
+    left = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left_anti")
+    if links.where("rows > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "__k"])
+    return left.select(*names)

@@ -63,7 +63,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                            pa.array([counts[1, k * CHUNK:(k + 1) * CHUNK].tolist() for k in range(n)])], names=["chunk", "clean", "toxic"])
 
 
-def _added(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "clean": [np.sum(pdf["clean"].tolist(), axis=0)], "toxic": [np.sum(pdf["toxic"].tolist(), axis=0)]})
 
 
