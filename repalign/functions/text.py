@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from .scalars import col
 
@@ -106,17 +104,3 @@ def with_quality_parts(df: DataFrame, text: str) -> DataFrame:
             .withColumn("repetition", F.when(n >= 3, repeated / (n - 2)).otherwise(0.0))
             .withColumn("n_sentences", F.regexp_count(F.col(text), F.lit(SENTENCE)))
             .drop("__w", "__t"))
-
-
-@pandas_udf(DoubleType())
-def _sequence_ratio(a, b):
-    import difflib
-
-    import pandas as pd
-
-    return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
-
-
-def sequence_ratio(a: str | Column, b: str | Column) -> Column:
-    """Matching-block similarity of two lower-cased texts."""
-    return _sequence_ratio(col(a), col(b))

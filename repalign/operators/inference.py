@@ -15,7 +15,7 @@ from ..functions.tails import correlation_p, mann_whitney_p, student_p
 from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import moment_parts, per_group
-from .order import average_rank, average_ranks, exact_quantiles, md5_bucket, ordered_position, position_by_value, value_bucket
+from .order import average_rank, average_ranks, exact_quantiles, md5_bucket, ordered_position, position_by_value, running_totals, same_keys, value_bucket
 from .similarity import linear_cka_value, pearson_rsa, rsa_of_stack, stack_units
 
 # Null and observed statistics are sums in different orders; this much is rounding.
@@ -374,20 +374,23 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], in_first: Column, value: st
 
 
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, alpha: float = 0.05) -> DataFrame:
-    """Adjusted p and decision per row.
+    """Adjusted p and decision per row (I12, W4); rows without p (null or NaN) get neither and do not count.
 
-    The running minimum from the largest p goes bucket by bucket: a small table carries the
+    Equal p share their adjusted value, so only distinct p, with their counts, are ordered. The
+    running minimum from the largest p goes bucket by bucket: a small table carries the
     minimum of all later buckets, and only one bucket is sorted by one task.
     """
     keys = list(keys)
-    rows = position_by_value(df, keys, p, (), "__p", "__n")
-    rows = (rows.withColumn("__v", F.col(p) * F.col("__n") / (F.col("__p") + 1)).withColumn("__b", value_bucket(p)))
+    counted = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__k"))
+    rows = running_totals(counted, keys, [F.col(p)], value_bucket(p), {"__c": F.col("__k")})
+    rows = rows.select(*keys, p, (F.col(p) * F.col("__c_all") / F.col("__c")).alias("__v"), value_bucket(p).alias("__b"))
     later = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     tail = rows.groupBy(*keys, "__b").agg(F.min("__v").alias("__m")).withColumn("__later", F.min("__m").over(later)).drop("__m")
-    inside = Window.partitionBy(*keys, "__b").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = (rows.join(tail, [*keys, "__b"])
-           .withColumn("adjusted_p", F.least(F.min("__v").over(inside), F.coalesce("__later", F.lit(1.0)), F.lit(1.0))))
-    return out.withColumn("reject", F.col("adjusted_p") <= alpha).drop("__p", "__n", "__v", "__b", "__later")
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = (same_keys(rows, tail, [*keys, "__b"])
+                .withColumn("adjusted_p", F.least(F.min("__v").over(inside), F.coalesce("__later", F.lit(1.0)), F.lit(1.0)))
+                .select(*keys, p, "adjusted_p"))
+    return same_keys(df, adjusted, [*keys, p], "left").withColumn("reject", F.col("adjusted_p") <= alpha)
 
 
 def fdr_summary(adjusted: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
@@ -444,25 +447,3 @@ def target_ceiling(df: DataFrame, keys: Sequence[str], subject: str, item: str,
     rows = leave_one_out(df, [*keys, item, target], value, "__loo")
     return (rows.groupBy(*keys, subject, target).agg(pearson(value, "__loo").alias("__r"))
             .groupBy(*keys, target).agg(F.avg("__r").alias("ceiling"), F.count("__r").alias("n_subjects")))
-
-
-def rdm_ceiling(cells: DataFrame, keys: Sequence[str], subject: str, value: str, method: str = "spearman") -> DataFrame:
-    """Upper and lower ceiling of RDMs over subjects (M7): null with fewer than two subjects."""
-    keys = list(keys)
-    rows = leave_one_out(cells, [*keys, "i", "j"], value, "__loo", "__full")
-    cols = [value, "__loo", "__full"]
-    if method == "spearman":
-        rows = average_ranks(cut_lineage(rows), [*keys, subject], {c: f"{c}_r" for c in cols})
-        cols = [f"{c}_r" for c in cols]
-    elif method != "pearson":
-        raise ValueError(f"unknown method: {method}")
-    return (rows.groupBy(*keys, subject).agg(pearson(cols[0], cols[2]).alias("u"), pearson(cols[0], cols[1]).alias("l"))
-            .groupBy(*keys).agg(F.avg("u").alias("upper"), F.avg("l").alias("lower"), F.count(F.lit(1)).alias("n_subjects")))
-
-
-def rank_reliability(ranks: DataFrame, keys: Sequence[str], unit: str, rank: str) -> DataFrame:
-    """r of each unit's ranks with the mean ranks of the others: mean, deviation, count (M8)."""
-    keys = list(keys)
-    return (leave_one_out(ranks, [*keys, "i", "j"], rank, "__loo")
-            .groupBy(*keys, unit).agg(pearson(rank, "__loo", 0.0).alias("r"))
-            .groupBy(*keys).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.count(F.lit(1)).alias("n")))

@@ -20,13 +20,28 @@ HEAVY_BUCKET = 4_000_000
 
 
 def value_bucket(v: str | Column) -> Column:
-    """An order-preserving bucket number of a finite double, fine where values are dense."""
+    """An order-preserving bucket number of a double, fine where values are dense.
+
+    Infinities, NaN and null have buckets of their own, in this order after all finite values.
+    """
     v = col(v).cast("double")
+    end = (2 * 2200 * STEPS_PER_OCTAVE)  # beyond every finite bucket
     size = F.abs(v)
-    octave = F.floor(F.log2(size)).cast("double")
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * STEPS_PER_OCTAVE)
+    finite = F.when(size < float("inf"), size)
+    octave = F.floor(F.log2(finite)).cast("double")
+    step = F.floor((finite / F.pow(F.lit(2.0), octave) - 1.0) * STEPS_PER_OCTAVE)
     code = ((octave + 1100) * STEPS_PER_OCTAVE).cast("long") + step + 1
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, code).otherwise(-code)
+    ends = (F.when(v.isNull(), F.lit(end + 2)).when(F.isnan(v), F.lit(end + 1)).when(v == float("inf"), F.lit(end)).when(v == float("-inf"), F.lit(-end)))
+    return F.coalesce(ends.cast("long"), F.when(v == 0, F.lit(0).cast("long")).when(size < float("inf"), F.when(v > 0, code).otherwise(-code)))
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys of ``left`` stay."""
+    other = right.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(other, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def md5_bucket(key: Column) -> Column:
@@ -53,7 +68,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                       .withColumn(f"{name}_all", F.sum(f"__t_{name}").over(group)))
     per_bucket = per_bucket.drop(*[f"__t_{n}" for n in sums])
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(per_bucket, [*keys, "__b"])
+    out = same_keys(rows, per_bucket, [*keys, "__b"])
     for name in sums:
         out = out.withColumn(name, F.col(f"__o_{name}") + F.sum(f"__v_{name}").over(inside))
     return out.drop("__b", *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
@@ -69,7 +84,7 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
 def position_by_value(df: DataFrame, keys: Sequence[str], by: str, tie: Sequence[str] = (),
                       out: str = "pos", size: str = "n") -> DataFrame:
-    return ordered_position(df, keys, [F.col(by), *[F.col(t) for t in tie]], value_bucket(by), out, size)
+    return ordered_position(df, keys, [F.asc_nulls_last(by), *[F.col(t) for t in tie]], value_bucket(by), out, size)
 
 
 def position_by_md5(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int,
@@ -93,13 +108,14 @@ def _add_rank(rows: DataFrame, base: DataFrame, keys: list[str], value: str, out
 
     inside = Window.partitionBy(*on).orderBy(value)
     same = Window.partitionBy(*on, value)
-    few = (rows.join(heavy, on, "left").where(F.col("__h").isNull()).drop("__h").join(light, on)
+    few = (same_keys(same_keys(rows, heavy, on, "left").where(F.col("__h").isNull()).drop("__h"), light, on)
            .withColumn(out, F.col("__o") + F.sum(w).over(inside) - (F.sum(w).over(same) - 1) / 2))
 
-    many = rows.join(heavy, on)
+    many = same_keys(rows, heavy, on)
     counted = many.groupBy(*on, "__h", value).agg(F.sum(w).alias("__m"))
     ranked = counted.select(*on, value, (F.col("__h") + F.sum("__m").over(inside) - (F.col("__m") - 1) / 2).alias(out))
-    return few.select(*cols).unionByName(many.drop("__h").join(ranked, [*on, value]).select(*cols))
+    found = few.select(*cols).unionByName(same_keys(many.drop("__h"), ranked, [*on, value]).select(*cols))
+    return found.withColumn(out, F.when(F.col(value).isNotNull(), F.col(out)))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], weight: str | None = None) -> DataFrame:
@@ -108,6 +124,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], w
     Each column costs one small aggregate and one shuffle. Buckets of more than HEAVY_BUCKET
     rows, of which there can be only few, never meet in one task: their values are counted
     before they are ordered, and the rows fetch their rank by a join that AQE may split.
+    A null has no rank; NaN ranks after infinity, all NaN alike; a null key is a key.
     ``df`` is read once per column and more; hand in a written table if it is dear to compute.
     """
     out = df
@@ -155,9 +172,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
             .select(*keys, "__b", "__lo", F.col("__p.name").alias("__name"), F.col("__w.pos").alias("__pos"),
                     F.col("__w.w").alias("__weight")))
     inside = Window.partitionBy(*keys, "__b").orderBy(value)
-    near = (counted.join(hits.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
+    near = (same_keys(counted, hits.select(*keys, "__b").distinct(), [*keys, "__b"])
             .withColumn("__end", F.sum("__c").over(inside)))
-    picked = (near.join(hits, [*keys, "__b"])
+    picked = (same_keys(near, hits, [*keys, "__b"])
               .where((F.col("__pos") - F.col("__lo") < F.col("__end"))
                      & (F.col("__pos") - F.col("__lo") >= F.col("__end") - F.col("__c"))))
     res = picked.groupBy(*keys).agg(*[

@@ -63,7 +63,8 @@ def probability_targets(atlas: DataFrame, threshold: float = 0.5) -> DataFrame:
 def with_fallback(targets: DataFrame, wanted: DataFrame, general: DataFrame) -> DataFrame:
     """Regions without any target get the general mask."""
     missing = wanted.select("roi").distinct().join(targets, "roi", "left_anti")
-    filled = missing.withColumn("__g", F.lit(1)).join(general.withColumn("__g", F.lit(1)), "__g").drop("__g")
+    sides = F.explode(F.array(F.lit("lh"), F.lit("rh"))).alias("hemi")
+    filled = missing.select("roi", sides).join(general, "hemi")
     return targets.unionByName(filled.select(*targets.columns))
 
 

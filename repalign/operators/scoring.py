@@ -53,10 +53,6 @@ def caption_fluency(df: DataFrame, keys: Sequence[str], perplexity: str, cap: fl
     return df.groupBy(*keys).agg(F.avg(fluency(perplexity, cap)).alias("score"))
 
 
-def similarity_drop(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    return df.groupBy(*keys).agg((1 - F.avg(T.sequence_ratio(a, b))).alias("score"))
-
-
 def quality_score(df: DataFrame, keys: Sequence[str], pred: str, gt: str) -> DataFrame:
     """Composite quality as a task score; the reference text plays no part."""
     return language_quality(df, keys, pred).select(*keys, F.col("composite").alias("score"))

@@ -17,11 +17,10 @@ from ..functions.scalars import pearson
 from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import Moments, moment_parts, per_group
-from .order import average_ranks, exact_quantiles
+from .order import exact_quantiles
 from .pairs import ROWS_PER_BLOCK, euclidean_block, pack_blocks, rdm, tile_map
 from .rankpairs import pair_correlations
 
-RSA_METHODS = ("spearman", "pearson")
 CKA_METHODS = ("linear", "kernel")
 
 
@@ -110,16 +109,6 @@ def pearson_rsa(df: DataFrame, keys: Sequence[str], x: str, y: str, dx: int, dy:
     return rsa_of_stack(stack_units(rows, keys, "__ux", "__uy"), list(keys), dx, dy)
 
 
-def compare_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, method: str = "spearman") -> DataFrame:
-    """(keys, rsa, n_pairs) of two distance columns of the same pairs (M5)."""
-    if method not in RSA_METHODS:
-        raise ValueError(f"unknown method: {method}")
-    if method == "spearman":
-        pairs = average_ranks(cut_lineage(pairs.select(*keys, a, b)), keys, {a: "__ra", b: "__rb"})
-        a, b = "__ra", "__rb"
-    return pairs.groupBy(*keys).agg(pearson(a, b).alias("rsa"), F.count(F.lit(1)).alias("n_pairs"))
-
-
 def rsa(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, method: str = "spearman",
         metric: str = "correlation") -> DataFrame:
     """(keys, rsa, n_pairs): RSA of two vectors of the same items; both distances come from one tile."""

@@ -167,16 +167,16 @@ def chat_prompt(question: str | Column) -> Column:
     return F.concat(F.lit(CHAT_FORMAT[0]), q, F.lit(CHAT_FORMAT[1]))
 
 
-def rotating_prompts(items: DataFrame, item: str, per_task: int) -> DataFrame:
-    """Consecutive slices of the sorted items, one per task, with prompts in rotation."""
+def rotating_prompts(items: DataFrame, item: str) -> DataFrame:
+    """Equal consecutive slices of all sorted items, one per task, with prompts in rotation."""
     placed = position_by_value(items.select(item), [], item, (), "__p", "__n")
+    per_task = F.ceil(F.col("__n") / len(TASK_PROMPTS))
     names = F.array(*[F.lit(t) for t in TASK_PROMPTS])
     lists = F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in TASK_PROMPTS.values()])
     at = F.floor(F.col("__p") / per_task).cast("int")
-    inside = F.pmod(F.col("__p"), F.lit(per_task))
-    return (placed.where(at < len(TASK_PROMPTS))
-            .select(item, F.element_at(names, at + 1).alias("task"),
-                    F.element_at(F.element_at(lists, at + 1), (F.pmod(inside, F.lit(3)) + 1).cast("int")).alias("prompt")))
+    inside = F.pmod(F.col("__p"), per_task)
+    return placed.select(item, F.element_at(names, at + 1).alias("task"),
+                         F.element_at(F.element_at(lists, at + 1), (F.pmod(inside, F.lit(3)) + 1).cast("int")).alias("prompt"))
 
 
 def first_per_task(tasks: DataFrame, task: str, position: str, n: int) -> DataFrame:

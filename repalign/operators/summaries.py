@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import EPS_NORM, pearson, specialisation
 from ..functions.tails import correlation_p, mann_whitney_p
@@ -28,29 +28,14 @@ def peak(df: DataFrame, keys: Sequence[str], by: str, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.at").alias(f"peak_{by}"), F.col("b.v").alias(f"peak_{value}"))
 
 
-def stage_means(scores: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def stage_means(scores: DataFrame, ranges: Sequence[tuple[str, int, int]], keys: Sequence[str], value: str) -> DataFrame:
     """Mean over the layers of each inclusive range (J11); a range without layers gives null.
 
-    ``ranges(stage, lo, hi)`` is a handful of rows; each is expanded to its layers, so the join
-    is an equi-join.
+    ``ranges`` are (stage, lo, hi); one aggregate with a sum and a count per stage serves them all.
     """
-    layers = ranges.select("stage", F.explode(F.sequence("lo", "hi")).alias("layer"))
-    per_layer = scores.groupBy(*keys, "layer").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-    hit = per_layer.join(F.broadcast(layers), "layer")
-    means = hit.groupBy(*keys, "stage").agg((F.sum("__s") / F.sum("__n")).alias(value))
-    if not keys:
-        return ranges.select("stage").join(means, "stage", "left")
-    all_cells = scores.select(*keys).distinct().withColumn("stage", F.explode(
-        F.array(*[F.lit(r) for r in _stage_names(ranges)])))
-    return all_cells.join(means, [*keys, "stage"], "left")
-
-
-def _stage_names(ranges: DataFrame) -> list[str]:
-    """Stage names of the range table, which is a fixed dimension of a few rows."""
-    names = [r["stage"] for r in ranges.select("stage").limit(1000).collect()]
-    if len(names) == 1000:
-        raise ValueError("too many stages")
-    return names
+    inside = [(stage, F.when(F.col("layer").between(lo, hi), F.col(value))) for stage, lo, hi in ranges]
+    means = scores.groupBy(*keys).agg(F.array(*[F.struct(F.lit(stage).alias("stage"), F.avg(v).alias(value)) for stage, v in inside]).alias("__m"))
+    return means.select(*keys, F.explode("__m").alias("__s")).select(*keys, "__s.stage", f"__s.{value}")
 
 
 def expected_peaks(peaks: DataFrame, expected: DataFrame, on: str, at: str) -> DataFrame:
@@ -93,21 +78,22 @@ def selectivity(cells: DataFrame, row: str, col_: str, value: str, keys: Sequenc
 def interaction(cells: DataFrame, row: str, col_: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Cell minus row mean minus column mean plus grand mean."""
     keys = list(keys)
-    if not keys:
-        cells, keys = cells.withColumn("__g", F.lit(0)), ["__g"]
     out = cells
     for name, by in (("__r", [*keys, row]), ("__c", [*keys, col_]), ("__t", keys)):
-        out = out.join(cells.groupBy(*by).agg(F.avg(value).alias(name)), by)
-    return out.withColumn("interaction", F.col(value) - F.col("__r") - F.col("__c") + F.col("__t")).drop("__r", "__c", "__t", "__g")
+        out = _with_mean(out, cells.groupBy(*by).agg(F.avg(value).alias(name)), by, name)
+    return out.withColumn("interaction", F.col(value) - F.col("__r") - F.col("__c") + F.col("__t")).drop("__r", "__c", "__t")
+
+
+def _with_mean(df: DataFrame, totals: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add a group's total: by a join, or as a scalar where there is but one group."""
+    return df.join(totals.select(*keys, name), keys) if keys else df.withColumn(name, totals.select(name).scalar())
 
 
 def dissociation_statistics(cells: DataFrame, row: str, col_: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Diagonal and off-diagonal mean, mean selectivity, and the rank test of diagonal > rest."""
-    keys = list(keys) or ["__g"]
-    if keys == ["__g"]:
-        cells = cells.withColumn("__g", F.lit(0))
+    keys = list(keys)
     size = cells.groupBy(*keys).agg(F.least(F.max(row), F.max(col_)).alias("__k"))
-    square = cells.join(size, keys).where((F.col(row) <= F.col("__k")) & (F.col(col_) <= F.col("__k"))).drop("__k")
+    square = _with_mean(cells, size, keys, "__k").where((F.col(row) <= F.col("__k")) & (F.col(col_) <= F.col("__k"))).drop("__k")
     on = F.col(row) == F.col(col_)
     ranked = average_rank(square, keys, value, "__rank")
     ties = (square.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("c"))
@@ -115,20 +101,26 @@ def dissociation_statistics(cells: DataFrame, row: str, col_: str, value: str, k
     g = ranked.groupBy(*keys).agg(
         F.avg(F.when(on, F.col(value))).alias("diagonal_mean"), F.avg(F.when(~on, F.col(value))).alias("off_diagonal_mean"),
         F.sum(on.cast("int")).alias("__m"), F.sum((~on).cast("int")).alias("__n"),
-        F.sum(F.when(on, F.col("__rank")).otherwise(0.0)).alias("__w")).join(ties, keys)
+        F.sum(F.when(on, F.col("__rank")).otherwise(0.0)).alias("__w"))
+    g = _with_mean(g, ties, keys, "__ties")
     u = F.col("__w") - F.col("__m") * (F.col("__m") + 1) / 2
     enough = (F.col("__m") >= 3) & (F.col("__n") >= 3)
     sel = selectivity(cells, row, col_, value, keys).groupBy(*keys).agg(F.avg("selectivity").alias("mean_selectivity"))
-    return (g.withColumn("u", F.when(enough, u))
-             .withColumn("p", F.when(enough, mann_whitney_p(u, F.col("__m"), F.col("__n"), F.col("__ties"))))
-             .join(sel, keys).drop("__m", "__n", "__w", "__ties", "__g"))
+    out = (g.withColumn("u", F.when(enough, u))
+            .withColumn("p", F.when(enough, mann_whitney_p(u, F.col("__m"), F.col("__n"), F.col("__ties")))))
+    return _with_mean(out, sel, keys, "mean_selectivity").drop("__m", "__n", "__w", "__ties")
 
 
 # ---- specialisation ----------------------------------------------------------------------
 
 def with_known_score(df: DataFrame, region: str, known: DataFrame) -> DataFrame:
     """Published score of each region, 0 if there is none."""
-    return df.join(F.broadcast(known.select(region, "known")), region, "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
+    return df.join(known.select(region, "known"), region, "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
+
+
+def region_class(known: str) -> Column:
+    """visual or language by the sign of the published score; a score of 0 (STS) is neither."""
+    return F.when(F.col(known) > 0, "visual").when(F.col(known) < 0, "language")
 
 
 def stream_contrast(scores: DataFrame, keys: Sequence[str], stream: str, a: str, b: str, value: str) -> DataFrame:

@@ -37,7 +37,7 @@ def layer_means(spark, d):
 
 @query("stage_means", f"WITH {LAYER_MEANS}, {RANGES_SQL} SELECT l.lang, stage, avg(score) AS score FROM (SELECT DISTINCT lang FROM lm) l CROSS JOIN rg LEFT JOIN lm ON lm.lang = l.lang AND layer BETWEEN lo AND hi GROUP BY ALL", "score")
 def stage_means(spark, d):
-    return R.stage_means(layer_means(spark, d), ranges(spark), ["lang"], "score")
+    return R.stage_means(layer_means(spark, d), RANGES, ["lang"], "score")
 
 
 @query("peak_layers", f"WITH {LAYER_MEANS} SELECT lang, layer AS peak_layer, score AS peak_score FROM lm QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, layer) = 1", "peak_score")
@@ -100,7 +100,7 @@ def dissociation_p(spark, d):
 ROIS = ("V1", "V2", "V3", "V4", "FFA", "PPA", "EBA", "STS", "AG", "Broca", "IFG_extended")
 KNOWN = ", ".join(f"('{k}', {v})" for k, v in R.VISUAL_SCORE.items())
 SPEC = (f"ss AS (SELECT (user_id % 4)::INT AS layer, {list(ROIS)}[(props->>'$.k')::INT % 11 + 1] AS roi, event_type AS stream, value FROM events), "
-        f"known AS (SELECT * FROM (VALUES {KNOWN}) k(roi, known)), vis AS (SELECT roi, CASE WHEN known > 0 THEN 'visual' ELSE 'language' END AS grp, known FROM known)")
+        f"known AS (SELECT * FROM (VALUES {KNOWN}) k(roi, known)), vis AS (SELECT roi, CASE WHEN known > 0 THEN 'visual' ELSE 'language' END AS grp, known FROM known), apart AS (SELECT roi, grp FROM vis WHERE known <> 0)")
 
 
 def stream_scores(spark, d):
@@ -133,12 +133,11 @@ def specialisation_fit(spark, d):
 
 
 @query("crossover", f"""WITH {SPEC}, m AS (SELECT layer, avg(value) FILTER (grp = 'visual' AND stream = 'click') AS a_first, avg(value) FILTER (grp = 'language' AND stream = 'click') AS a_second,
-    avg(value) FILTER (grp = 'visual' AND stream = 'view') AS b_first, avg(value) FILTER (grp = 'language' AND stream = 'view') AS b_second FROM ss JOIN vis USING (roi) GROUP BY layer)
+    avg(value) FILTER (grp = 'visual' AND stream = 'view') AS b_first, avg(value) FILTER (grp = 'language' AND stream = 'view') AS b_second FROM ss JOIN apart USING (roi) GROUP BY layer)
     SELECT *, CASE WHEN a_first > b_first AND b_second > a_second THEN 'double' WHEN a_first > b_first THEN 'single' ELSE 'none' END AS verdict FROM m""", "a_first a_second b_first b_second")
 def crossover(spark, d):
     s = R.with_known_score(stream_scores(spark, d), "roi", known_scores(spark))
-    s = s.withColumn("grp", F.when(F.col("known") > 0, "visual").otherwise("language"))
-    return R.crossover(s, "grp", "visual", "language", "stream", "click", "view", "value", ["layer"])
+    return R.crossover(s.withColumn("grp", R.region_class("known")), "grp", "visual", "language", "stream", "click", "view", "value", ["layer"])
 
 
 @query("win_verdict", f"""WITH {CON}, w AS (SELECT layer, count(*) FILTER (grp = 'visual' AND a > b) AS first_wins, count(*) FILTER (grp = 'visual') AS first_n, count(*) FILTER (grp = 'language' AND a < b) AS second_wins, count(*) FILTER (grp = 'language') AS second_n FROM con JOIN vis USING (roi) GROUP BY layer)
@@ -157,10 +156,10 @@ def contrast_t(spark, d):
     return I.two_sample_t(c, [], F.col("known") > 0, "difference")
 
 
-@query("region_class_summary", f"WITH {SPEC} SELECT layer, grp, avg(m) AS mean, min(m) AS min, max(m) AS max, count(m) AS n FROM (SELECT layer, roi, avg(value) AS m FROM ss GROUP BY ALL) JOIN vis USING (roi) GROUP BY ALL", "mean min max")
+@query("region_class_summary", f"WITH {SPEC} SELECT layer, grp, avg(m) AS mean, min(m) AS min, max(m) AS max, count(m) AS n FROM (SELECT layer, roi, avg(value) AS m FROM ss GROUP BY ALL) JOIN apart USING (roi) GROUP BY ALL", "mean min max")
 def region_class_summary(spark, d):
     s = stream_scores(spark, d).groupBy("layer", "roi").agg(F.avg("value").alias("m"))
-    s = R.with_known_score(s, "roi", known_scores(spark)).withColumn("grp", F.when(F.col("known") > 0, "visual").otherwise("language"))
+    s = R.with_known_score(s, "roi", known_scores(spark)).withColumn("grp", R.region_class("known")).where("grp is not null")
     return R.region_class_summary(s, ["layer", "grp"], "m")
 
 
@@ -264,11 +263,11 @@ def rsa_full_table(spark, d):
     cells = cut_lineage(S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)] + subjects))
     mean = cells.where("segment LIKE 'S%'").groupBy("g", "i", "j").agg(F.avg("d").alias("b"))
     pairs = cut_lineage(cells.where("segment LIKE 'L%'").select("g", F.col("segment").alias("layer"), "i", "j", F.col("d").alias("a")).join(mean, ["g", "i", "j"]))
-    keys = ["layer"]
-    test = I.permutation_test_rsa(pairs.drop("g"), keys, "a", "b", 3)
-    ci = I.bootstrap_rsa(pairs.drop("g"), keys, "a", "b", 3)
-    ceiling = K.rdm_ceiling(segments(spark, d), ["g"], "item_id", subjects, "pearson")
-    out = test.join(ci, keys).withColumn("g", F.lit(0)).join(ceiling, "g")
+    keys = ["g", "layer"]
+    test = I.permutation_test_rsa(pairs, keys, "a", "b", 3)
+    ci = I.bootstrap_rsa(pairs, keys, "a", "b", 3)
+    ceiling = K.rdm_ceiling(segments(spark, d), ["g"], "item_id", subjects, "spearman")
+    out = test.join(ci, keys).join(ceiling, "g")
     return out.select("layer", F.col("observed").alias("rsa"), "p", "ci_low", "ci_high", "upper", "lower")
 
 

@@ -288,9 +288,9 @@ def task_prompts(spark, d):
       [['What is the main object in this image? Answer with a single word or short phrase.', 'Identify the primary object visible in this image.', 'What type of object is shown in the center of this image?'],
        ['What color is the largest object in this image?', 'Describe the spatial relationship between the objects in this image.', 'What is the color and position of each distinct object?'],
        ['Describe this image in detail.', 'Write a comprehensive caption for this image.', 'Provide a thorough description of what you see in this image.']] AS lists)
-    SELECT c_custkey, names[p // 500 + 1] AS task, lists[p // 500 + 1][(p % 500) % 3 + 1] AS prompt FROM p, t WHERE p // 500 < 3""")
+    SELECT c_custkey, names[p // m + 1] AS task, lists[p // m + 1][(p % m) % 3 + 1] AS prompt FROM p, t""")
 def rotating_prompts(spark, d):
-    return M.rotating_prompts(table(spark, d, "customer"), "c_custkey", 500)
+    return M.rotating_prompts(table(spark, d, "customer"), "c_custkey")
 
 
 @query("chat_prompts", "SELECT o_orderkey, 'USER: ' || o_orderpriority || chr(10) || 'ASSISTANT:' AS prompt FROM orders")

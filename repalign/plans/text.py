@@ -137,11 +137,6 @@ def caption_fluency(spark, d):
     return S.caption_fluency(p, ["l_returnflag"], "ppl")
 
 
-@query("similarity_drop")
-def similarity_drop(spark, d):
-    return S.similarity_drop(answers(spark, d), ["conv_id"], "pred", "gt")
-
-
 @query("clean_pieces", "WITH w AS (SELECT p_partkey, replace(replace('Ġ' || p_name || '▁', 'Ġ', ''), '▁', '') AS w FROM part) SELECT p_partkey, CASE WHEN length(w) > 8 THEN substr(w, 1, 7) || '.' ELSE w END AS piece FROM w")
 def clean_pieces(spark, d):
     return table(spark, d, "part").select("p_partkey", C.clean_piece(F.concat(F.lit("Ġ"), "p_name", F.lit("▁"))).alias("piece"))

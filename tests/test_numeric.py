@@ -348,8 +348,34 @@ def test_peak_ignores_missing_and_prefers_first(spark):
 
 
 @pytest.mark.parametrize("call", [
-    lambda df: S.compare_pairs(df, [], "a", "b", "kendall"), lambda df: P.rdm(df, ["g"], "i", {"d": "a"}, "cosine"),
+    lambda df: P.rdm(df, ["g"], "i", {"d": "a"}, "cosine"),
     lambda df: I.permutation_test(df, [], "i", F.lit(True), "a", 2, "median"), lambda df: S.cka(df, ["g"], "i", "a", "b", 1, 1, "poly")])
 def test_unknown_names_are_errors(spark, call):
     with pytest.raises(ValueError):
         call(spark.createDataFrame([(0, 1, 2.0, 3.0)], "g int, i int, a double, b double"))
+
+
+ODD = [(None, 2.0, 1), (None, 1.0, 2), ("a", None, 3), ("a", float("nan"), 4), ("a", float("inf"), 5), ("a", float("-inf"), 6), ("a", -3.0, 7), ("a", 1e-320, 8), ("a", 3.0, 9), ("a", None, 10)]
+
+
+def test_order_keeps_nulls_nan_infinities_and_null_keys(spark):
+    from repalign.operators import order as O
+
+    df = spark.createDataFrame(ODD, "k string, v double, i int")
+    pos = {r["i"]: (r["pos"], r["n"]) for r in O.position_by_value(df, ["k"], "v", ["i"]).collect()}
+    assert pos == {2: (0, 2), 1: (1, 2), 6: (0, 8), 7: (1, 8), 8: (2, 8), 9: (3, 8), 5: (4, 8), 4: (5, 8), 3: (6, 8), 10: (7, 8)}
+    ranks = {r["i"]: r["rank"] for r in O.average_rank(df, ["k"], "v").collect()}
+    assert ranks == {2: 1, 1: 2, 6: 1, 7: 2, 8: 3, 9: 4, 5: 5, 4: 6, 3: None, 10: None}
+    assert sorted(r["i"] for r in O.kfold(df, ["k"], "i", 3).collect()) == list(range(1, 11))
+
+
+def test_fdr_with_ties_nulls_and_null_keys(spark):
+    p = [0.01, 0.04, 0.04, 0.03, 0.5, 1.0, 1.0, 1.0]
+    rows = [(k, x) for k in (None, "a") for x in [*p, None]]
+    got = I.benjamini_hochberg(spark.createDataFrame(rows, "k string, p double"), ["k"], "p").collect()
+    order = np.sort(p)
+    step = np.minimum.accumulate((order * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    want = {x: min(1.0, step[np.searchsorted(order, x)]) for x in p}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["adjusted_p"] is None if r["p"] is None else abs(r["adjusted_p"] - want[r["p"]]) < 1e-12
