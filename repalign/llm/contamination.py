@@ -26,8 +26,20 @@ def plain(text: str | None) -> str:
     return _GAP.sub(" ", (text or "").lower()).strip()
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+_alnum: list[np.ndarray] = []
+
+
+def plain_codes(text: str | None) -> np.ndarray:
+    """The code points of ``plain(text)``, by a table of letters and digits instead of an expression."""
+    if not _alnum:
+        _alnum.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    keep = _alnum[0][codes]
+    first = np.empty(len(codes), bool)
+    first[:1] = False
+    first[1:] = keep[:-1] & ~keep[1:]  # of each gap its first character stays, as a space
+    out = np.where(keep, codes, np.uint32(32))[keep | first]
+    return out[:-1] if len(out) and out[-1] == 32 else out
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -60,7 +72,7 @@ class Index:
 
 def build(items: list[tuple[int, str]], rate: float) -> Index | None:
     """An index of (item_id, text); items of fewer than Q normalised characters are left out."""
-    items = [(i, c) for i, c in ((i, _codes(plain(t))) for i, t in items) if len(c) >= Q]
+    items = [(i, c) for i, c in ((i, plain_codes(t)) for i, t in items) if len(c) >= Q]
     if not items:
         return None
     codes = [c for _, c in items]
@@ -143,8 +155,7 @@ def _aligned(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[
     return out
 
 
-def _search(text: str | None, index: Index) -> list[tuple[int, int]]:
-    codes = _codes(plain(text))
+def _search(codes: np.ndarray, index: Index) -> list[tuple[int, int]]:
     grams = _grams(codes)
     overlap = max(len(c) for c in index.codes) * 2 + 8 * int(index.edits.max() + 1)
     found: set[tuple[int, int]] = set()
@@ -156,14 +167,11 @@ def _search(text: str | None, index: Index) -> list[tuple[int, int]]:
 def _matches(texts: pd.Series, index: Index) -> list[list[dict]]:
     out: list[list[dict]] = []
     jobs, whose = [], []
-    plain_codes = [None] * len(texts)
     for n, text in enumerate(texts):
         out.append([])
-        bands = _search(text, index)
-        if bands:
-            plain_codes[n] = _codes(plain(text))
-        for item, diagonal in bands:
-            jobs.append((index.codes[item], plain_codes[n], diagonal, int(index.edits[item])))
+        codes = plain_codes(text)
+        for item, diagonal in _search(codes, index):
+            jobs.append((index.codes[item], codes, diagonal, int(index.edits[item])))
             whose.append((n, item))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for k in range(0, len(jobs), 256):

@@ -179,6 +179,11 @@ def test_contamination_against_plain_alignment(spark, texts):
     assert contamination.clean(table, bench.limit(0)).count() == len(rows) and contamination.clean(table.limit(0), bench).count() == 0
 
 
+def test_normalised_code_points():
+    for text in ("Ab, c__d!", "", None, " .a", "a. ", "É\u0301x \u00a0İ9", "...", "日本 語", "x" * 9):
+        assert contamination.plain_codes(text).tolist() == [ord(c) for c in contamination.plain(text)]
+
+
 def test_long_and_periodic_texts(spark):
     item = "abcdefgh" * 12
     rows = [(1, "abcdefgh" * 9000), (2, "z" * 100_000), (3, "y " * 30_000 + item + " x" * 30_000)]
