@@ -23,6 +23,12 @@ def one_feature(spark, d):
     return items(spark, d).select("g", "item_id", F.slice("e", 9, 1).alias("x"), F.slice("e", 1, 8).alias("y"))
 
 
+def train_and_test(rows):
+    """Rows of the md5 folds 1 to 4 of 5, and those of fold 0."""
+    folds = O.kfold(rows, ["g"], "item_id", 5)
+    return folds.where("fold <> 0").drop("fold"), folds.where("fold = 0").drop("fold")
+
+
 @query("kfold_md5", f"WITH {EMB} SELECT item_id, (ntile(5) OVER (ORDER BY md5('42-' || item_id)) - 1)::INT AS fold FROM emb")
 def kfold_md5(spark, d):
     return O.kfold(items(spark, d).select("g", "item_id"), ["g"], "item_id", 5).select("item_id", "fold")
@@ -100,18 +106,17 @@ def unique_parts(r, keys):
                     (F.col("V") + F.col("L") - F.col("VL")).alias("shared"))
 
 
-@query("ridge_holdout_one_feature", f"""WITH {ONE}, o AS (SELECT *, dense_rank() OVER (ORDER BY item_id) <= floor(0.8 * (SELECT count(*) FROM emb)) AS early FROM long),
-    z AS (SELECT item_id, target, y, early, (x - avg(x) OVER (PARTITION BY target)) / stddev_pop(x) OVER (PARTITION BY target) AS z FROM o),
-    s AS (SELECT target, avg(y) AS yb, sum(z*z) AS zz, sum(z*y) AS zy FROM z GROUP BY target),
+@query("ridge_holdout_one_feature", f"""WITH {ONE}, tr AS (SELECT target, avg(x) AS mu, stddev_pop(x) AS sd FROM f WHERE fold <> 0 GROUP BY target),
+    s AS (SELECT f.target, avg(y) AS yb, sum(pow((x - mu) / sd, 2)) AS zz, sum((x - mu) / sd * y) AS zy FROM f JOIN tr USING (target) WHERE fold <> 0 GROUP BY f.target),
     c AS (SELECT item_id, t.t::INT AS target, e[t.t + 1] AS yw, e[t.t + 33] AS yx FROM emb, range(8) t(t)),
-    p AS (SELECT target, yw, yx, yb + z * zy / (zz + 100) AS p FROM z JOIN s USING (target) JOIN c USING (item_id, target))
+    p AS (SELECT target, yw, yx, yb + (x - mu) / sd * zy / (zz + 100) AS p FROM f JOIN tr USING (target) JOIN s USING (target) JOIN c USING (item_id, target) WHERE fold = 0)
     SELECT 'within' AS condition, target, {r_of('p', 'yw')} AS r FROM p GROUP BY target UNION ALL
     SELECT 'cross', target, {r_of('p', 'yx')} FROM p GROUP BY target""", "r")
 def ridge_holdout_one_feature(spark, d):
-    """One feature: the penalty never changes r, so the first is kept."""
-    rows = one_feature(spark, d)
-    cross = items(spark, d).select("g", "item_id", F.slice("e", 9, 1).alias("x"), F.slice("e", 33, 8).alias("y"))
-    return G.holdout_ridge(rows, {"within": rows, "cross": cross}, ["g"], "item_id", "x", "y").select("condition", "target", "r")
+    """One feature: the penalty never changes r, so the first is kept. The first md5 fold is for testing only."""
+    train, test = train_and_test(items(spark, d).select("g", "item_id", F.slice("e", 9, 1).alias("x"), F.slice("e", 1, 8).alias("within"), F.slice("e", 33, 8).alias("cross")))
+    tests = {name: test.withColumnRenamed(name, "y") for name in ("within", "cross")}
+    return G.holdout_ridge(train.withColumnRenamed("within", "y"), tests, ["g"], "item_id", "x", "y").select("condition", "target", "r")
 
 
 LOO = "(VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0), (100.0), (1000.0)) a(a)"
@@ -178,12 +183,21 @@ def encoding_loo(spark, d):
 
 @query("encoding_within_cross")
 def encoding_within_cross(spark, d):
-    """Within- and cross-condition scores per layer and region of targets."""
-    e = items(spark, d)
-    x = F.array(*[F.slice("e", 16 * k + 1, 16) for k in range(4)])
-    rows = e.select("item_id", F.slice("e", 1, 32).alias("see"), F.slice("e", 33, 32).alias("read"), F.posexplode(x).alias("layer", "x"))
-    see, read = rows.withColumnRenamed("see", "y"), rows.withColumnRenamed("read", "y")
-    r = G.holdout_ridge(see, {"within": see, "cross": read}, ["layer"], "item_id", "x", "y", n_components=12)
+    """Within- and cross-condition scores of test items per layer and region of targets.
+
+    A layer is every fourth element from its number on, the targets are all others, so that none predicts itself.
+    """
+    train, test = train_and_test(items(spark, d).select("g", "item_id", "e"))
+
+    def layer(k, part):
+        own, rest = F.filter("e", lambda v, i: i % 4 == k), F.filter("e", lambda v, i: i % 4 != k)
+        return F.struct(F.lit(k).alias("layer"), own.alias("x"), F.slice(rest, 1 + 24 * part, 24).alias("y"))
+
+    def rows(df, part):
+        layers = [layer(k, part) for k in range(4)]
+        return df.select("item_id", F.explode(F.array(*layers)).alias("c")).select("item_id", "c.*")
+
+    r = G.holdout_ridge(rows(train, 0), {"within": rows(test, 0), "cross": rows(test, 1)}, ["layer"], "item_id", "x", "y", n_components=12)
     return (r.withColumn("roi", F.floor(F.col("target") / 8).cast("int")).groupBy("layer", "roi")
             .agg(F.avg(F.when(F.col("condition") == "within", F.col("r"))).alias("within_r"),
                  F.avg(F.when(F.col("condition") == "cross", F.col("r"))).alias("cross_r"), F.max("alpha").alias("alpha")))

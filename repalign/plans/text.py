@@ -112,23 +112,23 @@ def language_quality(spark, d):
     return S.language_quality(spread(table(spark, d, "documents").select("lang", "text")), ["lang"], "text")
 
 
-@query("exact_match", "WITH " + ANSWERS + f""", t AS (SELECT conv_id, regexp_replace(lower(pred), '^{WS}+|{WS}+$', '', 'g') AS p, lower(string_split(gt, ' ')[1]) AS g FROM answers)
+@query("exact_match", "WITH " + ANSWERS + f""", t AS (SELECT conv_id, regexp_replace(lower(pred), '^{WS}+|{WS}+$', '', 'g') AS p, regexp_replace(lower(gt), '^{WS}+|{WS}+$', '', 'g') AS g FROM answers)
     SELECT conv_id, avg(CASE WHEN g <> '' AND contains(p, g) THEN 1.0 ELSE 0.0 END) AS score FROM t GROUP BY conv_id""", "score")
 def exact_match(spark, d):
-    """The first word of the question counts as the reference."""
-    return S.exact_match(answers(spark, d).withColumn("g", F.element_at(F.split("gt", " "), 1)), ["conv_id"], "pred", "g")
+    """The whole question counts as the reference."""
+    return S.exact_match(answers(spark, d), ["conv_id"], "pred", "gt")
 
 
 OPTS = ["zz", "un", "es", "th"]
 
 
-@query("mc_accuracy", "WITH " + ANSWERS + f""", t AS (SELECT conv_id, lower(pred) AS p, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE {OPTS} END AS o, turn % 4 AS c, lower(string_split(gt, ' ')[1]) AS g FROM answers),
+@query("mc_accuracy", "WITH " + ANSWERS + f""", t AS (SELECT conv_id, lower(pred) AS p, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE {OPTS} END AS o, turn % 4 AS c, regexp_replace(lower(gt), '^{WS}+|{WS}+$', '', 'g') AS g FROM answers),
     h AS (SELECT conv_id, CASE WHEN o IS NULL THEN (g <> '' AND contains(p, g))::INT ELSE coalesce((list_filter([0,1,2,3], lambda i: contains(p, o[i+1]))[1] = c)::INT, 0) END AS h FROM t)
     SELECT conv_id, avg(h) AS score FROM h GROUP BY conv_id""", "score")
 def mc_accuracy(spark, d):
     a = (answers(spark, d).withColumn("o", F.when(F.pmod("conv_id", F.lit(4)) != 0, F.array(*[F.lit(o) for o in OPTS])))
-         .withColumn("c", F.pmod("turn", F.lit(4))).withColumn("g", F.element_at(F.split("gt", " "), 1)))
-    return S.option_accuracy(a, ["conv_id"], "pred", "o", "c", "g")
+         .withColumn("c", F.pmod("turn", F.lit(4))))
+    return S.option_accuracy(a, ["conv_id"], "pred", "o", "c", "gt")
 
 
 @query("caption_fluency", "SELECT l_returnflag, avg(1 - ln(greatest(1, least(1000, l_extendedprice / 50))) / ln(1000)) AS score FROM lineitem GROUP BY 1", "score")
