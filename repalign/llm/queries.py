@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, embeddings, jaccard, licenses, pieces, pii, sharding, tokens, toxicity, warc
+from . import contamination, embeddings, jaccard, licenses, oracles, pieces, pii, sharding, tokens, toxicity, warc
 
 # The folder of the public tokenizers' files, the same on every machine.
 PIECES, WORDS = (public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "word_bpe_49k.json"))
@@ -52,25 +52,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", "m.start")
 
 
-@query("op5_license_scan")
+@query("op5_license_scan", oracles.licenses())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op6_warc", """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT d, min(page_id) AS first_id FROM p WHERE octet_length(b) >= 100 GROUP BY d)
-SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, p.d AS payload_digest,
-CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN page_id > first_id THEN first_id END AS refers_to
-FROM p LEFT JOIN f ON p.d = f.d""")
+@query("op6_warc", oracles.WARC)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-@query("op7_ngram_jaccard")
+@query("op7_ngram_jaccard", oracles.JACCARD)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op8_sentence_pieces")
@@ -87,6 +81,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), WORDS)
 
 
-@query("op10_embedding_near_dedup")
+@query("op10_embedding_near_dedup", oracles.EMBEDDINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

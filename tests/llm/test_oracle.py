@@ -1,0 +1,17 @@
+"""Queries of the subpackage against their SQL at the smallest scale."""
+
+import os
+
+import pytest
+
+from oracle import compare, connect
+from repalign.llm import queries
+
+SF_DIR = os.environ.get("REPALIGN_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_query(spark, name):
+    ok, note = compare(spark, connect(SF_DIR), SF_DIR, name, queries.QUERIES[name], queries.ORACLE[name])
+    assert ok, note
