@@ -33,10 +33,11 @@ SELECT vec_id, n_links::BIGINT AS n_links, component_id, vec_id = component_id A
 
 JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
-  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
-n AS (SELECT doc_id, len(s) AS n FROM s),
-g AS (SELECT doc_id, hash(unnest(s)) AS g FROM s),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS m FROM w),
+r AS (SELECT doc_id, m, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, hash(five) AS g FROM r WHERE five IS NOT NULL
+  UNION ALL SELECT doc_id, hash(array_to_string(w, ' ')) FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 {_components("links", "n", "doc_id")}
