@@ -276,6 +276,14 @@ def subject_summary(scores: DataFrame, keys: Sequence[str], value: str) -> DataF
     return scores.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("n"))
 
 
+def common_average(scores: DataFrame, keys: Sequence[str], subject: str, value: str) -> DataFrame:
+    """Mean over subjects of the keys (items, targets) that every subject has (A3)."""
+    per = scores.groupBy(*keys, subject).agg(F.avg(value).alias("__v"))
+    subjects = scores.select(F.count_distinct(subject)).scalar()
+    means = per.groupBy(*keys).agg(F.avg("__v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return means.where(F.col("n") == subjects)
+
+
 def layer_region_rollup(scores: DataFrame, layer: str, roi: str, value: str) -> DataFrame:
     """Means per (layer, region), per layer and overall in one pass."""
     return scores.rollup(layer, roi).agg(F.avg(value).alias("mean"), F.grouping_id().alias("level"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ceiling_from_snr, ceiling_normalised
 from ..operators import features as X, inference as I, order as O, ridge as G, summaries as R
-from .inputs import EMB, FEAT, RESP, features, items, r_of, response_vectors, responses, segments, streams
+from .inputs import EMB, FEAT, RESP, features, items, r_of, response_vectors, responses, segments, streams, table
 from .registry import query
 
 # x is the element after the targets, y the first eight elements, in long form.
@@ -36,7 +36,6 @@ def kfold_md5(spark, d):
 
 @query("ordered_holdout", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= floor(0.8 * count(*) OVER (PARTITION BY event_type)) AS is_train FROM events")
 def ordered_holdout(spark, d):
-    from .inputs import table
 
     return O.ordered_holdout(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id").select("event_id", "is_train")
 
@@ -54,7 +53,6 @@ def random_subset(spark, d):
 @query("target_stride", """WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS p,
     count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, event_id FROM p WHERE p % greatest(1, n // 200) = 0""")
 def target_stride(spark, d):
-    from .inputs import table
 
     return O.every_nth(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id")
 
@@ -342,6 +340,14 @@ def loo_mean(spark, d):
     return I.leave_one_out(responses(spark, d), ["item_id", "target"], "value").select("subject", "item_id", "target", "loo")
 
 
+@query("common_average", """WITH v AS (SELECT user_id AS item, event_type AS subject, avg(value) AS v FROM events GROUP BY ALL)
+    SELECT item, avg(v) AS mean, count(*) AS n FROM v GROUP BY item HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)""", "mean")
+def common_average(spark, d):
+    """Event types as subjects, users as items (A3)."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("subject"), "value")
+    return R.common_average(e, ["item"], "subject", "value")
+
+
 @query("subject_average", f"WITH {RESP} SELECT item_id, target, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM resp GROUP BY ALL", "mean std")
 def subject_average(spark, d):
     return R.subject_summary(responses(spark, d), ["item_id", "target"], "value")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import pearson
 from ..operators import order as O, pairs as P, rankpairs as K, ridge as G, similarity as S, summaries as R
+from ..session import shared_folder
+from ..sources import tables as T
 from .inputs import (EMB, SEG, avg_rank, items, pair_distances, r_of, segments, streams, student_sql, unit_rows, table)
 from .registry import query
 
@@ -44,6 +48,17 @@ def rdm_square_row_sums(spark, d):
     return P.square_view(pairs, "d").groupBy("i").agg(F.sum("d").alias("row_sum"), F.count(F.lit(1)).alias("n"))
 
 
+@query("saved_rdms", f"""WITH {UNITS} {pair_distances('uv', 'label', 'pv')}, k AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 2)
+    SELECT label::VARCHAR AS source, count(*) AS n_pairs, sum(d) AS total FROM pv WHERE label IN (SELECT label FROM k) AND label IN (0, 1, 2) GROUP BY label""", "total")
+def saved_rdms(spark, d):
+    """RDMs per label written and read back; a source that was never saved is absent."""
+    source = F.col("label").cast("string").alias("source")
+    path = f"{shared_folder(spark)}/rdms-{uuid.uuid4().hex}"
+    sizes = items(spark, d).groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    T.write_rdms(P.rdm(streams(spark, d), ["label"], "item_id", {"d": "vis"}).select(source, "i", "j", "d"), path, sizes)
+    return T.read_rdms(spark, path, ["0", "1", "2", "never saved"]).groupBy("source").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("d").alias("total"))
+
+
 @query("average_rank", f"SELECT event_id, event_type, {avg_rank('value', 'event_type')} AS rank FROM events", "rank")
 def average_rank(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
