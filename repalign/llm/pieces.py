@@ -17,7 +17,7 @@ MARK = "▁"  # stands for a space in pieces
 _LITERAL = "\ud800"  # stands for MARK itself inside this module: no text can hold it
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 FILTER_BITS = 22
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 22
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -140,20 +140,22 @@ def _bytes_of(char: int) -> bytes:
 
 def encode(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
     """Sampled piece ids of each text; a text's ids depend on it, its key and ``seed`` alone."""
-    units: dict[str, int] = {}
-    found, counts = [], []
-    for text in texts:
-        parts = _UNIT.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)) if text else []
-        found += [units.setdefault(p, len(units)) for p in parts]
-        counts.append(len(parts))
-    unit, counts = np.array(found, np.int64), np.array(counts, np.int64)
+    found: list[str] = []
+    counts = np.zeros(len(texts), np.int64)
+    for n, text in enumerate(texts):
+        if text:
+            parts = _UNIT.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
+            found += parts
+            counts[n] = len(parts)
+    names = list(dict.fromkeys(found))
+    place = dict(zip(names, range(len(names))))
+    unit = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
     ends = np.cumsum(counts)
     row = np.repeat(np.arange(len(texts)), counts)
     turn = (np.arange(len(unit)) - np.repeat(ends - counts, counts)).astype(np.uint64)
     start = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     seeds = mix(start[row] + turn * np.uint64(0xE7037ED1A0B428DB)) if len(unit) else np.zeros(0, np.uint64)
-    names = list(units)
-    lengths = np.array([len(n) for n in names], np.int64)
+    lengths = np.fromiter(map(len, names), np.int64, len(names))
     group = np.searchsorted(WIDTHS, lengths)
     group = np.where(group < len(WIDTHS), np.array(WIDTHS + (0,))[group], lengths)
     by_unit = np.argsort(unit, kind="stable")
@@ -163,7 +165,7 @@ def encode(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int)
         members = np.flatnonzero(group == width)
         for k in range(0, len(members), max(1, 400_000 // int(width))):
             some = members[k:k + max(1, 400_000 // int(width))]
-            text = "".join(names[m] + "\0" * (int(width) - len(names[m])) for m in some)
+            text = "".join([names[m].ljust(int(width), "\0") for m in some])
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), -1)
             sizes = unit_starts[some + 1] - unit_starts[some]
             local = np.repeat(np.arange(len(some)), sizes)
@@ -181,12 +183,27 @@ def encode(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int)
     flat = np.empty(len(who), np.int32)
     flat[last[who] - 1 - when] = what
     bounds = np.concatenate([[0], last])[np.concatenate([[0], ends])]
-    out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    for n, ids in enumerate(out):
-        if len(ids) and ids.min() < 0:
-            raw = [v.byte_ids[np.frombuffer(_bytes_of(-int(x) - 1), np.uint8)] if x < 0 else [x] for x in ids]
-            out[n] = np.concatenate(raw).astype(np.int32)
-    return out
+    flat, moved = _with_bytes(flat, v)
+    bounds = moved[bounds]
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _with_bytes(flat: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` with characters (-1 - code) replaced by the pieces of their bytes, and where each place has moved."""
+    own = flat < 0
+    chars, which = np.unique(-1 - flat[own], return_inverse=True)
+    parts = [v.byte_ids[np.frombuffer(_bytes_of(int(c)), np.uint8)] for c in chars]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    sizes = np.ones(len(flat), np.int64)
+    sizes[own] = lengths[which]
+    moved = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(moved[-1], np.int32)
+    out[moved[:-1][~own]] = flat[~own]
+    for k in range(lengths.max(initial=0)):
+        longer = lengths[which] > k
+        kth = np.array([p[k] if len(p) > k else 0 for p in parts], np.int32)
+        out[moved[:-1][own][longer] + k] = kth[which[longer]]
+    return out, moved
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
