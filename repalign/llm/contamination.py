@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix
+from .storage import text_batches
 
 Q = 8
 FILTER_BITS = 22
@@ -203,6 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars:
     Null and empty texts match nothing. All rows and other columns stay; ``out`` is replaced.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .graph import connected_components
 from .hashing import WHITE_SPACE, mix, shingle_hashes, text_chunks, word_hashes
-from .storage import kept, shuffle_parts
+from .storage import kept, shuffle_parts, text_batches
 from .tiles import dealt, spread_in_tiles, tiles_of
 
 # Weight of a tile part in n-grams; a document counts for DOC_WEIGHT more, which bounds its rows.
@@ -285,6 +285,7 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: st
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
+    text_batches(spark)
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
     deal = lambda df: df.repartitionById(parts, F.col("slot").cast("int")).sortWithinPartitions("kind", "slot")
     by_gram = deal(pairs.mapInArrow(_sets(width, parts), _ENTRY)).mapInArrow(_shared(parts), _ENTRY)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix
+from .storage import text_batches
 
 MARK = "▁"  # stands for a space in pieces
 _LITERAL = "\ud800"  # stands for MARK itself inside this module: no text can hold it
@@ -252,6 +253,7 @@ def encoded(docs: DataFrame, model_file: str, seed: int = 42, alpha: float = 1.0
             ids = [x for some, k in _chunks(texts, keys) for x in encode(some, k, v, seed)]
             yield pd.Series(ids, dtype=object)
 
+    text_batches(docs.sparkSession)
     return docs.withColumn(out, pieces(F.col("text").cast("string"), F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import WHITE_SPACE, mix, text_chunks, word_hashes
-from .storage import kept
+from .storage import kept, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 22  # of the filter of context hashes: 512 KB
@@ -194,6 +194,7 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float =
 
     Null texts are empty. Rows of one doc_id keep their own text's spans. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     found = kept(pairs.mapInArrow(_find, _FOUND), "pii")
     trusted = _trusted(docs, found, rounds, support, confidence)

@@ -28,3 +28,14 @@ def empty_like(spark: SparkSession, schema: StructType | str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most TEXT_ROWS rows at a time, as rows of texts are large; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyarrow import fs
 
-from .storage import kept, new_path, shuffle_parts
+from .storage import kept, new_path, shuffle_parts, text_batches
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -185,6 +185,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end: int = 2, mode:
     which is a table in the shared folder; ``start`` is the number of ids in all files before.
     """
     spark = docs.sparkSession
+    text_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = writer = None

@@ -13,7 +13,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix
-from .storage import kept
+from .storage import kept, text_batches
 
 FEATURE_BITS = 20
 CHUNK = 1 << 14
@@ -59,8 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[int(label), grams.of(text)] += 1
     n = (1 << FEATURE_BITS) // CHUNK
-    yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array([counts[0, k * CHUNK:(k + 1) * CHUNK].tolist() for k in range(n)]),
-                           pa.array([counts[1, k * CHUNK:(k + 1) * CHUNK].tolist() for k in range(n)])], names=["chunk", "clean", "toxic"])
+    yield pa.record_batch([pa.array(range(n), pa.int32()), *(pa.array(list(c.astype(np.float64).reshape(n, CHUNK)), pa.list_(pa.float64())) for c in counts)], names=["chunk", "clean", "toxic"])
 
 
 def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
     and logistic regression weighs those. At most ``max_rows`` labelled documents are used.
     Labels of one kind only give a constant score, the smoothed share of toxic labels.
     """
+    text_batches(docs.sparkSession)
     sample = kept(training_sample(docs, labels, max_rows).repartition(16), "labelled")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -122,6 +122,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     Null and empty texts hold no n-gram but those of white space. The model, of fixed size, is
     broadcast. Other columns stay; a column named ``out`` is replaced.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
