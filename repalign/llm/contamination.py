@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix
-from .storage import text_batches
+from .storage import process_cache, text_batches
 
 Q = 8
 FILTER_BITS = 22
@@ -27,15 +27,13 @@ def plain(text: str | None) -> str:
     return _GAP.sub(" ", (text or "").lower()).strip()
 
 
-_alnum: list[np.ndarray] = []
-
-
 def plain_codes(text: str | None) -> np.ndarray:
     """The code points of ``plain(text)``, by a table of letters and digits instead of an expression."""
-    if not _alnum:
-        _alnum.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    loaded = process_cache()
+    if "alnum" not in loaded:
+        loaded["alnum"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
     codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    keep = _alnum[0][codes]
+    keep = loaded["alnum"][codes]
     first = np.empty(len(codes), bool)
     first[:1] = False
     first[1:] = keep[:-1] & ~keep[1:]  # of each gap its first character stays, as a space

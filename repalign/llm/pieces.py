@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix
-from .storage import text_batches
+from .storage import process_cache, text_batches
 
 MARK = "▁"  # stands for a space in pieces
 _LITERAL = "\ud800"  # stands for MARK itself inside this module: no text can hold it
@@ -217,13 +217,12 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return data[1:].tobytes().decode()  # the first byte is the space that encoding puts before a text
 
 
-_loaded: dict[tuple[str, float], Vocabulary] = {}
-
-
 def _vocabulary(model_file: str, alpha: float) -> Vocabulary:
-    if (model_file, alpha) not in _loaded:
-        _loaded[model_file, alpha] = load(model_file, alpha)
-    return _loaded[model_file, alpha]
+    """A model is loaded once per worker process, as plain arrays that any later task may use."""
+    loaded, name = process_cache(), f"pieces:{model_file}:{alpha}"
+    if name not in loaded:
+        loaded[name] = vars(load(model_file, alpha))
+    return Vocabulary(**loaded[name])
 
 
 def _chunks(texts: pd.Series, keys: pd.Series) -> Iterator[tuple[list[str | None], np.ndarray]]:

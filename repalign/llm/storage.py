@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +41,11 @@ def text_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(name))
     if now <= 0 or now > TEXT_ROWS:
         spark.conf.set(name, str(TEXT_ROWS))
+
+
+def process_cache() -> dict:
+    """A dictionary that lives as long as the Python process, for what tasks of one worker can share.
+
+    Task functions travel with their code, so globals of this package begin anew with each task.
+    """
+    return sys.modules.setdefault("_repalign_cache", types.ModuleType("_repalign_cache")).__dict__

@@ -15,11 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyarrow import fs
 
-from .storage import kept, new_path, shuffle_parts, text_batches
+from .storage import kept, new_path, process_cache, shuffle_parts, text_batches
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 _SEPARATOR = "~"
 
 
@@ -126,16 +126,27 @@ class Reader:
 
 class Words:
     """Token ids of texts. Texts are cut at spaces, tabs and line feeds, which no token crosses, and
-    the ids of each distinct part are computed once while it is among the ``CACHE_WORDS`` last ones."""
+    the ids of each distinct part are computed once until there are more than ``CACHE_WORDS``. ``keep``
+    hands them on to later tasks of the worker process."""
 
     def __init__(self, file: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(file)
+        loaded = process_cache()
+        self.kept = loaded.setdefault(f"words:{file}", {})
+        if "model" not in self.kept:
+            self.kept["model"] = Tokenizer.from_file(file)
+        self.model = self.kept["model"]
         self.end = np.array([end], np.uint32)
         mark = self.model.encode(_SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.forget()
+        if "words" in self.kept:  # of an earlier task of this worker
+            self.place, self.starts, self.sizes, self.flat = self.kept["words"]
+        else:
+            self.forget()
+
+    def keep(self) -> None:
+        self.kept["words"] = self.place, self.starts, self.sizes, self.flat
 
     def forget(self) -> None:
         self.place: dict[str, int] = {"": 0}
@@ -202,6 +213,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end: int = 2, mode:
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
                     writer.add(doc_id, ids)
         if writer is not None:
+            words.keep()
             writer.close()
             yield pa.record_batch([pa.array([task], pa.int32()), pa.array([path]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.ids], pa.int64())],
                                   names=["part", "path", "docs", "ids"])
