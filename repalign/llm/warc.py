@@ -17,7 +17,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
-from .storage import new_path
+from .storage import kept, new_path
 
 SCHEMA = "record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 SPLIT_BYTES = 64 << 20
@@ -277,9 +277,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
 
     Of equal payloads of ``least`` bytes or more the smallest page_id is the response, pages of larger ids
     revisit it. Rows that share the smallest id are all responses, and so are rows of a null id.
-    Payloads are compared by SHA-256. The first page of each digest comes from an aggregate, and
-    only digests of several pages are joined back; payloads take no part in either shuffle unless
-    that join is large. Other columns are not archived.
+    Payloads are compared by SHA-256. The first page of each digest comes from an aggregate; only
+    digests of several pages are kept, as a table of known size, and joined back. Payloads are
+    shuffled only where that table is too large to be sent to all. Other columns are not archived.
     """
     spark = pages.sparkSession
     register(spark)
@@ -288,6 +288,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     firsts = (rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
               .where(F.col("first") < F.col("last")).drop("last"))
+    firsts = kept(firsts, "firsts")  # of known size: joined without moving the payloads where it is small
     again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     out = rows.join(firsts, "payload_digest", "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), "page_id", "url", F.when(again, F.col("first")).alias("refers_to"),
