@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with the odd rows of conftest."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -219,6 +220,33 @@ def test_licenses(spark, docs, texts, nothing):
     assert licenses.scan(nothing).count() == 0 and licenses.scan(docs).count() == len(texts)
 
 
+def test_license_windows_cross_lines_and_end(spark):
+    wrapped = {"mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files",
+               "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted",
+               "apache-2": "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n  http://www.apache.org/"}
+    rng, common = random.Random(4), sorted({w for _, words in licenses.TEMPLATES for w in words.split()})
+    noise = lambda n: " ".join(rng.choice(["river", "walk", "seven"]) for _ in range(n))
+    rows = [(k, f"{noise(lead)} {text} {noise(300)}") for k, (lead, text) in enumerate((lead, t) for lead in (0, 30, 47, 90, 95, 700) for t in wrapped.values())]
+    far = "all " + noise(60) + " rights " + noise(60) + " reserved"  # one line, but no notice
+    rows += [(500, far), (501, " ".join(f"{w} {noise(40)}" for w in wrapped["mit"].split()))]
+    rows += [(600 + k, " ".join(rng.choice(common) if rng.random() < 0.8 else "x" for _ in range(400))) for k in range(20)]
+    rows += [(700 + k, noise(40 + k) + " all" + " x" * (k // 2) + " rights " + noise(k % 2) + " reserved") for k in range(12)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].labels == list(wrapped)[k % 3] and got[k].score == 1.0 for k in range(18))
+    assert got[500].labels == got[501].labels == "" and got[500].score == 0
+    for i, t in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        found, share = set(), 0.0
+        for label, w in licenses.TEMPLATES:
+            s, width = set(w.split()), 2 * len(w.split())
+            most = max(len(s.intersection(words[k:k + width])) for k in range(len(words)))
+            if most >= -(-len(s) * 9 // 10):
+                found.add(label)
+                share = max(share, most / len(s))
+        phrases = {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        assert got[i].labels == ",".join(sorted(found | phrases)) and abs(got[i].score - (1.0 if phrases else share)) < 1e-9
+
+
 # ---- n-gram Jaccard join -------------------------------------------------------------------------
 
 
