@@ -92,7 +92,7 @@ _FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key",
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) -> kind 0: a row's base spans; kind 1: words formed like identifiers with their context."""
+    """(doc_id, key, text) -> kind 0: a row's base spans; kind 1: words formed like identifiers, with their context if they have one."""
     for batch in batches:
         out = []
         for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -120,9 +120,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not any(x < a + len(core) and a < y for x, y in taken[at:at + 4]):
                     places.append((a, a + len(core), None))
             for a, b, kind in places:
-                if (context := _context(text, a)) is not None:
-                    item = int.from_bytes(hashlib.blake2b(text[a:b].lower().encode(), digest_size=8).digest(), "little", signed=True)
-                    out.append((1, None, key, None, None, a, b, context, item, kind))
+                item = int.from_bytes(hashlib.blake2b(text[a:b].lower().encode(), digest_size=8).digest(), "little", signed=True)
+                out.append((1, None, key, None, None, a, b, _context(text, a), item, kind))
         if out:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
 
@@ -156,41 +155,49 @@ def row_key(text: str = "text") -> Column:
 
 
 def _trusted(docs: DataFrame, found: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """(context, seed) of the contexts to be trusted with a kind."""
+    """(item, seed) of the items to be trusted with a kind: all seeds and what the rounds discover."""
     spark = docs.sparkSession
-    edges = kept(found.where("kind = 1").groupBy("context", "item").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "contexts")
-    seeded = edges.where("seed is not null").groupBy("context", "seed").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") >= support)
+    edges = kept(found.where("kind = 1 and context is not null").groupBy("context", "item").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "contexts")
+    # Seeds of any round are items, so no other context can come to be supported.
+    able = edges.groupBy("context").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") >= support).select("context")
     marked = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in (seeded.groupBy(F.expr(f"shiftrightunsigned(context, {64 - BITS}) div 64").alias("at"))
+    for r in (able.groupBy(F.expr(f"shiftrightunsigned(context, {64 - BITS}) div 64").alias("at"))
               .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(context, {64 - BITS}) % 64 AS int)))").alias("bits")).toLocalIterator()):
         marked[r["at"] * 8:r["at"] * 8 + 8] = np.frombuffer(np.int64(r["bits"]).tobytes(), np.uint8)
     shared = spark.sparkContext.broadcast(marked)
     fillers = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _fillers(shared.value)(it), "context long, n long")
                .groupBy("context").agg(F.sum("n").alias("all")))
-    near = edges.join(seeded.select("context").distinct(), "context", "left_semi")
-    totals = near.groupBy("context").agg(F.sum("n").alias("seen")).join(fillers, "context", "left").select(
-        "context", F.greatest("seen", F.coalesce("all", F.lit(0))).alias("all"))
-    score = near.where("seed is not null").select("item", "seed", F.lit(1.0).alias("s")).distinct()
+    near = kept(edges.join(able, "context", "left_semi"), "near")
+    totals = kept(near.groupBy("context").agg(F.sum("n").alias("seen")).join(fillers, "context", "left").select(
+        "context", F.greatest("seen", F.coalesce("all", F.lit(0))).alias("all")), "totals")
+    prior = support * (1 / confidence - 1)  # of ``support`` words that all are seeds the confidence is just enough
+    base = near.where("seed is not null").select("item", "seed").distinct()
+    seeds, new = base.withColumn("s", F.lit(1.0)), None
     for _ in range(rounds):
-        weighed = near.select("context", "item", "n").join(score, "item").groupBy("context", "seed").agg(F.sum(F.col("s") * F.col("n")).alias("good"))
-        conf = weighed.join(totals, "context").select("context", "seed", (F.col("good") / (F.col("all") + 2)).alias("conf"))
-        strong = kept(conf.where(F.col("conf") >= confidence).join(seeded.select("context", "seed"), ["context", "seed"], "left_semi"), "trusted")
-        new = (near.where("seed is null").select("context", "item").join(strong, "context").groupBy("item", "seed")
-               .agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("s")))
-        score = near.where("seed is not null").select("item", "seed", F.lit(1.0).alias("s")).distinct().union(new)
-    return strong.select("context", "seed")
+        weighed = (near.select("context", "item", "n").join(seeds, "item").groupBy("context", "seed")
+                   .agg(F.sum(F.col("s") * F.col("n")).alias("good"), F.count(F.lit(1)).alias("items")).where(F.col("items") >= support))
+        conf = weighed.join(totals, "context").select("context", "seed", (F.col("good") / (F.col("all") + prior)).alias("conf"))
+        strong = conf.where(F.col("conf") >= confidence - 1e-9)
+        scores = (near.where("seed is null").select("context", "item").join(strong, "context").groupBy("item", "seed")
+                  .agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("s")))
+        new = kept(scores.where(F.col("s") >= confidence - 1e-9).join(base, ["item", "seed"], "left_anti"), "trusted")
+        seeds = base.withColumn("s", F.lit(1.0)).unionByName(new.select("item", "seed", "s"))
+    known = found.where("kind = 1 and seed is not null").select("item", "seed").distinct()
+    return known if new is None else known.unionByName(new.select("item", "seed"))
 
 
 def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(rows, added): base spans of every row of ``docs``, and further spans by the key of the text.
 
-    Bootstrapping: base spans are the seeds. A context is the pair of words before an item. For
-    contexts that introduce ``support`` different seeds of a kind, all words that follow them
-    anywhere are counted. Then, in ``rounds``: a context's confidence in a kind is the scores of
-    the items it introduces over everything that follows it (plus two); an item's score is 1 for
-    a seed, else the chance that one of its trusted contexts is right. Words formed like an
-    identifier (with a digit or @, six characters or more, no base span) that a context of at
-    least ``confidence`` introduces become spans of its kind.
+    Bootstrapping: base spans are the first seeds. A context is the pair of words before an item.
+    For contexts that introduce ``support`` different items, all words that follow them anywhere
+    are counted. Then, in ``rounds``: a context that introduces ``support`` different seeds of a
+    kind has as confidence the scores of the seeds it introduces over everything that follows it
+    (plus as much as makes ``support`` pure occurrences just enough); an item's score is 1 for a
+    base span, else the chance that one of its contexts of at least ``confidence`` is right; items
+    of at least ``confidence`` are seeds of the next round. Words formed like an identifier (with
+    a digit or @, six characters or more, no base span) that are seeds after the last round become
+    spans of their kind wherever they stand, also behind other contexts or none.
 
     Null texts are empty. Rows of one doc_id keep their own text's spans. Other columns are ignored.
     """
@@ -198,7 +205,7 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float =
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     found = kept(pairs.mapInArrow(_find, _FOUND), "pii")
     trusted = _trusted(docs, found, rounds, support, confidence)
-    added = (found.where("kind = 1 and seed is null").drop("seed").join(trusted, "context")
+    added = (found.where("kind = 1 and seed is null").drop("seed").join(trusted, "item")
              .groupBy("key").agg(F.collect_set(F.concat_ws(":", "seed", "start", "stop")).alias("added")))
     return found.where("kind = 0"), added
 

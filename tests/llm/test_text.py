@@ -124,6 +124,24 @@ def test_contexts_discover_identifiers(spark):
     assert clean[100] == "and please write to: <EMAIL> thanks" and clean[101].startswith("please write down user78") and clean[None] is None
 
 
+def test_discovered_identifiers_seed_new_contexts_and_spread(spark):
+    seeds = [f"please write to: user{k}@mail.example.com thanks" for k in range(30)]
+    first = [f"please write to: nick{k}-at-home thanks" for k in range(3)]  # found behind the context of the seeds
+    second = [f"his handle is nick{k}-at-home indeed" for k in range(3)] * 3 + ["his handle is other9-at-work indeed"]  # a context only of what was found
+    spread = ["yesterday we met nick1-at-home there", "nick2-at-home stands first", "perhaps other9-at-work too", "perhaps unseen5-at-work too"]
+    rows = list(enumerate(seeds + first + second + spread))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {rows[r.doc_id][1]: r.text for r in pii.redact(table).collect()}
+    for text in first + second + spread[:3]:
+        assert clean[text] == re.sub(r"\S+-at-\S+", "<EMAIL>", text)
+    assert clean[spread[3]] == spread[3]
+    once = {rows[r.doc_id][1]: r.text for r in pii.redact(table, rounds=1).collect()}
+    assert once[second[-1]] == second[-1] and once[spread[0]] == clean[spread[0]]
+    halves = ["+12345678901 is known", "not so +12345678901 234567 89"]  # a number that its surroundings hide
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame([*enumerate(halves)], "doc_id long, text string")).collect()}
+    assert got[1].n_phone == 0 and got[1].spans == "phone:7:19" and got[1].n_added == 1
+
+
 def test_personal_data_of_odd_rows(docs, texts, nothing):
     got = by_row(pii.spans(docs), "doc_id", "spans")
     assert got == Counter((i, pii.joined(plain_spans(t))) for i, t in texts)
