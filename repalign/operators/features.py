@@ -156,13 +156,13 @@ def pack_targets(responses: DataFrame, keys: Sequence[str], item: str, target: s
 
 
 def semantic_encoding(semantic: DataFrame, responses: DataFrame, keys: Sequence[str], item: str, k: int,
-                      fit_rows: int = 60000, seed: int = 42) -> DataFrame:
+                      fit_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Semantic vectors to PCA per layer to a single-split encoder per key.
 
-    The basis is fitted per layer on at most ``fit_rows`` randomly ordered rows.
+    The basis is fitted per layer on all rows, or on at most ``fit_rows`` randomly ordered ones if given.
     """
     ready = cut_lineage(semantic.withColumn("__row", F.concat_ws("-", item, "token")))
-    sample = random_subset(ready, ["layer"], "__row", fit_rows, seed)
+    sample = None if fit_rows is None else random_subset(ready, ["layer"], "__row", fit_rows, seed)
     scores = pca(ready, ["layer"], "__row", "vector", k, "x", sample)
     rows = ready.select("layer", "__row", "token", item).join(scores.select("layer", "__row", "x"), ["layer", "__row"])
     return single_split_ridge(rows.join(responses, item), ["layer", "token", *keys], item, "x", "y", seed=seed)

@@ -379,3 +379,15 @@ def test_fdr_with_ties_nulls_and_null_keys(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r["adjusted_p"] is None if r["p"] is None else abs(r["adjusted_p"] - want[r["p"]]) < 1e-12
+
+
+def test_semantic_basis_is_fitted_on_all_rows(spark, monkeypatch):
+    from repalign.operators import features as X
+
+    rng = np.random.default_rng(3)
+    sem = spark.createDataFrame([(0, t, i, rng.standard_normal(6).tolist()) for i in range(60) for t in range(2)], "layer int, token int, item bigint, vector array<double>")
+    y = spark.createDataFrame([(0, i, rng.standard_normal(3).tolist()) for i in range(60)], "subject int, item bigint, y array<double>")
+    run = lambda **o: sorted((r.layer, r.token, r.target, round(r.r, 9)) for r in X.semantic_encoding(sem, y, ["subject"], "item", 3, **o).collect())
+    whole, part = run(fit_rows=120), run(fit_rows=20)
+    monkeypatch.setattr(X, "random_subset", lambda *a, **o: pytest.fail("rows are drawn"))
+    assert run() == whole != part
