@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 from .licenses import PHRASES, TEMPLATES
+from .urls import GLOBS, SITES
 
 _UPPER = "".join(map(chr, range(65, 91)))
 _LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
@@ -68,3 +70,45 @@ SELECT doc_id, n::BIGINT AS n_words, len(spots)::BIGINT AS n_base, list_min(spot
   {text.format("base")} AS base_labels, {text.format("list_concat(base, coalesce(more, []))")} AS labels,
   CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
 FROM q LEFT JOIN h USING (doc_id)"""
+
+# crc32 of the decimal doc_id, bit by bit over its ASCII codes.
+_CRC = ("xor(list_reduce(range(8 * length(doc_id::VARCHAR)), lambda c, k: xor((CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) ELSE c END) >> 1, "
+        "3988292384 * (xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1)) ELSE 0 END) & 1)), 4294967295::BIGINT), 4294967295)")
+
+RUNS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+v AS (SELECT doc_id, n, unnest(range(n)) AS i, a, p, h % 10 = 0 AS loop, w FROM p),
+u AS MATERIALIZED (SELECT doc_id, n, i, w[CASE WHEN loop AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS x FROM v),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM u l JOIN u r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.start + r.period AND u.i < r.start + r.length) GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+  arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS best FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _regex(glob: str) -> str:
+    """A glob of URL rules as a regular expression over ``.host/path``."""
+    parts = {"**": ".*", "*": "[^/]*", "?": "."}
+    return "".join(parts.get(t) or re.escape(t) for t in re.findall(r"\*\*|\*|\?|[^*?]+", glob))
+
+
+def urls() -> str:
+    """Site rules by the ends of hosts and starts of paths; where none fits, globs as regular expressions."""
+    sites = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in SITES)
+    globs = " ".join(f"WHEN regexp_full_match(u, '{_regex(g)}', 's') THEN '{g}'" for g in sorted(GLOBS, key=lambda g: (-len(g), g)))
+    return f"""
+WITH s(rule_host, rule_path, verdict) AS (VALUES {sites}),
+t AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+f AS (SELECT k, arg_max({{'rule': rule_host || rule_path, 'verdict': s.verdict}}, length(rule_host || rule_path)) AS best
+  FROM p JOIN s ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k),
+g AS (SELECT p.*, best, '.' || host || path AS u FROM p LEFT JOIN f USING (k)),
+v AS (SELECT *, CASE WHEN best IS NULL THEN CASE {globs} END END AS pattern FROM g)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern FROM v"""

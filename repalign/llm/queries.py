@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, embeddings, jaccard, licenses, oracles, pieces, pii, sharding, tokens, toxicity, warc
+from . import contamination, embeddings, jaccard, licenses, oracles, pieces, pii, runs, sharding, tokens, toxicity, urls, warc, whitening
 
 # The folder of the public tokenizers' files, the same on every machine.
 PIECES, WORDS = (public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "word_bpe_49k.json"))
@@ -84,3 +84,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup", oracles.EMBEDDINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_periodic_runs", oracles.RUNS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_url_filters", oracles.urls())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))

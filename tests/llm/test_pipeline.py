@@ -46,4 +46,4 @@ def test_stages_of_an_empty_table(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
