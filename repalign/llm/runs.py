@@ -98,7 +98,7 @@ def lag_scan(w: np.ndarray, exponent: int, shortest: int) -> list[tuple[int, int
 def _runs_of(texts: list[list[bytes]], exponent: int, shortest: int) -> list[list[tuple[int, int, int]]]:
     names: dict[bytes, int] = {}
     ids = np.array([names.setdefault(w, len(names)) for words in texts for w in words], np.int64)
-    sizes = np.array([len(words) for words in texts])
+    sizes = np.array([len(words) for words in texts], np.int64)
     first = np.cumsum(sizes) - sizes
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for at in segments(ids, np.repeat(np.arange(len(texts)), sizes), exponent, shortest):
@@ -127,7 +127,8 @@ def _bytes_of(column: pa.Array) -> Iterator[list[bytes]]:
         if size > CHUNK_BYTES:
             yield held
             held, size = [], 0
-    yield held
+    if held:
+        yield held
 
 
 def find_runs(docs: DataFrame, text: str = "text", out: str = "periodic", exponent: int = 4, shortest: int = 6) -> DataFrame:

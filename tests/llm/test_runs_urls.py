@@ -65,6 +65,16 @@ def test_very_long_texts():
     assert runs._runs_of([period, [b"a"] * 100_000, []], 4, 6) == [[(0, 60_000, 977)], [(0, 100_000, 1)], []]
 
 
+def test_chunks_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(runs, "CHUNK_BYTES", 5)
+    for texts in ([], ["abcdef"], ["ab", None, "cdefgh"], ["a", "bcdefg", "h"]):
+        parts = list(runs._bytes_of(pa.array(texts, pa.string())))
+        assert [t for part in parts for t in part] == [(t or "").encode() for t in texts] and all(parts)
+    assert runs._runs_of([], 4, 6) == [] and runs._runs_of([[]], 4, 6) == [[]]
+
+
 def test_find_runs(spark, docs, texts, nothing):
     table = docs.withColumn("periodic", F.lit("old")).withColumn("runs", F.lit(1))
     got = Counter((r.doc_id, tuple(map(tuple, r.periodic.runs)), r.periodic.collapsed, r.runs, r.key) for r in runs.find_runs(table).collect())
