@@ -15,7 +15,7 @@ from ..functions.tails import correlation_p, mann_whitney_p, student_p
 from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import moment_parts, per_group
-from .order import average_rank, average_ranks, exact_quantiles, md5_bucket, ordered_position, position_by_value, running_totals, same_keys, value_bucket
+from .order import average_rank, average_ranks, counted_totals, crowded, exact_quantiles, in_ranges, joined_back, ordered_position, position_by_value
 from .similarity import linear_cka_value, pearson_rsa, rsa_of_stack, stack_units
 
 # Null and observed statistics are sums in different orders; this much is rounding.
@@ -158,7 +158,7 @@ def permutation_table(df: DataFrame, keys: Sequence[str], item: str, reps: int,
     items = df.select(*keys, item)
     home = position_by_value(items, keys, item, (), "__p", "__n").drop("__n")
     moved = replicates(items, reps, [*keys, item]).withColumn("__h", md5_key(seed, "rep", item))
-    moved = ordered_position(moved, [*keys, "rep"], [F.col("__h"), F.col(item)], md5_bucket(F.col("__h")), "__p", "__n")
+    moved = ordered_position(moved, [*keys, "rep"], ["__h", item], "__p", "__n", crowded(items, keys))
     return (moved.select(*keys, "rep", "__p", F.col(item).alias("other")).join(home, [*keys, "__p"])
             .select(*keys, "rep", item, "other"))
 
@@ -311,7 +311,7 @@ def permutation_test(df: DataFrame, keys: Sequence[str], item: str, in_first: Co
     observed = rows.groupBy(*keys).agg(stat(F.col("__a")).alias("observed"),
                                        F.sum(F.col("__a").cast("int")).alias("__na"))
     moved = replicates(rows.drop("__a"), reps, [*keys, item]).withColumn("__h", md5_key(seed, "rep", item))
-    moved = ordered_position(moved, [*keys, "rep"], [F.col("__h"), F.col(item)], md5_bucket(F.col("__h")), "__p", "__n")
+    moved = ordered_position(moved, [*keys, "rep"], ["__h", item], "__p", "__n", crowded(rows, keys))
     null = (moved.join(observed.select(*keys, "__na"), keys).groupBy(*keys, "rep")
             .agg(stat(F.col("__p") < F.col("__na")).alias("stat")))
     s, o = F.col("stat"), F.col("observed")
@@ -376,21 +376,28 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], in_first: Column, value: st
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, alpha: float = 0.05) -> DataFrame:
     """Adjusted p and decision per row (I12, W4); rows without p (null or NaN) get neither and do not count.
 
-    Equal p share their adjusted value, so only distinct p, with their counts, are ordered. The
-    running minimum from the largest p goes bucket by bucket: a small table carries the
-    minimum of all later buckets, and only one bucket is sorted by one task.
+    Equal p share their adjusted value. Groups of up to GROUP_ROWS rows take one shuffle: counts up to a p and
+    the running minimum from the largest p are windows. In larger groups the distinct p, with their counts, are cut into
+    ranges; a small table carries the minimum of all later ranges, and rows fetch their value by a join.
     """
     keys = list(keys)
-    counted = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__k"))
-    rows = running_totals(counted, keys, [F.col(p)], value_bucket(p), {"__c": F.col("__k")})
-    rows = rows.select(*keys, p, (F.col(p) * F.col("__c_all") / F.col("__c")).alias("__v"), value_bucket(p).alias("__b"))
-    later = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tail = rows.groupBy(*keys, "__b").agg(F.min("__v").alias("__m")).withColumn("__later", F.min("__m").over(later)).drop("__m")
-    inside = Window.partitionBy(*keys, "__b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = (same_keys(rows, tail, [*keys, "__b"])
-                .withColumn("adjusted_p", F.least(F.min("__v").over(inside), F.coalesce("__later", F.lit(1.0)), F.lit(1.0)))
-                .select(*keys, p, "adjusted_p"))
-    return same_keys(df, adjusted, [*keys, p], "left").withColumn("reject", F.col("adjusted_p") <= alpha)
+    counts = F.col(p).isNotNull() & ~F.isnan(p)
+    if not crowded(df, keys):
+        group = Window.partitionBy(*keys, "__counts")
+        upto = group.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
+        down = group.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
+        rows = df.withColumn("__counts", counts)
+        rows = rows.withColumn("__v", F.col(p) * F.count(F.lit(1)).over(group) / F.count(F.lit(1)).over(upto))
+        out = rows.withColumn("adjusted_p", F.when(F.col("__counts"), F.least(F.min("__v").over(down), F.lit(1.0)))).drop("__counts", "__v")
+    else:
+        values = counted_totals(df.where(counts), keys, p, F.lit(1).cast("long"))
+        values = in_ranges(values.select(*keys, p, (F.col(p) * F.col("__u_all") / F.col("__u")).alias("__v")), keys, [p])
+        later = Window.partitionBy("__g").orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        tail = values.groupBy("__g", "__r").agg(F.min("__v").alias("__m")).withColumn("__later", F.min("__m").over(later)).drop("__m")
+        inside = Window.partitionBy("__g", "__r").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        adjusted = values.join(tail, ["__g", "__r"]).select(*keys, p, F.least(F.min("__v").over(inside), F.coalesce("__later", F.lit(1.0)), F.lit(1.0)).alias("adjusted_p"))
+        out = joined_back(df, adjusted, [*keys, p], "left")
+    return out.withColumn("reject", F.col("adjusted_p") <= alpha)
 
 
 def fdr_summary(adjusted: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

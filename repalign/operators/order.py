@@ -1,8 +1,12 @@
 """Positions, ranks, quantiles and folds over groups of any size.
 
-A plain ``row_number`` or ``percentile`` puts a whole group into one task. Here every group is
-cut into order-preserving buckets; the bucket totals (a small table) give each bucket its
-offset, and only single buckets are ever sorted by one task. The results are exact.
+Groups of up to GROUP_ROWS rows are ordered by plain windows: one shuffle. A larger group is cut into
+ranges of its order at split points taken from a quantile sketch (KLL) that merges over tasks, again and
+again until no range has more than RANGE_ROWS rows. A split value is a range of its own, so a value that
+very many rows share is not cut by value but by what orders its rows next. Range totals (a small table)
+give each range its offset, and only single ranges are sorted by one task. Ranks, quantiles and
+FDR order distinct values with their counts: equal values are never gathered. The results are
+exact; sizes only choose the plan.
 """
 
 from __future__ import annotations
@@ -10,127 +14,177 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, DateType, LongType, NumericType, ShortType, IntegerType, StringType, TimestampType
+from pyspark.sql.window import WindowSpec
 
 from ..functions.scalars import col, md5_key
+from ..session import cut_lineage
 
-# Buckets per power of two; the number of buckets of a group is at most 2 * 2098 * this.
-STEPS_PER_OCTAVE = 1024
-# Buckets with more rows are ranked without gathering them; at most n / HEAVY_BUCKET exist.
-HEAVY_BUCKET = 4_000_000
+# Larger groups are cut into ranges.
+GROUP_ROWS = 1_000_000
+RANGE_ROWS = 500_000
+# Split points a range gets at a time, and the size of its sketch (rank error about 1 / 1000).
+SPLITS = 256
+SKETCH_SIZE = 2048
+_LARGEST = 1.7976931348623157e308
+_CHARS, _CHUNKS = 6, 6
 
 
-def value_bucket(v: str | Column) -> Column:
-    """An order-preserving bucket number of a double, fine where values are dense.
+def crowded(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a group has more than GROUP_ROWS rows: a count that reads the keys only."""
+    return not df.groupBy(*keys).count().where(F.col("count") > GROUP_ROWS).isEmpty()
+
+
+def _group(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
-    Infinities, NaN and null have buckets of their own, in this order after all finite values.
-    """
-    v = col(v).cast("double")
-    end = (2 * 2200 * STEPS_PER_OCTAVE)  # beyond every finite bucket
-    size = F.abs(v)
-    finite = F.when(size < float("inf"), size)
-    octave = F.floor(F.log2(finite)).cast("double")
-    step = F.floor((finite / F.pow(F.lit(2.0), octave) - 1.0) * STEPS_PER_OCTAVE)
-    code = ((octave + 1100) * STEPS_PER_OCTAVE).cast("long") + step + 1
-    ends = (F.when(v.isNull(), F.lit(end + 2)).when(F.isnan(v), F.lit(end + 1)).when(v == float("inf"), F.lit(end)).when(v == float("-inf"), F.lit(-end)))
-    return F.coalesce(ends.cast("long"), F.when(v == 0, F.lit(0).cast("long")).when(size < float("inf"), F.when(v > 0, code).otherwise(-code)))
 
+def _ascending(by: Sequence[str]) -> list[Column]:
+    return [F.asc_nulls_last(c) for c in by]
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` in which null equals null; the keys of ``left`` stay."""
-    other = right.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return left.join(other, on, how).drop(*[f"__k_{k}" for k in keys])
 
+# ---- ranges of large groups --------------------------------------------------------------
 
-def md5_bucket(key: Column) -> Column:
-    """The leading three hex digits of an md5: 4096 even buckets in md5 order."""
-    return F.conv(F.substring(key, 1, 3), 16, 10).cast("long")
+def _measures(df: DataFrame, by: str) -> list[Column]:
+    """Doubles that never decrease along the order of ``by`` (nulls last), the coarse ones first."""
+    kind, c = df.schema[by].dataType, F.col(by)
+    if isinstance(kind, StringType):
+        parts = [F.rpad(F.hex(F.substring(c.cast("binary"), 1 + _CHARS * k, _CHARS)), 2 * _CHARS, "0") for k in range(_CHUNKS)]
+        return [F.coalesce(F.conv(p, 16, 10).cast("double"), F.lit(_LARGEST)) for p in parts]
+    if isinstance(kind, TimestampType):
+        c, kind = F.unix_micros(c), LongType()
+    if isinstance(kind, DateType):
+        c, kind = F.unix_date(c), IntegerType()
+    if isinstance(kind, LongType):
+        return [F.coalesce(F.shiftright(c, 32).cast("double"), F.lit(_LARGEST)), F.coalesce(c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"), F.lit(0.0))]
+    if isinstance(kind, (IntegerType, ShortType, ByteType)):
+        return [F.coalesce(c.cast("double"), F.lit(_LARGEST))]
+    if not isinstance(kind, NumericType):
+        return []
+    v = c.cast("double")
+    odd = F.when(v.isNull(), 3.0).when(F.isnan(v), 2.0).when(v == float("inf"), 1.0).when(v == float("-inf"), -1.0).otherwise(0.0)
+    return [F.when(odd == 0.0, v).when(odd < 0, -_LARGEST).otherwise(_LARGEST), odd]
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-                   sums: dict[str, Column]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``df`` with ``__g`` (the keys as one value, so that null keys join by plain equality) and ``__r``, its range.
+
+    Ranges are arrays of numbers that compare in the order of ``by``. None has more than RANGE_ROWS rows, but for
+    rows that are equal in all measures of ``by`` (strings: in their first 36 bytes). Each level
+    looks only at the ranges that are still too large, and is a table in the shared folder.
+    """
+    measures = [m for c in by for m in _measures(df, c)]
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    open_rows = cut_lineage(df.select(F.struct(*df.columns).alias("__row"), group.alias("__g"), F.array().cast("array<int>").alias("__r"),
+                                      F.lit(1).alias("__c"), F.array(*measures).alias("__m")))
+    fine = None
+    while True:
+        part = ["__g", "__r", "__c"]
+        wanted = F.least(F.lit(SPLITS), F.ceil(2 * F.col("n") / RANGE_ROWS)).cast("int")
+        many = (open_rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.element_at("__m", F.col("__c")), SKETCH_SIZE).alias("k"))
+                .where((F.col("n") > RANGE_ROWS) & (F.col("__c") <= len(measures))).withColumn("w", wanted)
+                .withColumn("q", F.kll_sketch_get_quantile_double("k", F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])))
+                .withColumn("at", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("w") - 1), lambda i: F.element_at("q", F.floor(i * SPLITS / F.col("w")).cast("int")))))
+                .select(*part, "at"))
+        many = cut_lineage(many)
+        if many.isEmpty():
+            fine = open_rows if fine is None else fine.unionByName(open_rows)
+            return fine.select("__row.*", "__g", "__r")
+        value = F.element_at("__m", F.col("__c"))
+        met = open_rows.join(many, part, "left")
+        done = cut_lineage(met.where(F.col("at").isNull()).drop("at"))
+        fine = done if fine is None else fine.unionByName(done)
+        split = met.where(F.col("at").isNotNull()).withColumn("__v", value)
+        hit = F.array_contains("at", F.col("__v")).cast("int")
+        below = F.size(F.filter("at", lambda s: s < F.col("__v")))
+        open_rows = cut_lineage(split.select("__row", "__g", F.concat("__r", F.array(2 * below + hit)).alias("__r"), (F.col("__c") + hit).alias("__c"), "__m"))
+
+
+def _totals(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Add ``<name>`` and ``<name>_all`` to the rows of ``in_ranges``; the two helper columns go."""
+    rows = ranged
+    for name, e in sums.items():
+        rows = rows.withColumn(f"__v_{name}", e)
+    table = rows.groupBy("__g", "__r").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    group = Window.partitionBy("__g")
+    before = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.select("__g", "__r", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+                         *[F.sum(f"__t_{n}").over(group).alias(f"{n}_all") for n in sums])
+    inside = Window.partitionBy("__g", "__r").orderBy(*_ascending(by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(table, ["__g", "__r"])
+    for n in sums:
+        out = out.withColumn(n, F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(inside))
+    return out.drop("__g", "__r", *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
+
+
+# ---- positions ---------------------------------------------------------------------------
+
+def running_totals(df: DataFrame, keys: Sequence[str], by: Sequence[str], sums: dict[str, Column], large: bool | None = None) -> DataFrame:
     """Add ``<name>`` (total of the rows up to and with this one) and ``<name>_all`` per group.
 
-    ``bucket`` must not decrease along ``order``; ``order`` must be total within the group.
+    Rows are in ascending order of the columns ``by``, nulls last; equal rows come in any order. ``large`` tells whether
+    a group has more than GROUP_ROWS rows, where the caller knows; else the groups are counted.
     """
-    keys = list(keys)
-    rows = df.withColumn("__b", bucket)
-    for name, expr in sums.items():
-        rows = rows.withColumn(f"__v_{name}", expr)
-    per_bucket = rows.groupBy(*keys, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    for name in sums:
-        per_bucket = (per_bucket
-                      .withColumn(f"__o_{name}", F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)))
-                      .withColumn(f"{name}_all", F.sum(f"__t_{name}").over(group)))
-    per_bucket = per_bucket.drop(*[f"__t_{n}" for n in sums])
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = same_keys(rows, per_bucket, [*keys, "__b"])
-    for name in sums:
-        out = out.withColumn(name, F.col(f"__o_{name}") + F.sum(f"__v_{name}").over(inside))
-    return out.drop("__b", *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
-
-
-def ordered_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-                     out: str = "pos", size: str = "n") -> DataFrame:
-    """Zero-based position of each row in its group, and the size of the group."""
-    res = running_totals(df, keys, order, bucket, {"__pos": F.lit(1).cast("long")})
-    return (res.withColumn(out, F.col("__pos") - 1).withColumn(size, F.col("__pos_all"))
-               .drop("__pos", "__pos_all"))
+    keys, by = list(keys), list(by)
+    if crowded(df, keys) if large is None else large:
+        return _totals(in_ranges(df, keys, by), by, sums)
+    group = _group(keys)
+    upto = group.orderBy(*_ascending(by)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[F.sum(e).over(upto).alias(n) for n, e in sums.items()], *[F.sum(e).over(group).alias(f"{n}_all") for n, e in sums.items()])
+
+
+def ordered_position(df: DataFrame, keys: Sequence[str], by: Sequence[str], out: str = "pos", size: str = "n",
+                     large: bool | None = None) -> DataFrame:
+    """Zero-based position of each row in its group, ordered by the columns ``by``, and the size of the group."""
+    res = running_totals(df, keys, by, {"__pos": F.lit(1).cast("long")}, large)
+    return res.withColumn(out, F.col("__pos") - 1).withColumn(size, F.col("__pos_all")).drop("__pos", "__pos_all")
 
 
 def position_by_value(df: DataFrame, keys: Sequence[str], by: str, tie: Sequence[str] = (),
                       out: str = "pos", size: str = "n") -> DataFrame:
-    return ordered_position(df, keys, [F.asc_nulls_last(by), *[F.col(t) for t in tie]], value_bucket(by), out, size)
+    return ordered_position(df, keys, [by, *tie], out, size)
 
 
 def position_by_md5(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int,
                     out: str = "pos", size: str = "n", key_parts: Sequence[str] = ()) -> DataFrame:
     """Position in the random order md5('seed[-part..]-id')."""
     rows = df.withColumn("__h", md5_key(seed, *key_parts, *ids))
-    res = ordered_position(rows, keys, [F.col("__h"), *[F.col(i) for i in ids]], md5_bucket(F.col("__h")), out, size)
-    return res.drop("__h")
+    return ordered_position(rows, keys, ["__h", *ids], out, size, crowded(df, keys)).drop("__h")
+
 
+# ---- ranks and quantiles -----------------------------------------------------------------
 
-def _add_rank(rows: DataFrame, base: DataFrame, keys: list[str], value: str, out: str, weight: str | None) -> DataFrame:
-    w = F.col(weight) if weight else F.lit(1.0)
-    buckets = (base.groupBy(*keys, value_bucket(value).alias("__b"))
-               .agg(F.sum(w).alias("__c"), F.count(F.lit(1)).alias("__k"))
-               .withColumn("__o", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")))
-    heavy = F.broadcast(buckets.where(F.col("__k") > HEAVY_BUCKET).select(*keys, "__b", F.col("__o").alias("__h")))
-    light = buckets.where(F.col("__k") <= HEAVY_BUCKET).select(*keys, "__b", "__o")
-    on = [*keys, "__b"]
-    rows = rows.withColumn("__b", value_bucket(value))
-    cols = [c for c in rows.columns if c != "__b"] + [out]
+def counted_totals(df: DataFrame, keys: Sequence[str], value: str, weight: Column) -> DataFrame:
+    """(keys, value, __c, __u, __u_all): weight of each distinct value, of those up to it, and of the group."""
+    counted = df.groupBy(*keys, value).agg(F.sum(weight).alias("__c"))
+    return running_totals(counted, keys, [value], {"__u": F.col("__c")})
 
-    inside = Window.partitionBy(*on).orderBy(value)
-    same = Window.partitionBy(*on, value)
-    few = (same_keys(same_keys(rows, heavy, on, "left").where(F.col("__h").isNull()).drop("__h"), light, on)
-           .withColumn(out, F.col("__o") + F.sum(w).over(inside) - (F.sum(w).over(same) - 1) / 2))
 
-    many = same_keys(rows, heavy, on)
-    counted = many.groupBy(*on, "__h", value).agg(F.sum(w).alias("__m"))
-    ranked = counted.select(*on, value, (F.col("__h") + F.sum("__m").over(inside) - (F.col("__m") - 1) / 2).alias(out))
-    found = few.select(*cols).unionByName(same_keys(many.drop("__h"), ranked, [*on, value]).select(*cols))
-    return found.withColumn(out, F.when(F.col(value).isNotNull(), F.col(out)))
+def joined_back(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the further columns of ``table``, which has one row per value of ``on``; null equals null."""
+    key = F.struct(*[F.col(c) for c in on])
+    return df.withColumn("__on", key).join(table.withColumn("__on", key).drop(*on), "__on", how).drop("__on")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], weight: str | None = None) -> DataFrame:
     """Ranks of several columns, ties sharing their mean rank (W2), optionally over weighted rows.
 
-    Each column costs one small aggregate and one shuffle. Buckets of more than HEAVY_BUCKET
-    rows, of which there can be only few, never meet in one task: their values are counted
-    before they are ordered, and the rows fetch their rank by a join that AQE may split.
+    All columns share one shuffle by ``keys``. In groups beyond GROUP_ROWS the distinct values are counted and
+    ordered instead, and rows fetch their rank by a join that AQE may split.
     A null has no rank; NaN ranks after infinity, all NaN alike; a null key is a key.
-    ``df`` is read once per column and more; hand in a written table if it is dear to compute.
     """
-    out = df
-    for value, name in columns.items():
-        out = _add_rank(out, df, list(keys), value, name, weight)
-    return out
+    keys, w = list(keys), F.col(weight) if weight else F.lit(1.0)
+    if crowded(df, keys):
+        out = cut_lineage(df)
+        for value, name in columns.items():
+            table = counted_totals(out, keys, value, w).select(*keys, value, (F.col("__u") - (F.col("__c") - 1) / 2).alias(name))
+            out = joined_back(out, table, [*keys, value])
+    else:
+        group = _group(keys)
+        upto = {v: group.orderBy(F.asc_nulls_last(v)).rangeBetween(Window.unboundedPreceding, 0) for v in columns}
+        same = {v: Window.partitionBy(*keys, v) for v in columns}
+        out = df.select("*", *[(F.sum(w).over(upto[v]) - (F.sum(w).over(same[v]) - 1) / 2).alias(name) for v, name in columns.items()])
+    return out.withColumns({name: F.when(F.col(value).isNotNull(), F.col(name)) for value, name in columns.items()})
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
@@ -146,41 +200,28 @@ def small_group_rank(keys: Sequence[str], value: str | Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per entry of ``probs``.
+    """Linear-interpolation quantiles per group, one column per entry of ``probs``; nulls do not count.
 
-    Only the buckets that hold a wanted position are sorted.
+    Groups up to GROUP_ROWS use the exact aggregate, which holds a group's distinct values; in larger ones
+    the distinct values get their places, and the few at a wanted place are picked.
     """
     keys = list(keys)
-    key_less = not keys
-    if key_less:
-        df, keys = df.withColumn("__g", F.lit(0)), ["__g"]
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-                 .agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", value_bucket(value)))
-    group = Window.partitionBy(*keys)
-    buckets = (counted.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
-               .withColumn("__hi", F.sum("__bc").over(group.orderBy("__b")))
-               .withColumn("__n", F.sum("__bc").over(group))
-               .withColumn("__lo", F.col("__hi") - F.col("__bc")))
+    rows = df.where(F.col(value).isNotNull())
+    if not crowded(rows, keys):
+        found = rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(q))).alias(name) for name, q in probs.items()], F.count(F.lit(1)).alias("__n"))
+        return found.where(F.col("__n") > 0).drop("__n")
+    table = counted_totals(rows, keys, value, F.lit(1).cast("long"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in probs.items()])
-    hits = (buckets.withColumn("__p", F.explode(wanted))
-            .withColumn("__h", (F.col("__n") - 1) * F.col("__p.q"))
-            .withColumn("__f", F.floor("__h"))
-            .withColumn("__w", F.explode(F.array(
-                F.struct(F.col("__f").alias("pos"), (1 - (F.col("__h") - F.col("__f"))).alias("w")),
-                F.struct((F.col("__f") + 1).alias("pos"), (F.col("__h") - F.col("__f")).alias("w")))))
-            .where((F.col("__w.w") > 0) & (F.col("__w.pos") >= F.col("__lo")) & (F.col("__w.pos") < F.col("__hi")))
-            .select(*keys, "__b", "__lo", F.col("__p.name").alias("__name"), F.col("__w.pos").alias("__pos"),
-                    F.col("__w.w").alias("__weight")))
-    inside = Window.partitionBy(*keys, "__b").orderBy(value)
-    near = (same_keys(counted, hits.select(*keys, "__b").distinct(), [*keys, "__b"])
-            .withColumn("__end", F.sum("__c").over(inside)))
-    picked = (same_keys(near, hits, [*keys, "__b"])
-              .where((F.col("__pos") - F.col("__lo") < F.col("__end"))
-                     & (F.col("__pos") - F.col("__lo") >= F.col("__end") - F.col("__c"))))
-    res = picked.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("__name") == name, F.col(value) * F.col("__weight"))).alias(name) for name in probs])
-    return res.drop("__g") if key_less else res
+    place = (F.col("__u_all") - 1) * F.col("p.q")
+    cells = table.withColumn("p", F.explode(wanted)).withColumn("f", F.floor(place)).withColumn("w", place - F.floor(place))
+    low, high = F.col("__u") - F.col("__c"), F.col("__u")
+    share = (F.when((F.col("f") >= low) & (F.col("f") < high), 1 - F.col("w")).otherwise(0.0)
+             + F.when((F.col("f") + 1 >= low) & (F.col("f") + 1 < high), F.col("w")).otherwise(0.0))
+    picked = cells.withColumn("s", share).where(F.col("s") > 0)
+    return picked.groupBy(*keys).agg(*[F.sum(F.when(F.col("p.name") == name, F.col(value) * F.col("s"))).alias(name) for name in probs])
+
 
+# ---- folds and subsets -------------------------------------------------------------------
 
 def ntile_of(pos: Column, n: Column, k: int) -> Column:
     """Zero-based tile of a zero-based position; the first n mod k tiles get one row more."""

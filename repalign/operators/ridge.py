@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .moments import Moments, assemble, moment_parts, per_group
-from .order import kfold, random_holdout, running_totals, value_bucket
+from .order import kfold, random_holdout, running_totals
 
 # Penalty grids of the encoders.
 ALPHAS_NESTED = (1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -259,7 +259,7 @@ def fold_local_ridge(df: DataFrame, keys, item, x, y, k: int = 5, alpha: float =
 def mark_inner_rows(df: DataFrame, keys: Sequence[str], item: str, k: int) -> DataFrame:
     """Add ``mask``: bit f is set if the row is among the last n_train // k training rows of fold f."""
     sums = {f"__c{f}": F.when(F.col("fold") == f, 0).otherwise(1).cast("long") for f in range(k)}
-    res = running_totals(df, keys, [F.col(item)], value_bucket(item), sums)
+    res = running_totals(df, keys, [item], sums)
     mask = F.lit(0).cast("long")
     for f in range(k):
         n_train = F.col(f"__c{f}_all")

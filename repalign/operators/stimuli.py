@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import col, md5_key, zero_padded
-from .order import keep_first, ordered_position, position_by_value, value_bucket
+from .order import keep_first, ordered_position, position_by_value
 
 # Splits, file patterns, prompts and option lists.
 SPLITS = ("train2017", "val2017", "train2014", "val2014")
@@ -61,10 +61,7 @@ def external_id(items: DataFrame, mapping: DataFrame, item: str, ext: str) -> Da
 def captions_in_order(annotations: DataFrame, image: str, order: Sequence[str], text: str) -> DataFrame:
     """(image, pos, caption): trimmed captions numbered in file order."""
     rows = annotations.select(image, *order, F.trim(text).alias("caption"))
-    bucket = value_bucket(order[-1])
-    if len(order) == 2:  # (split number, position in the split's file)
-        bucket = F.col(order[0]).cast("long") * (1 << 24) + bucket
-    return ordered_position(rows, [image], [F.col(c) for c in order], bucket, "pos", "n_captions").select(
+    return ordered_position(rows, [image], list(order), "pos", "n_captions").select(
         image, "pos", "caption", "n_captions")
 
 

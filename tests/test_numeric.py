@@ -243,26 +243,66 @@ def test_relabelling_keeps_rsa(data):
     assert a == pytest.approx(b)
 
 
-@pytest.mark.parametrize("heavy", [4_000_000, 20])
-def test_average_rank_light_and_heavy(spark, monkeypatch, heavy):
-    monkeypatch.setattr(O, "HEAVY_BUCKET", heavy)
+def small_bounds(monkeypatch, rows):
+    monkeypatch.setattr(O, "GROUP_ROWS", rows)
+    monkeypatch.setattr(O, "RANGE_ROWS", max(1, rows // 2))
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 20])
+def test_average_rank_in_windows_and_ranges(spark, monkeypatch, rows):
+    small_bounds(monkeypatch, rows)
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame({"k": rng.integers(0, 3, 3000), "v": np.where(rng.random(3000) < 0.4, -0.25, rng.standard_normal(3000).round(2))})
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 3000), "v": np.where(rng.random(3000) < 0.4, -0.25, rng.standard_normal(3000).round(2)), "u": rng.integers(0, 9, 3000)})
     pdf.loc[:50, "v"] = 0.0
-    got = O.average_rank(spark.createDataFrame(pdf), ["k"], "v").toPandas()
+    got = O.average_ranks(spark.createDataFrame(pdf), ["k"], {"v": "rank", "u": "other"}).toPandas()
     np.testing.assert_allclose(got["rank"], got.groupby("k")["v"].rank())
+    np.testing.assert_allclose(got["other"], got.groupby("k")["u"].rank())
     assert len(got) == len(pdf)
 
 
-def test_value_bucket_keeps_order(spark):
-    rng = np.random.default_rng(4)
-    v = np.concatenate([rng.standard_normal(500) * 10.0 ** rng.integers(-12, 12, 500), [0.0, 1.0, -1.0, 2.0, 0.5, np.nextafter(2, 0), np.nextafter(1, 0)]])
-    got = spark.createDataFrame(pd.DataFrame({"v": v})).withColumn("b", O.value_bucket("v")).toPandas().sort_values("v")
-    assert (np.diff(got["b"]) >= 0).all()
+def test_ranges_of_timestamps_and_of_equal_values(spark, monkeypatch):
+    """200,000 consecutive microseconds, and as many equal values told apart by their ids, spread over ranges."""
+    small_bounds(monkeypatch, 20_000)
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") % 2).alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("t"), F.lit(1.5).alias("v"), F.col("id"), F.md5(F.col("id").cast("string")).alias("h"))
+    for by in (["t"], ["v", "id"], ["h"]):
+        ranged = O.in_ranges(rows, ["k"], by)
+        sizes = [r["count"] for r in ranged.groupBy("__g", "__r").count().collect()]
+        assert max(sizes) <= O.RANGE_ROWS and sum(sizes) == n and len(sizes) >= 20
+        edges = ranged.groupBy("__g", "__r").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi")).orderBy("__g", "__r").collect()
+        assert all(a["__g"] != b["__g"] or tuple(a["hi"]) < tuple(b["lo"]) for a, b in zip(edges, edges[1:]))
+    got = O.position_by_value(rows, ["k"], "v", ["id"]).where((F.col("pos") != F.floor(F.col("id") / 2)) | (F.col("n") != n // 2))
+    assert got.count() == 0
+    assert O.average_rank(rows, ["k"], "v").where(F.col("rank") != (n / 2 + 1) / 2).count() == 0
+
+
+def test_split_codes_keep_order():
+    v = np.random.default_rng(4).standard_normal(500)
     assert (np.diff(K.bucket_codes(np.sort(v), 64.0)) >= 0).all()
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 30])
+def test_order_of_all_kinds(spark, monkeypatch, rows):
+    small_bounds(monkeypatch, rows)
+    rng = np.random.default_rng(5)
+    n = 400
+    v = rng.choice([0.0, -1.5, 2.25, np.nan, np.inf, -np.inf, 1e-300, 7.0], n)
+    pdf = pd.DataFrame({"k": rng.choice(["a", None], n), "v": v, "i": rng.permutation(n), "s": [f"{x:04d}" * 12 for x in rng.integers(0, 90, n)]})
+    df = spark.createDataFrame([(k, None if i % 11 == 0 else float(x), int(i), s) for k, x, i, s in pdf.itertuples(index=False)], "k string, v double, i long, s string")
+    table = [tuple(r) for r in df.collect()]
+    last = lambda x: (x is None, x is not None and x != x, 0 if x is None or x != x else x)
+    for by, key in ((["v", "i"], lambda r: (last(r[1]), r[2])), (["s", "v", "i"], lambda r: (r[3], last(r[1]), r[2]))):
+        want = {}
+        for k in ("a", None):
+            for p, r in enumerate(sorted((r for r in table if r[0] == k), key=key)):
+                want[r[2]] = p
+        got = {r["i"]: r["pos"] for r in O.ordered_position(df, ["k"], by).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 30])
+def test_exact_quantiles(spark, monkeypatch, rows):
+    small_bounds(monkeypatch, rows)
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"k": rng.integers(0, 2, 501), "v": rng.standard_normal(501).round(1)})
     got = O.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", {"a": 0.0, "b": 0.31, "c": 1.0}).toPandas().set_index("k")
@@ -358,9 +398,9 @@ def test_unknown_names_are_errors(spark, call):
 ODD = [(None, 2.0, 1), (None, 1.0, 2), ("a", None, 3), ("a", float("nan"), 4), ("a", float("inf"), 5), ("a", float("-inf"), 6), ("a", -3.0, 7), ("a", 1e-320, 8), ("a", 3.0, 9), ("a", None, 10)]
 
 
-def test_order_keeps_nulls_nan_infinities_and_null_keys(spark):
-    from repalign.operators import order as O
-
+@pytest.mark.parametrize("rows", [1_000_000, 2])
+def test_order_keeps_nulls_nan_infinities_and_null_keys(spark, monkeypatch, rows):
+    small_bounds(monkeypatch, rows)
     df = spark.createDataFrame(ODD, "k string, v double, i int")
     pos = {r["i"]: (r["pos"], r["n"]) for r in O.position_by_value(df, ["k"], "v", ["i"]).collect()}
     assert pos == {2: (0, 2), 1: (1, 2), 6: (0, 8), 7: (1, 8), 8: (2, 8), 9: (3, 8), 5: (4, 8), 4: (5, 8), 3: (6, 8), 10: (7, 8)}
@@ -369,7 +409,9 @@ def test_order_keeps_nulls_nan_infinities_and_null_keys(spark):
     assert sorted(r["i"] for r in O.kfold(df, ["k"], "i", 3).collect()) == list(range(1, 11))
 
 
-def test_fdr_with_ties_nulls_and_null_keys(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_fdr_with_ties_nulls_and_null_keys(spark, monkeypatch, rows):
+    small_bounds(monkeypatch, rows)
     p = [0.01, 0.04, 0.04, 0.03, 0.5, 1.0, 1.0, 1.0]
     rows = [(k, x) for k in (None, "a") for x in [*p, None]]
     got = I.benjamini_hochberg(spark.createDataFrame(rows, "k string, p double"), ["k"], "p").collect()
