@@ -1,8 +1,9 @@
-"""Additive second moments of row vectors, the one data pass behind CKA, RSA and ridge.
+"""Mergeable second moments of row vectors, the one data pass behind CKA, RSA and ridge.
 
-Each task folds its rows into (d+1) x (1+d+v) sums per group and writes only those; the sums
-are merged after a shuffle whose size depends on the number of groups and dimensions, not on
-the number of rows. A group of any size is therefore combined before it moves.
+Each task folds its rows into (n, means, centred products) per group and writes only those; two such
+parts merge by the pairwise formula, which subtracts no large numbers, so columns whose mean is far
+larger than their deviation lose no digits. What is shuffled depends on the number of groups and
+dimensions, not on the number of rows: a group of any size is combined before it moves.
 """
 
 from __future__ import annotations
@@ -21,70 +22,129 @@ WIDE_CLUSTER, MERGE_LANES = 400, 32
 
 
 class Moments:
-    """Sums of one group: m = [1, x]^T [1, x, y] and yy = sum(y*y)."""
+    """Moments of z = [x, y] over n rows: means, c = sum of (x - mean)(z - mean)^T, and yy = sum of (y - mean)^2.
 
-    __slots__ = ("m", "yy")
+    Raw sums (``sx``, ``xx`` and so on) are derived; they are for columns that were centred before.
+    """
 
-    def __init__(self, m: np.ndarray, yy: np.ndarray):
-        self.m, self.yy = m, yy
+    __slots__ = ("n", "mean", "c", "cyy")
+
+    def __init__(self, n: float, mean: np.ndarray, c: np.ndarray, cyy: np.ndarray):
+        self.n, self.mean, self.c, self.cyy = n, mean, c, cyy
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Moments":
+        z = np.hstack([x, y])
+        n = float(len(z)) if weight is None else float(weight.sum())
+        mean = (z.sum(axis=0) if weight is None else weight @ z) / max(n, 1e-300)
+        z = z - mean
+        rest = (z.sum(axis=0) if weight is None else weight @ z) / max(n, 1e-300)  # what rounding left of the mean
+        mean, z = mean + rest, z - rest
+        left = z if weight is None else z * weight[:, None]
+        d = x.shape[1]
+        return cls(n, mean, left[:, :d].T @ z, (left[:, d:] * z[:, d:]).sum(axis=0))
+
+    def _joined(self, o: "Moments", sign: float) -> "Moments":
+        n = self.n + sign * o.n
+        if n <= 0:
+            return Moments(0.0, self.mean * 0, self.c * 0, self.cyy * 0)
+        gap = o.mean - self.mean
+        f = sign * self.n * o.n / n
+        d = self.d
+        return Moments(n, self.mean + sign * o.n / n * gap, self.c + sign * o.c + f * np.outer(gap[:d], gap), self.cyy + sign * o.cyy + f * gap[d:] ** 2)
 
     def __add__(self, o: "Moments") -> "Moments":
-        return Moments(self.m + o.m, self.yy + o.yy)
+        return self._joined(o, 1.0)
 
     def __sub__(self, o: "Moments") -> "Moments":
-        return Moments(self.m - o.m, self.yy - o.yy)
+        """The moments of the other rows, where ``o`` holds some of these."""
+        return self._joined(o, -1.0)
 
     @property
-    def n(self) -> float:
-        return self.m[0, 0]
+    def d(self) -> int:
+        return self.c.shape[0]
 
     @property
-    def d(self) -> int:
-        return self.m.shape[0] - 1
+    def mx(self):
+        return self.mean[:self.d]
+
+    @property
+    def my(self):
+        return self.mean[self.d:]
 
     @property
     def sx(self):
-        return self.m[0, 1:self.d + 1]
+        return self.n * self.mx
 
     @property
     def sy(self):
-        return self.m[0, self.d + 1:]
+        return self.n * self.my
 
     @property
     def xx(self):
-        return self.m[1:, 1:self.d + 1]
+        return self.c[:, :self.d] + self.n * np.outer(self.mx, self.mx)
 
     @property
     def xy(self):
-        return self.m[1:, self.d + 1:]
+        return self.c[:, self.d:] + self.n * np.outer(self.mx, self.my)
+
+    @property
+    def yy(self):
+        return self.cyy + self.n * self.my ** 2
 
     def affine(self, mu: np.ndarray, a: np.ndarray) -> "Moments":
-        """Sums of z = (x - mu) a."""
-        t = np.zeros((self.d + 1, a.shape[1] + 1))
-        t[0, 0] = 1.0
-        t[0, 1:] = -mu @ a
-        t[1:, 1:] = a
-        left = t.T @ self.m
-        m = np.hstack([left[:, :self.d + 1] @ t, left[:, self.d + 1:]])
-        return Moments(m, self.yy)
+        """Moments of z = (x - mu) a."""
+        left = a.T @ self.c
+        return Moments(self.n, np.concatenate([(self.mx - mu) @ a, self.my]), np.hstack([left[:, :self.d] @ a, left[:, self.d:]]), self.cyy)
 
     def select_x(self, idx: np.ndarray) -> "Moments":
-        """Sums of some of the x columns."""
-        rows = np.concatenate([[0], idx + 1])
-        cols = np.concatenate([rows, np.arange(self.d + 1, self.m.shape[1])])
-        return Moments(self.m[np.ix_(rows, cols)], self.yy)
+        """Moments of some of the x columns."""
+        cols = np.concatenate([idx, np.arange(self.d, len(self.mean))])
+        return Moments(self.n, self.mean[cols], self.c[np.ix_(idx, cols)], self.cyy)
+
+    def select_y(self, idx: np.ndarray) -> "Moments":
+        """Moments of some of the y columns."""
+        cols = np.concatenate([np.arange(self.d), self.d + idx])
+        return Moments(self.n, self.mean[cols], self.c[:, cols], self.cyy[idx])
 
     def shift_y(self, by: np.ndarray) -> "Moments":
-        """Sums with y - by in place of y."""
-        m = self.m.copy()
-        m[:, self.d + 1:] -= np.outer(self.m[:, 0], by)
-        return Moments(m, self.yy - 2 * by * self.sy + self.n * by * by)
+        """Moments with y - by in place of y."""
+        return Moments(self.n, np.concatenate([self.mx, self.my - by]), self.c, self.cyy)
 
     def centred_xx(self) -> np.ndarray:
-        return self.xx - np.outer(self.sx, self.sx) / self.n
+        return self.c[:, :self.d]
 
     def centred_xy(self) -> np.ndarray:
-        return self.xy - np.outer(self.sx, self.sy) / self.n
+        return self.c[:, self.d:]
+
+
+def _step(width: int) -> int:
+    return max(1, BLOCK_DOUBLES // width)
+
+
+def pieces_of(g: Moments) -> dict[int, np.ndarray]:
+    """The moments as flat pieces [n, columns of y, means, body] of bounded size; piece -1 has the squares of y."""
+    d, width = g.c.shape
+    head = np.concatenate([[g.n, width - d], g.mean])
+    out = {p: np.concatenate([head, g.c[lo:lo + _step(width)].ravel()]) for p, lo in enumerate(range(0, d, _step(width)))}
+    out[-1] = np.concatenate([head, g.cyy])
+    return out
+
+
+def merged_piece(a: np.ndarray, b: np.ndarray, d: int, part: int) -> np.ndarray:
+    """The same piece of two disjoint sets of rows as one."""
+    if not a[0] or not b[0]:
+        return b if not a[0] else a
+    width = d + int(a[1])
+    n, body = a[0] + b[0], 2 + width
+    gap = b[2:body] - a[2:body]
+    f = a[0] * b[0] / n
+    if part < 0:
+        more = f * gap[d:] ** 2
+    else:
+        lo = part * _step(width)
+        more = f * np.outer(gap[lo:lo + (len(a) - body) // width], gap).ravel()
+    return np.concatenate([[n, a[1]], a[2:body] + b[0] / n * gap, a[body:] + b[body:] + more])
 
 
 def _as_matrix(column: pa.Array) -> np.ndarray:
@@ -119,14 +179,8 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
                 cols += [pa.array([d], pa.int32()), pa.array([part], pa.int32()), pa.array([vals], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, "d", "part", "vals"])
 
-    def split(m: np.ndarray, yy: np.ndarray) -> dict[int, np.ndarray]:
-        step = max(1, BLOCK_DOUBLES // m.shape[1])
-        pieces = {p: m[lo:lo + step].ravel() for p, lo in enumerate(range(0, m.shape[0], step))}
-        pieces[-1] = yy
-        return pieces
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list] = {}
+        sums: dict[tuple, Moments] = {}
         held, key_types = 0, None
         for batch in batches:
             if not batch.num_rows:
@@ -134,30 +188,24 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
             key_types = [batch.schema.field(k).type for k in keys]
             xs = _as_matrix(batch.column("__x"))
             ys = _as_matrix(batch.column("__y")) if y else np.zeros((len(xs), 0))
-            left = np.hstack([np.ones((len(xs), 1)), xs])
-            right = np.hstack([left, ys])
-            squares = ys ** 2
-            if weight:
-                w = batch.column("__w").to_numpy(zero_copy_only=False)[:, None]
-                left, squares = left * w, squares * w
+            w = batch.column("__w").to_numpy(zero_copy_only=False) if weight else None
             codes, tuples = _codes(batch, keys)
             order = np.argsort(codes, kind="stable")
             bounds = np.searchsorted(codes[order], np.arange(len(tuples) + 1))
             for g, key in enumerate(tuples):
                 rows = order[bounds[g]:bounds[g + 1]]
-                m, yy = left[rows].T @ right[rows], squares[rows].sum(axis=0)
-                slot = sums.get((key, xs.shape[1]))
-                if slot is None:
-                    sums[(key, xs.shape[1])] = [m, yy]
-                    held += m.size
+                part = Moments.of(xs[rows], ys[rows], None if w is None else w[rows])
+                slot = (key, xs.shape[1])
+                if slot in sums:
+                    sums[slot] = sums[slot] + part
                 else:
-                    slot[0] += m
-                    slot[1] += yy
+                    sums[slot] = part
+                    held += part.c.size
             if held > FLUSH_DOUBLES:
-                yield from emit({k: split(*v) for k, v in sums.items()}, key_types)
+                yield from emit({k: pieces_of(g) for k, g in sums.items()}, key_types)
                 sums, held = {}, 0
         if sums:
-            yield from emit({k: split(*v) for k, v in sums.items()}, key_types)
+            yield from emit({k: pieces_of(g) for k, g in sums.items()}, key_types)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -177,7 +225,7 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
                 v = vals[r].values.to_numpy(zero_copy_only=False)
                 slot = (label[:-2], label[-2], label[-1])
                 if slot in sums:
-                    sums[slot] = sums[slot] + v
+                    sums[slot] = merged_piece(sums[slot], v, label[-2], label[-1])
                 else:
                     sums[slot] = v
                     held += v.size
@@ -201,14 +249,15 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
 
 
 def assemble(d: int, parts, vals) -> Moments:
-    """Add up the pieces of one group."""
-    merged: dict[int, np.ndarray] = {}
+    """Put the pieces of one group together."""
+    whole: dict[int, np.ndarray] = {}
     for p, v in zip(parts, vals):
-        v = np.asarray(v, float)
-        merged[int(p)] = merged[int(p)] + v if int(p) in merged else v
-    yy = merged.pop(-1)
-    m = np.concatenate([merged[p] for p in sorted(merged)]).reshape(d + 1, -1)
-    return Moments(m, yy)
+        p, v = int(p), np.asarray(v, float)
+        whole[p] = merged_piece(whole[p], v, d, p) if p in whole else v
+    last = whole.pop(-1)
+    body = 2 + d + int(last[1])
+    c = np.concatenate([whole[p][body:] for p in sorted(whole)]) if whole else np.zeros(0)
+    return Moments(last[0], last[2:body], c.reshape(d, body - 2), last[body:])
 
 
 def per_group(parts: DataFrame, fit_keys: Sequence[str], split_keys: Sequence[str], solve: Callable,

@@ -29,28 +29,30 @@ SCORE_FIELDS = "target int, r double, alpha double, n bigint"
 # ---- per-fit linear algebra on moments -------------------------------------------------
 
 class Scores:
-    """Running sums for the correlation of predictions and targets."""
+    """Running centred moments of predictions and targets, for their correlation."""
 
     def __init__(self, v: int):
         self.n = 0.0
-        self.p, self.pp, self.py, self.y, self.yy = (np.zeros(v) for _ in range(5))
+        self.p, self.y, self.pp, self.py, self.yy = (np.zeros(v) for _ in range(5))
 
     def add(self, g: Moments, w: np.ndarray, b: np.ndarray | float = 0.0) -> "Scores":
-        lin = g.sx @ w
-        self.n += g.n
-        self.p += lin + g.n * b
-        self.pp += np.einsum("iv,ij,jv->v", w, g.xx, w, optimize=True) + 2 * b * lin + g.n * b * b
-        self.py += np.einsum("iv,iv->v", w, g.xy) + b * g.sy
-        self.y += g.sy
-        self.yy += g.yy
+        """Add the rows of ``g``, predicted as x w + b."""
+        if g.n <= 0:
+            return self
+        n = self.n + g.n
+        gap_p, gap_y, f = g.mx @ w + b - self.p, g.my - self.y, self.n * g.n / n
+        self.pp += np.einsum("iv,ij,jv->v", w, g.centred_xx(), w, optimize=True) + f * gap_p ** 2
+        self.py += np.einsum("iv,iv->v", w, g.centred_xy()) + f * gap_p * gap_y
+        self.yy += g.cyy + f * gap_y ** 2
+        self.p, self.y, self.n = self.p + g.n / n * gap_p, self.y + g.n / n * gap_y, n
         return self
 
     def r(self, on_degenerate: float = 0.0) -> np.ndarray:
+        """r per target; deviations within rounding of the mean count as none."""
         n = max(self.n, 1.0)
-        vp, vy = self.pp - self.p ** 2 / n, self.yy - self.y ** 2 / n
-        flat = (vp <= 1e-13 * np.abs(self.pp)) | (vy <= 1e-13 * np.abs(self.yy))
-        den = np.sqrt(np.where(flat, 1.0, vp) * np.where(flat, 1.0, vy))
-        return np.where(flat, on_degenerate, (self.py - self.p * self.y / n) / den)
+        flat = (self.pp <= 1e-26 * n * self.p ** 2) | (self.yy <= 1e-26 * n * self.y ** 2) | (self.pp <= 0) | (self.yy <= 0)
+        den = np.sqrt(np.where(flat, 1.0, self.pp) * np.where(flat, 1.0, self.yy))
+        return np.where(flat, on_degenerate, self.py / den)
 
 
 def _principal(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +64,13 @@ def _principal(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _deviation(g: Moments, unit_zero: bool) -> np.ndarray:
     sd = np.sqrt(np.maximum(np.diag(g.centred_xx()) / g.n, 0.0))
     if unit_zero:
-        return np.where(sd <= 1e-12 * np.maximum(1.0, np.abs(g.sx / g.n)), 1.0, sd)
+        return np.where(sd <= 1e-12 * np.maximum(1.0, np.abs(g.mx)), 1.0, sd)
     return sd + 1e-8
 
 
 def reduce_then_scale(train: Moments, n_total: float, pca_dim: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(mu, A): PCA on the training rows if it reduces, then unit variance."""
-    mu = train.sx / train.n
+    mu = train.mx
     if pca_dim and train.d > pca_dim and n_total > pca_dim:
         lam, vec = _principal(train.centred_xx() / train.n, pca_dim)
         return mu, vec / (np.sqrt(lam) + 1e-8)
@@ -79,9 +81,9 @@ def scale_then_reduce(g: Moments, k: int | None, unit_zero: bool) -> tuple[np.nd
     """(mu, A): unit variance, then PCA to k dimensions."""
     inv = 1.0 / _deviation(g, unit_zero)
     if not k or k >= g.d and not unit_zero:
-        return g.sx / g.n, np.diag(inv)
+        return g.mx, np.diag(inv)
     _, vec = _principal(g.centred_xx() * np.outer(inv, inv) / g.n, min(k, g.d))
-    return g.sx / g.n, inv[:, None] * vec
+    return g.mx, inv[:, None] * vec
 
 
 def solve_path(xx: np.ndarray, xy: np.ndarray, alphas: Sequence[float]) -> list[np.ndarray]:
@@ -116,7 +118,7 @@ def solve_fold_local(groups, alpha: float, pca_dim: int | None) -> dict:
     """Centring of targets over all rows; PCA and scaling on the training folds only."""
     folds = _by_fold(groups)
     whole = _sum(folds.values())
-    ybar = whole.sy / whole.n
+    ybar = whole.my
     acc = Scores(len(ybar))
     for test in folds.values():
         train = whole - test
@@ -131,7 +133,7 @@ def solve_nested(groups, alphas) -> dict:
     """The penalty of a fold is chosen on the last rows of its training part."""
     folds = _by_fold(groups)
     whole = _sum(folds.values())
-    ybar = whole.sy / whole.n
+    ybar = whole.my
     acc, chosen = Scores(len(ybar)), []
     for at, (f, test) in enumerate(folds.items()):
         train = whole - test
@@ -152,7 +154,7 @@ def solve_test_fold(groups, alphas, n_components: int | None, scaled: bool = Tru
     """E5: scaling and PCA before the folds and the penalty chosen on the test fold (optimistic)."""
     folds = _by_fold(groups)
     whole = _sum(folds.values())
-    ybar = whole.sy / whole.n
+    ybar = whole.my
     k = None
     if n_components and whole.d > n_components and whole.n > n_components:
         k = n_components
@@ -193,9 +195,9 @@ def solve_plain(groups, alpha: float, pca_dim: int | None) -> dict:
     whole = _sum(folds.values())
     if pca_dim and whole.d > pca_dim and whole.n > pca_dim:
         _, vec = _principal(whole.centred_xx() / whole.n, pca_dim)
-        folds = {f: g.affine(whole.sx / whole.n, vec) for f, g in folds.items()}
+        folds = {f: g.affine(whole.mx, vec) for f, g in folds.items()}
         whole = _sum(folds.values())
-    acc = Scores(len(whole.sy))
+    acc = Scores(len(whole.my))
     for test in folds.values():
         train = whole - test
         (w,) = solve_path(train.xx, train.xy, [alpha])
@@ -206,7 +208,7 @@ def solve_plain(groups, alpha: float, pca_dim: int | None) -> dict:
 def solve_single_split(groups, alpha: float) -> dict:
     """One random test part, targets centred on the training part."""
     train, test = groups[(True,)], groups[(False,)]
-    ybar = train.sy / train.n
+    ybar = train.my
     mu, a = reduce_then_scale(train, train.n, None)
     z = train.shift_y(ybar).affine(mu, a)
     (w,) = solve_path(z.xx, z.xy, [alpha])
@@ -215,7 +217,7 @@ def solve_single_split(groups, alpha: float) -> dict:
 
 def _with_intercept(g: Moments, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     (w,) = solve_path(g.centred_xx(), g.centred_xy(), [alpha])
-    return w, (g.sy - g.sx @ w) / g.n
+    return w, g.my - g.mx @ w
 
 
 def solve_holdout(groups, alphas, n_components: int) -> dict:
@@ -360,7 +362,7 @@ def loo_ridge(df: DataFrame, keys, item, x, y, k: int = 5, alphas=ALPHAS_LOO, se
         for f, test in folds.items():
             g = whole - test
             lam, q = np.linalg.eigh(g.centred_xx())
-            for c, v in zip(out, (int(f), int(g.n), g.sx / g.n, g.sy / g.n, np.maximum(lam, 0.0), q.ravel(),
+            for c, v in zip(out, (int(f), int(g.n), g.mx, g.my, np.maximum(lam, 0.0), q.ravel(),
                                   (q.T @ g.centred_xy()).ravel())):
                 out[c].append(v)
         return out
@@ -432,7 +434,7 @@ def pca(df: DataFrame, keys: Sequence[str], item: str, vector: str, k: int, out:
         lam, vec = _principal(g.centred_xx() / g.n, g.d)
         head = vec[:, :k]
         head = head * np.sign(head[np.abs(head).argmax(axis=0), np.arange(k)])
-        return {"mu": [g.sx / g.n], "basis": [head.ravel()], "explained": [float(lam[:k].sum() / max(lam.sum(), 1e-300))]}
+        return {"mu": [g.mx], "basis": [head.ravel()], "explained": [float(lam[:k].sum() / max(lam.sum(), 1e-300))]}
 
     model = per_group(parts, keys, [], basis, "mu array<double>, basis array<double>, explained double")
     key_ddl = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)

@@ -433,3 +433,39 @@ def test_semantic_basis_is_fitted_on_all_rows(spark, monkeypatch):
     whole, part = run(fit_rows=120), run(fit_rows=20)
     monkeypatch.setattr(X, "random_subset", lambda *a, **o: pytest.fail("rows are drawn"))
     assert run() == whole != part
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7])
+def test_results_do_not_depend_on_large_means(spark, data, offset):
+    """Ridge, CKA, PCA and Pearson RSA of columns whose mean is very far from zero, against the same columns without it."""
+    df, x, y, ids = data
+    grid = 2.0 ** -20  # so that adding the offset rounds nothing away
+    x, y = np.round(x / grid) * grid, np.round(y / grid) * grid
+    make = lambda o: spark.createDataFrame(pd.DataFrame({"g": 0, "item": ids, "x": list(x + o), "y": list(y + o)}), "g int, item bigint, x array<double>, y array<double>").repartition(5)
+    plain, moved = make(0.0), make(offset)
+    for fit in (lambda d: G.fold_local_ridge(d, ["g"], "item", "x", "y", alpha=100.0, pca_dim=4), lambda d: G.nested_ridge(d, ["g"], "item", "x", "y"),
+                lambda d: G.optimistic_ridge(d, ["g"], "item", "x", "y", n_components=6)):
+        np.testing.assert_allclose(by_target(fit(moved)), by_target(fit(plain)), atol=1e-9)
+    for value in (lambda d: S.linear_cka(d, ["g"], "x", "y", 12, 5).first()["cka"], lambda d: G.pca(d, ["g"], "item", "x", 3).first()["explained"],
+                  lambda d: S.pearson_rsa(d, ["g"], "x", "y", 12, 5).first()["rsa"]):
+        assert value(moved) == pytest.approx(value(plain), abs=1e-9)
+
+
+def test_moments_merge_and_part(spark):
+    from repalign.operators import moments as M
+
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((40, 7)) + 1e8, rng.standard_normal((40, 3)) - 1e8
+    w = rng.integers(0, 4, 40).astype(float)
+    whole = M.Moments.of(x, y, w)
+    parts = [M.Moments.of(x[k::3], y[k::3], w[k::3]) for k in range(3)]
+    again = M.Moments.of(np.repeat(x, w.astype(int), 0), np.repeat(y, w.astype(int), 0))
+    for other in (parts[0] + parts[1] + parts[2], (whole - parts[1]) + parts[1], again):
+        assert other.n == whole.n
+        np.testing.assert_allclose(other.c, whole.c, atol=1e-5)
+        np.testing.assert_allclose(other.cyy, whole.cyy, rtol=1e-7)
+    exact = np.cov((np.repeat(x, w.astype(int), 0) - 1e8).T, bias=True) * whole.n
+    np.testing.assert_allclose(whole.centred_xx(), exact, atol=1e-5)
+    pieces = [M.pieces_of(p) for p in parts]
+    built = M.assemble(7, [k for p in pieces for k in p], [v for p in pieces for v in p.values()])
+    np.testing.assert_allclose(built.c, whole.c, atol=1e-5)
