@@ -29,7 +29,7 @@ def plain(text: str | None) -> str:
 
 def plain_codes(text: str | None) -> np.ndarray:
     """The code points of ``plain(text)``, by a table of letters and digits instead of an expression."""
-    loaded = process_cache()
+    loaded = process_cache("contamination")
     if "alnum" not in loaded:
         loaded["alnum"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
     codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)

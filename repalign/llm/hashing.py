@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,7 +33,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         _powers["up"], _powers["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size > 8 * CHUNK_BYTES:  # of one very long text: not kept
+        if size > 4 * CHUNK_BYTES:  # of one very long text: not kept
             return _powers.pop("up"), _powers.pop("down")
     return _powers["up"], _powers["down"]
 

@@ -18,7 +18,7 @@ MARK = "▁"  # stands for a space in pieces
 _LITERAL = "\ud800"  # stands for MARK itself inside this module: no text can hold it
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 FILTER_BITS = 22
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS, CELLS = 1 << 18, 50_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -164,8 +164,8 @@ def encode(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int)
     who, when, what = [], [], []
     for width in np.unique(group):
         members = np.flatnonzero(group == width)
-        for k in range(0, len(members), max(1, 400_000 // int(width))):
-            some = members[k:k + max(1, 400_000 // int(width))]
+        for k in range(0, len(members), max(1, CELLS // int(width))):
+            some = members[k:k + max(1, CELLS // int(width))]
             text = "".join([names[m].ljust(int(width), "\0") for m in some])
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), -1)
             sizes = unit_starts[some + 1] - unit_starts[some]
@@ -219,7 +219,7 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
 
 def _vocabulary(model_file: str, alpha: float) -> Vocabulary:
     """A model is loaded once per worker process, as plain arrays that any later task may use."""
-    loaded, name = process_cache(), f"pieces:{model_file}:{alpha}"
+    loaded, name = process_cache("pieces"), f"pieces:{model_file}:{alpha}"
     if name not in loaded:
         loaded[name] = vars(load(model_file, alpha))
     return Vocabulary(**loaded[name])

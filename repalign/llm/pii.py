@@ -77,8 +77,11 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _context(text: str, start: int) -> int | None:
-    """The hash of the two words before ``start``, or of a word and the beginning of the one there."""
-    words = _WORD.findall(text[max(0, start - 200):start])[-2:]
+    """The hash of the two words before ``start``, or of a word and the beginning of the one there, however long they are."""
+    back = 64
+    while len(words := _WORD.findall(text[max(0, start - back):start])) < 3 and back < start:
+        back *= 4  # with three words in sight the last two are whole
+    words = words[-2:]
     if len(words) < 2:
         return None
     data = np.frombuffer(" ".join(words).encode(), np.uint8)

@@ -32,20 +32,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-TEXT_ROWS = 1_000
+TEXT_ROWS, TEXT_BYTES = 1_000, 2 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Let Python workers get at most TEXT_ROWS rows at a time, as rows of texts are large; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+    """Let Python workers get at most TEXT_ROWS rows or about TEXT_BYTES bytes at a time; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
-def process_cache() -> dict:
+def process_cache(kind: str) -> dict:
     """A dictionary that lives as long as the Python process, for what tasks of one worker can share.
 
     Task functions travel with their code, so globals of this package begin anew with each task.
+    One ``kind`` is held at a time: what an earlier stage loaded goes when the next one asks.
     """
-    return sys.modules.setdefault("_repalign_cache", types.ModuleType("_repalign_cache")).__dict__
+    held = sys.modules.setdefault("_repalign_cache", types.ModuleType("_repalign_cache")).__dict__
+    if held.get("kind") != kind:
+        held.clear()
+        held.update(kind=kind, values={})
+    return held["values"]

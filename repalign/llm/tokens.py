@@ -132,7 +132,7 @@ class Words:
     def __init__(self, file: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        loaded = process_cache()
+        loaded = process_cache("tokens")
         self.kept = loaded.setdefault(f"words:{file}", {})
         if "model" not in self.kept:
             self.kept["model"] = Tokenizer.from_file(file)

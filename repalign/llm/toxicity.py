@@ -67,8 +67,11 @@ def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled documents, chosen by a hash of the id; one row per id."""
-    labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    """(text, label) of at most ``max_rows`` labelled documents, chosen by a hash of the id; one row per id.
+
+    Labels above 0 count as 1, others as 0; of contradicting labels of one id the larger counts.
+    """
+    labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
     total = max(1, labels.count())
     spin = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20))
     few = labels.where(spin < min(1.0, 1.2 * max_rows / total) * (1 << 20)).orderBy(spin, "doc_id").limit(max_rows)

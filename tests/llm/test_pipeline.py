@@ -45,5 +45,17 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+def test_toxic_documents_go_whatever_the_columns_are_named(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    more = docs.union(docs.where("doc_id in (1, 5, 205)")).union(docs.limit(1).selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+    more = more.selectExpr("*", "doc_id as score", "'p' as predicted", "1 as held_out", "2 as row")
+    got = corpus_pipeline.remove_toxic(spark, more, str(tmp_path))
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert all(r.score == r.doc_id and r.predicted == "p" and r.row == 2 for r in rows)
+    assert sorted((r.doc_id for r in rows), key=str) == sorted((r.doc_id for r in more.collect() if not "you zorgle" in (r.text or "")), key=str)
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))

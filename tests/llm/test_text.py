@@ -38,6 +38,12 @@ def test_toxicity_learns_and_scores_everything(spark, docs, texts, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_labels_other_than_zero_and_one(spark):
+    rows = spark.createDataFrame([(k, f"{'you zorgle fool' if k % 4 == 0 else 'a fine day'} {k % 17} house") for k in range(200)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, 2 if k % 4 == 0 else -1 if k % 4 == 1 else 0) for k in range(200)] + [(4, 0)], "doc_id long, toxic int")
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in toxicity.toxicity(rows, known).collect())
+
+
 def test_toxicity_without_labels_or_of_one_kind(spark, docs, texts):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
@@ -392,3 +398,10 @@ def test_words_with_the_separator_and_rare_spaces():
     model, words = Tokenizer.from_file(WORDS), tokens.Words(WORDS, 2)
     texts = ["a~b ~ c", "don't 12,5 é", "x y\x1cz", "~", "  lead", "Á ́"]
     assert [x.tolist() for x in words.encode(texts)] == [[*model.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_contexts_hold_whole_words():
+    long = "x" * 300
+    assert pii._context(f"call {long} 12", len(f"call {long} ")) == pii._context(f"a b call {long} 12", len(f"a b call {long} ")) != pii._context(f"hall {long} 12", len(f"hall {long} "))
+    assert pii._context("one 12", 4) is None and pii._context("", 0) is None
+    assert pii._context("one two 12", 8) == pii._context(f"{long * 50} one two 12", len(long) * 50 + 9)
