@@ -18,7 +18,7 @@ MARK = "▁"  # stands for a space in pieces
 _LITERAL = "\ud800"  # stands for MARK itself inside this module: no text can hold it
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 FILTER_BITS = 22
-CHUNK_CHARS, CELLS = 1 << 18, 50_000
+CHUNK_CHARS, CELLS = 1 << 20, 50_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
