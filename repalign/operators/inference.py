@@ -159,8 +159,7 @@ def permutation_table(df: DataFrame, keys: Sequence[str], item: str, reps: int,
     home = position_by_value(items, keys, item, (), "__p", "__n").drop("__n")
     moved = replicates(items, reps, [*keys, item]).withColumn("__h", md5_key(seed, "rep", item))
     moved = ordered_position(moved, [*keys, "rep"], ["__h", item], "__p", "__n", crowded(items, keys))
-    return (moved.select(*keys, "rep", "__p", F.col(item).alias("other")).join(home, [*keys, "__p"])
-            .select(*keys, "rep", item, "other"))
+    return joined_back(moved.select(*keys, "rep", "__p", F.col(item).alias("other")), home, [*keys, "__p"]).select(*keys, "rep", item, "other")
 
 
 def p_value(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str = "stat",

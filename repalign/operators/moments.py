@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 # A task writes its sums early once they pass this size; later merging adds them up again.
@@ -186,16 +187,18 @@ def moment_parts(df: DataFrame, keys: Sequence[str], x: str, y: str | None = Non
             if not batch.num_rows:
                 continue
             key_types = [batch.schema.field(k).type for k in keys]
-            xs = _as_matrix(batch.column("__x"))
-            ys = _as_matrix(batch.column("__y")) if y else np.zeros((len(xs), 0))
+            columns = [batch.column(c) for c in (("__x", "__y") if y else ("__x",))]
+            even = all(len(set(pc.list_value_length(c).to_pylist())) == 1 for c in columns)  # groups may differ in their lengths
+            tables = [_as_matrix(c) for c in columns] if even else None
             w = batch.column("__w").to_numpy(zero_copy_only=False) if weight else None
             codes, tuples = _codes(batch, keys)
             order = np.argsort(codes, kind="stable")
             bounds = np.searchsorted(codes[order], np.arange(len(tuples) + 1))
             for g, key in enumerate(tuples):
                 rows = order[bounds[g]:bounds[g + 1]]
-                part = Moments.of(xs[rows], ys[rows], None if w is None else w[rows])
-                slot = (key, xs.shape[1])
+                x_rows, *y_rows = [t[rows] for t in tables] if even else [_as_matrix(c.take(pa.array(rows))) for c in columns]
+                part = Moments.of(x_rows, y_rows[0] if y else np.zeros((len(rows), 0)), None if w is None else w[rows])
+                slot = (key, x_rows.shape[1])
                 if slot in sums:
                     sums[slot] = sums[slot] + part
                 else:

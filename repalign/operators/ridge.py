@@ -12,8 +12,10 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .moments import Moments, assemble, moment_parts, per_group
-from .order import kfold, random_holdout, running_totals
+from .order import joined_back, kfold, random_holdout, running_totals
+from .wide import krylov_pca, ridge_of_rows
 
 # Penalty grids of the encoders.
 ALPHAS_NESTED = (1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -23,6 +25,9 @@ ALPHAS_HOLDOUT = (100.0, 1000.0, 10000.0, 100000.0)
 ALPHA_FINAL = 10000.0
 ALPHA_PARTITION = 1000.0
 
+# From this vector length on PCA takes passes over the rows instead of d x d sums.
+WIDE = 1024
+
 SCORE_FIELDS = "target int, r double, alpha double, n bigint"
 
 
@@ -251,11 +256,60 @@ def solve_holdout(groups, alphas, n_components: int) -> dict:
 
 # ---- Spark plans ------------------------------------------------------------------------
 
+FORMS = ("auto", "gram", "rows")
+
+
 def fold_local_ridge(df: DataFrame, keys, item, x, y, k: int = 5, alpha: float = ALPHA_FINAL,
-                     pca_dim: int | None = 256, seed: int = 42) -> DataFrame:
-    """Out-of-fold r per target, everything fitted inside the fold."""
-    parts = moment_parts(kfold(df, keys, item, k, seed), [*keys, "fold"], x, y)
-    return per_group(parts, keys, ["fold"], lambda g: solve_fold_local(g, alpha, pca_dim), SCORE_FIELDS)
+                     pca_dim: int | None = 256, seed: int = 42, form: str = "auto") -> DataFrame:
+    """Out-of-fold r per target, everything fitted inside the fold.
+
+    ``gram`` works on d x d sums of each fold, ``rows`` on the n x n inner products of a group's rows; the results
+    are equal. ``auto`` takes the rows of groups that have fewer rows than features, and sums for all others.
+    """
+    if form not in FORMS:
+        raise ValueError(f"unknown form: {form}")
+    keys = list(keys)
+    rows = kfold(df, keys, item, k, seed)
+    by_sums = lambda part: per_group(moment_parts(part, [*keys, "fold"], x, y), keys, ["fold"], lambda g: solve_fold_local(g, alpha, pca_dim), SCORE_FIELDS)
+    by_rows = lambda part: ridge_of_rows(part, keys, x, y, alpha, pca_dim, SCORE_FIELDS)
+    if form != "auto":
+        return by_sums(rows) if form == "gram" else by_rows(rows)
+    shapes = df.groupBy(*keys).agg((F.count(F.lit(1)) < F.max(F.size(x))).alias("__few"))
+    kinds = {r["__few"] for r in shapes.select("__few").distinct().collect()}
+    if len(kinds) < 2:
+        return by_rows(rows) if True in kinds else by_sums(rows)
+    rows = cut_lineage(joined_back(rows, shapes, keys))
+    return by_sums(rows.where(~F.col("__few"))).unionByName(by_rows(rows.where("__few")))
+
+
+def null_ridge(df: DataFrame, keys, item, x, y, reps: int, k: int = 5, alpha: float = ALPHA_FINAL, pca_dim: int | None = 256,
+               seed: int = 42, reps_per_fit: int = 256) -> DataFrame:
+    """(keys, rep, target, r): the fold-local fit of the targets (rep -1) and of ``reps`` permutations of them.
+
+    Permutations move targets only: those of up to ``reps_per_fit`` replicates are further columns of one fit,
+    so the products of the features, their PCA and the factorisation are computed once per fold. Folds and
+    permutations are those of ``kfold`` and ``permutation_table``. Items must be unique within keys.
+    """
+    from .inference import permutation_table
+
+    keys = list(keys)
+    perm = permutation_table(df, keys, item, reps, seed).unionByName(df.select(*keys, F.lit(-1).alias("rep"), item, F.col(item).alias("other")))
+    targets = df.select(*keys, F.col(item).alias("other"), F.col(y).cast("array<double>").alias("__y"))
+    at = F.col("rep") + 1
+    moved = joined_back(perm, targets, [*keys, "other"]).withColumn("__fit", F.floor(at / reps_per_fit).cast("int"))
+    stacked = moved.groupBy(*keys, item, "__fit").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rep", "__y"))), lambda s: s["__y"])).alias("__y"))
+    rows = joined_back(stacked, kfold(df.select(*keys, item, x), keys, item, k, seed), [*keys, item])
+    parts = moment_parts(rows, [*keys, "__fit", "fold"], x, "__y")
+
+    def fit(groups):
+        out = solve_fold_local(groups, alpha, pca_dim)
+        return {**out, "width": np.full(len(out["r"]), len(out["r"]))}
+
+    scores = per_group(parts, [*keys, "__fit"], ["fold"], fit, SCORE_FIELDS + ", width int")
+    held = F.least(F.lit(reps_per_fit), F.lit(reps + 1) - F.col("__fit") * reps_per_fit)
+    width = (F.col("width") / held).cast("int")
+    return scores.select(*keys, (F.col("__fit") * reps_per_fit + F.floor(F.col("target") / width) - 1).cast("int").alias("rep"),
+                         F.pmod("target", width).cast("int").alias("target"), "r")
 
 
 def mark_inner_rows(df: DataFrame, keys: Sequence[str], item: str, k: int) -> DataFrame:
@@ -416,16 +470,22 @@ def loo_ridge(df: DataFrame, keys, item, x, y, k: int = 5, alphas=ALPHAS_LOO, se
 
 
 def pca(df: DataFrame, keys: Sequence[str], item: str, vector: str, k: int, out: str = "pc",
-        fit_rows: DataFrame | None = None) -> DataFrame:
+        fit_rows: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """Centred PCA scores and the explained share (E1); the basis may come from a subset of rows.
 
     With fewer than k + 1 rows or dimensions the vectors are kept as they are. Signs are fixed
-    by making the largest loading positive.
+    by making the largest loading positive. ``gram`` sums d x d products in one pass; ``krylov`` takes a few
+    passes without them (see ``krylov_pca``); ``auto`` chooses by the longest vector.
     """
     import pandas as pd
 
+    if method not in ("auto", "gram", "krylov"):
+        raise ValueError(f"unknown method: {method}")
     keys = list(keys)
-    parts = moment_parts(df if fit_rows is None else fit_rows, keys, vector)
+    fitted = df if fit_rows is None else fit_rows
+    if method == "auto":
+        longest = fitted.agg(F.max(F.size(vector))).first()[0]
+        method = "krylov" if (longest or 0) > WIDE else "gram"
 
     def basis(groups):
         (g,) = groups.values()
@@ -436,7 +496,15 @@ def pca(df: DataFrame, keys: Sequence[str], item: str, vector: str, k: int, out:
         head = head * np.sign(head[np.abs(head).argmax(axis=0), np.arange(k)])
         return {"mu": [g.mx], "basis": [head.ravel()], "explained": [float(lam[:k].sum() / max(lam.sum(), 1e-300))]}
 
-    model = per_group(parts, keys, [], basis, "mu array<double>, basis array<double>, explained double")
+    if method == "gram":
+        model = per_group(moment_parts(fitted, keys, vector), keys, [], basis, "mu array<double>, basis array<double>, explained double")
+    else:
+        sizes = fitted.groupBy(*keys).agg((F.count(F.lit(1)) > k).alias("__use"), F.max(F.size(vector)).alias("__d"))
+        use = F.col("__use") & (F.col("__d") > k)
+        zero = F.transform(F.sequence(F.lit(1), F.col("__d")), lambda i: F.lit(0.0))
+        eye = F.transform(F.sequence(F.lit(0), F.col("__d") * F.col("__d") - 1), lambda i: F.when(F.pmod(i, F.col("__d") + 1) == 0, 1.0).otherwise(0.0))
+        found = krylov_pca(joined_back(fitted, sizes.where(use), keys), keys, item, vector, k).drop("variances")
+        model = found.unionByName(sizes.where(~use).select(*keys, zero.alias("mu"), eye.alias("basis"), F.lit(1.0).alias("explained")))
     key_ddl = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
     item_ddl = f"`{item}` {df.schema[item].dataType.simpleString()}, "
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ceiling_from_snr, ceiling_normalised
-from ..operators import features as X, inference as I, order as O, ridge as G, summaries as R
+from ..operators import features as X, inference as I, order as O, ridge as G, summaries as R, wide as W
 from .inputs import EMB, FEAT, RESP, features, items, r_of, response_vectors, responses, segments, streams, table
 from .registry import query
 
@@ -273,6 +273,27 @@ def pca_explained(spark, d):
                                   F.var_pop(F.col("pc")[1]).alias("v1"), F.count(F.lit(1)).alias("n"))
 
 
+# The larger root of a 2 x 2 covariance.
+_TOP = "((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b))"
+
+
+@query("pca_two_features", f"""WITH {EMB}, s AS (SELECT label, var_pop(e[1]) AS a, covar_pop(e[1], e[64]) AS b, var_pop(e[64]) AS c, count(*) AS n FROM emb GROUP BY label)
+    SELECT label, {_TOP} AS variance, {_TOP} / (a + c) AS explained, n FROM s WHERE n > 1""", "variance explained")
+def pca_two_features(spark, d):
+    """First component of two elements per label, by the passes that form no d x d matrix."""
+    e = items(spark, d).select("label", "item_id", F.array(F.col("e")[0], F.col("e")[63]).alias("v"))
+    size = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return W.krylov_pca(e, ["label"], "item_id", "v", 1).select("label", F.col("variances")[0].alias("variance"), "explained").join(size.where("n > 1"), "label")
+
+
+@query("encoding_small_groups")
+def encoding_small_groups(spark, d):
+    """Many small fits of more features than rows, in the n x n form (E10): the last 56 elements against the first 8."""
+    e = items(spark, d).select("label", (F.floor(F.col("item_id") / 300)).alias("block"), "item_id", F.slice("e", 9, 56).alias("x"), F.slice("e", 1, 8).alias("y"))
+    r = G.fold_local_ridge(e, ["label", "block"], "item_id", "x", "y", alpha=1.0)
+    return r.groupBy("label", "block").agg(F.avg("r").alias("mean_r"), F.max("r").alias("best_r"), F.max("n").alias("n"))
+
+
 @query("standardise_columns", f"""WITH {FEAT}, c AS (SELECT layer, item_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS p FROM feat),
     z AS (SELECT layer, item_id, p, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM c WINDOW w AS (PARTITION BY layer, p))
     SELECT layer, item_id, max(z) AS top, sum(z) AS total FROM z GROUP BY ALL""", "top total")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stars
 from ..operators import inference as I, order as O, pairs as P, ridge as G, similarity as S
+from ..session import cut_lineage
 from .inputs import EMB, avg_rank, items, pair_distances, r_of, responses, segments, streams, student_sql, table, unit_rows, RESP
 from .registry import query
 from .similarity import SEG_RANKS, TWO, TWO_BY_LABEL, centred, VIS
@@ -114,8 +115,6 @@ def perm_rsa_pearson(spark, d):
     SELECT segment AS layer, observed, avg((stat >= observed - 1e-12)::INT) AS p, avg(stat) AS null_mean, stddev_pop(stat) AS null_std FROM n JOIN o USING (segment) GROUP BY ALL""", "observed p null_mean null_std")
 def perm_rsa_shared(spark, d):
     cells = S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)] + [f"S{s}" for s in range(6)])
-    from ..session import cut_lineage
-
     ranks = cut_lineage(O.average_rank(cut_lineage(cells), ["g", "segment"], "d").drop("d"))
     model = ranks.where("segment LIKE 'L%'").withColumnRenamed("segment", "layer")
     brain = ranks.where("segment LIKE 'S%'").withColumnRenamed("segment", "subject")
@@ -161,20 +160,19 @@ def perm_two_sample_rank(spark, d):
 
 @query("null_encoder")
 def null_encoder(spark, d):
-    """Encoder r with shuffled targets against the observed one."""
-    e = items(spark, d).select("g", "item_id", F.slice("e", 9, 8).alias("x"), F.slice("e", 1, 8).alias("y"))
-    real = G.fold_local_ridge(e, ["g"], "item_id", "x", "y", pca_dim=None).groupBy("g").agg(F.avg("r").alias("observed"))
-    null = G.fold_local_ridge(I.shuffled_targets(e, ["g"], "item_id", "y", 20), ["g", "rep"], "item_id", "x", "y", pca_dim=None)
-    out = I.p_value(null.groupBy("g", "rep").agg(F.avg("r").alias("stat")), real, ["g"])
+    """Encoder r with 200 permutations of the targets against the observed one."""
+    e = items(spark, d).select("g", "item_id", F.slice("e", 9, 56).alias("x"), F.slice("e", 1, 8).alias("y"))
+    r = cut_lineage(G.null_ridge(e, ["g"], "item_id", "x", "y", 200, pca_dim=None).groupBy("g", "rep").agg(F.avg("r").alias("stat")))
+    out = I.p_value(r.where("rep >= 0"), r.where("rep < 0").select("g", F.col("stat").alias("observed")), ["g"])
     return out.drop("g").withColumn("mark", stars("p"))
 
 
 @query("shuffled_layers", """WITH l AS (SELECT DISTINCT lang FROM documents), home AS (SELECT lang, row_number() OVER (ORDER BY lang) AS p FROM l),
-    moved AS (SELECT r.r AS rep, lang AS other, row_number() OVER (PARTITION BY r.r ORDER BY md5('42-' || r.r || '-' || lang), lang) AS p FROM l, range(10) r(r))
+    moved AS (SELECT r.r AS rep, lang AS other, row_number() OVER (PARTITION BY r.r ORDER BY md5('42-' || r.r || '-' || lang), lang) AS p FROM l, range(1000) r(r))
     SELECT rep::INT AS rep, other AS lang, avg(n_chars) AS mean FROM documents JOIN home USING (lang) JOIN moved USING (p) GROUP BY ALL""", "mean")
 def shuffled_layers(spark, d):
-    docs = table(spark, d, "documents").select("lang", "n_chars")
-    return I.shuffled_labels(docs, "lang", 10).groupBy("rep", "lang").agg(F.avg("n_chars").alias("mean"))
+    docs = table(spark, d, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean"))  # labels move whole groups
+    return I.shuffled_labels(docs, "lang", 1000).select("rep", "lang", "mean")
 
 
 PAIRED = f"{RESP}, c AS (SELECT label, subject, {r_of('value', 'item_id')} AS a, {r_of('value', 'item_id * target')} AS b FROM resp GROUP BY ALL)"
