@@ -205,7 +205,7 @@ def encoding_within_cross(spark, d):
 def encoding_cross_modal(spark, d):
     """r of both streams and r squared of each and of both together."""
     s = streams(spark, d).select("g", "item_id", F.concat("vis", "txt").alias("z")).join(response_vectors(spark, d), "item_id")
-    models = {"V": [(48 - 32, 16)], "T": [(48, 16)], "VT": [(16, 16), (48, 16)]}
+    models = {"V": [(32, 16)], "T": [(48, 16)], "VT": [(32, 32)]}  # the half that holds no targets
     r = G.partitioned_ridge(s.drop("g"), ["subject"], "item_id", "z", models, "y")
     g = r.groupBy("subject").agg(*[F.avg(F.when(F.col("model") == m, F.col("r") * F.col("r"))).alias(f"r2_{m}") for m in models],
                                  *[F.avg(F.when(F.col("model") == m, F.col("r"))).alias(f"r_{m}") for m in ("V", "T")])
@@ -215,7 +215,7 @@ def encoding_cross_modal(spark, d):
 @query("encoding_variance_partition")
 def encoding_variance_partition(spark, d):
     s = streams(spark, d).select("item_id", F.concat("vis", "txt").alias("z")).join(response_vectors(spark, d), "item_id")
-    r = G.partitioned_ridge(s, ["subject"], "item_id", "z", {"V": [(0, 32)], "L": [(32, 32)], "VL": [(0, 64)]}, "y", fixed_alpha=G.ALPHA_PARTITION)
+    r = G.partitioned_ridge(s, ["subject"], "item_id", "z", {"V": [(32, 16)], "L": [(48, 16)], "VL": [(32, 32)]}, "y", fixed_alpha=G.ALPHA_PARTITION)
     return unique_parts(r, ["subject", "target"])
 
 
@@ -223,8 +223,8 @@ def encoding_variance_partition(spark, d):
 def encoding_token_spatial(spark, d):
     """Every token of every layer against the first region: mean, best r and best target."""
     e = items(spark, d)
-    toks = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(t).alias("token"), F.slice("e", 16 * k + 4 * t + 1, 4).alias("x")) for k in range(4) for t in range(4)])
-    rows = e.select("item_id", F.slice("e", 33, 8).alias("y"), F.explode(toks).alias("t")).select("item_id", "y", "t.*")
+    toks = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(t).alias("token"), F.slice("e", 14 * k + 2 * t + 9, 2).alias("x")) for k in range(4) for t in range(7)])
+    rows = e.select("item_id", F.slice("e", 1, 8).alias("y"), F.explode(toks).alias("t")).select("item_id", "y", "t.*")
     r = G.fold_local_ridge(rows, ["layer", "token"], "item_id", "x", "y")
     return r.groupBy("layer", "token").agg(F.avg("r").alias("mean_r"), F.max("r").alias("best_r"),
                                            F.max_by("target", F.struct("r", -F.col("target"))).alias("best_target"))
@@ -233,10 +233,9 @@ def encoding_token_spatial(spark, d):
 @query("encoding_streams")
 def encoding_streams(spark, d):
     """The same encoder per stream (E14) and feature set."""
-    s = streams(spark, d)
-    rows = s.select("item_id", F.explode(F.array(F.struct(F.lit("vis").alias("stream"), F.col("vis").alias("x")),
-                                                 F.struct(F.lit("txt").alias("stream"), F.col("txt").alias("x")))).alias("c")).select("item_id", "c.*")
-    r = G.fold_local_ridge(rows.join(response_vectors(spark, d), "item_id"), ["subject", "stream"], "item_id", "x", "y", pca_dim=16)
+    halves = F.array(*[F.struct(F.lit(n).alias("stream"), F.slice("e", at, 16).alias("x")) for n, at in (("vis", 33), ("txt", 49))])
+    rows = items(spark, d).select("item_id", F.explode(halves).alias("c")).select("item_id", "c.*")
+    r = G.fold_local_ridge(rows.join(response_vectors(spark, d), "item_id"), ["subject", "stream"], "item_id", "x", "y", pca_dim=12)
     return r.groupBy("subject", "stream").agg(F.avg("r").alias("mean_r"))
 
 
@@ -254,7 +253,7 @@ def encoding_semantic(spark, d):
     from ..functions.vectors import softmax_top_k
 
     e = items(spark, d)
-    toks = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(t).alias("token"), F.slice("e", 32 * k + 16 * t + 1, 16).alias("l")) for k in range(2) for t in range(2)])
+    toks = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(t).alias("token"), F.slice("e", 28 * k + 14 * t + 1, 14).alias("l")) for k in range(2) for t in range(2)])
     rows = e.select("item_id", F.explode(toks).alias("t")).select("item_id", "t.*")
     topk = softmax_top_k(rows, "l", 10, "topk").select("layer", "token", "item_id", "topk")
     vocab = e.groupBy(F.pmod("label", F.lit(16)).cast("int").alias("token_id"), F.lit(0).alias("z")).agg(

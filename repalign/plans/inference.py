@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stars
 from ..operators import inference as I, order as O, pairs as P, ridge as G, similarity as S
 from ..session import cut_lineage
-from .inputs import EMB, avg_rank, items, pair_distances, r_of, responses, segments, streams, student_sql, table, unit_rows, RESP
+from .inputs import LAYERS, SUBJECTS, EMB, avg_rank, items, pair_distances, r_of, responses, segments, streams, student_sql, table, unit_rows, RESP
 from .registry import query
 from .similarity import SEG_RANKS, TWO, TWO_BY_LABEL, centred, VIS
 
@@ -114,7 +114,7 @@ def perm_rsa_pearson(spark, d):
       JOIN s ON s.i = least(p.other, q.other) AND s.j = greatest(p.other, q.other) GROUP BY ALL) GROUP BY ALL)
     SELECT segment AS layer, observed, avg((stat >= observed - 1e-12)::INT) AS p, avg(stat) AS null_mean, stddev_pop(stat) AS null_std FROM n JOIN o USING (segment) GROUP BY ALL""", "observed p null_mean null_std")
 def perm_rsa_shared(spark, d):
-    cells = S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)] + [f"S{s}" for s in range(6)])
+    cells = S.segment_rdms(segments(spark, d), ["g"], "item_id", LAYERS + SUBJECTS)
     ranks = cut_lineage(O.average_rank(cut_lineage(cells), ["g", "segment"], "d").drop("d"))
     model = ranks.where("segment LIKE 'L%'").withColumnRenamed("segment", "layer")
     brain = ranks.where("segment LIKE 'S%'").withColumnRenamed("segment", "subject")

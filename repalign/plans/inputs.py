@@ -1,14 +1,17 @@
 """Views of the given tables in the layouts the operators expect.
 
-The tables carry no neural meaning; the mapping is structural. Every view covers its whole
-table. The SQL twins below are used by the agreement checks.
+The tables carry no neural meaning; the mapping is structural. The first half of an embedding is
+what subjects answer with (four subjects of eight targets), the second half what models hold (four
+layers of eight elements): no target is among its predictors, and the two together are the whole vector.
+The SQL twins below are used by the agreement checks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-N_SUBJECTS, N_TARGETS, N_LAYERS, LAYER_WIDTH = 6, 8, 4, 8
+N_SUBJECTS, N_TARGETS, N_LAYERS, LAYER_WIDTH, MODEL_AT = 4, 8, 4, 8, 32
+LAYERS, SUBJECTS = [f"L{k}" for k in range(N_LAYERS)], [f"S{s}" for s in range(N_SUBJECTS)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +34,16 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(g, item_id, L0..L3, S0..S5): layers and subjects as eight-element slices."""
+    """(g, item_id, L0..L3, S0..S3): layers and subjects as eight-element slices."""
     e = items(spark, sf_dir)
-    cols = [F.slice("e", LAYER_WIDTH * k + 1, LAYER_WIDTH).alias(f"L{k}") for k in range(N_LAYERS)]
+    cols = [F.slice("e", MODEL_AT + LAYER_WIDTH * k + 1, LAYER_WIDTH).alias(f"L{k}") for k in range(N_LAYERS)]
     cols += [F.slice("e", N_TARGETS * s + 1, N_TARGETS).alias(f"S{s}") for s in range(N_SUBJECTS)]
     return e.select("g", "item_id", *cols)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(layer, item_id, label, vector) in long form."""
-    slices = F.array(*[F.slice("e", LAYER_WIDTH * k + 1, LAYER_WIDTH) for k in range(N_LAYERS)])
+    slices = F.array(*[F.slice("e", MODEL_AT + LAYER_WIDTH * k + 1, LAYER_WIDTH) for k in range(N_LAYERS)])
     return items(spark, sf_dir).select("item_id", "label", F.posexplode(slices).alias("layer", "vector"))
 
 
@@ -93,9 +96,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMB = "emb AS (SELECT vec_id AS item_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 RESP = (EMB + f", resp AS (SELECT s.s::INT AS subject, t.t::INT AS target, item_id, label, e[{N_TARGETS}*s.s + t.t + 1] AS value "
         f"FROM emb, range({N_SUBJECTS}) s(s), range({N_TARGETS}) t(t))")
-FEAT = (EMB + f", feat AS (SELECT k.k::INT AS layer, item_id, label, e[({LAYER_WIDTH}*k.k+1):({LAYER_WIDTH}*k.k+{LAYER_WIDTH})] AS v "
+FEAT = (EMB + f", feat AS (SELECT k.k::INT AS layer, item_id, label, e[({MODEL_AT}+{LAYER_WIDTH}*k.k+1):({MODEL_AT}+{LAYER_WIDTH}*k.k+{LAYER_WIDTH})] AS v "
         f"FROM emb, range({N_LAYERS}) k(k))")
-SEG = (EMB + f", seg AS (SELECT 'L' || k.k AS segment, item_id, label, e[(8*k.k+1):(8*k.k+8)] AS v FROM emb, range({N_LAYERS}) k(k) "
+SEG = (EMB + f", seg AS (SELECT 'L' || k.k AS segment, item_id, label, e[({MODEL_AT}+8*k.k+1):({MODEL_AT}+8*k.k+8)] AS v FROM emb, range({N_LAYERS}) k(k) "
        f"UNION ALL SELECT 'S' || k.k, item_id, label, e[(8*k.k+1):(8*k.k+8)] FROM emb, range({N_SUBJECTS}) k(k))")
 VIEWS = ("views AS (SELECT user_id AS subject, (props->>'$.k')::INT AS item, ts, event_id, event_type, value FROM events)")
 ANNOT = ("annot AS (SELECT l_orderkey AS image_id, l_linenumber AS pos, p_brand AS category, p_type AS super, l_extendedprice AS area "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import pearson
 from ..operators import inference as I, order as O, rankpairs as K, ridge as G, similarity as S, summaries as R
 from ..session import cut_lineage
-from .inputs import EMB, FEAT, avg_rank, features, items, r_of, region_scores, response_vectors, segments, streams, student_sql, table
+from .inputs import LAYERS, SUBJECTS, EMB, FEAT, avg_rank, features, items, r_of, region_scores, response_vectors, segments, streams, student_sql, table
 from .registry import query
 from .similarity import SEG_RANKS
 
@@ -259,8 +259,8 @@ def vector_difference_all(spark, d):
 @query("rsa_full_table")
 def rsa_full_table(spark, d):
     """Observed RSA, interval, p and ceiling per layer against the subject-mean RDM."""
-    subjects = [f"S{s}" for s in range(6)]
-    cells = cut_lineage(S.segment_rdms(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)] + subjects))
+    subjects = SUBJECTS
+    cells = cut_lineage(S.segment_rdms(segments(spark, d), ["g"], "item_id", LAYERS + subjects))
     mean = cells.where("segment LIKE 'S%'").groupBy("g", "i", "j").agg(F.avg("d").alias("b"))
     pairs = cut_lineage(cells.where("segment LIKE 'L%'").select("g", F.col("segment").alias("layer"), "i", "j", F.col("d").alias("a")).join(mean, ["g", "i", "j"]))
     keys = ["g", "layer"]
@@ -274,7 +274,7 @@ def rsa_full_table(spark, d):
 @query("metric_agreement")
 def metric_agreement(spark, d):
     """Do RSA, CKA and the encoder peak at the same layer for each subject?"""
-    left, right = [f"L{k}" for k in range(4)], [f"S{s}" for s in range(6)]
+    left, right = LAYERS, SUBJECTS
     seg = segments(spark, d)
     names = lambda df, v: df.select(F.col("right").alias("subject"), F.substring("left", 2, 1).cast("int").alias("layer"), F.col(v).alias("score"))
     rsa = names(S.rsa_matrix(seg, ["g"], "item_id", left, right, "pearson"), "rsa")

@@ -11,7 +11,7 @@ from ..functions.scalars import pearson
 from ..operators import order as O, pairs as P, rankpairs as K, ridge as G, similarity as S, summaries as R
 from ..session import shared_folder
 from ..sources import tables as T
-from .inputs import (EMB, SEG, avg_rank, items, pair_distances, r_of, segments, streams, student_sql, unit_rows, table)
+from .inputs import (LAYERS, SUBJECTS, EMB, SEG, avg_rank, items, pair_distances, r_of, segments, streams, student_sql, unit_rows, table)
 from .registry import query
 
 VIS = EMB + ", vis AS (SELECT item_id, label, e[1:32] AS v FROM emb), txt AS (SELECT item_id, label, e[33:64] AS v FROM emb), "
@@ -99,7 +99,7 @@ SEG_RANKS = SEG_PAIRS + f", rk AS (SELECT segment, i, j, d, {avg_rank('d', 'segm
 @query("rsa_matrix_spearman", f"""WITH {SEG_RANKS} SELECT a.segment AS "left", b.segment AS "right", {r_of('a.r', 'b.r')} AS rsa
     FROM rk a JOIN rk b USING (i, j) WHERE a.segment LIKE 'L%' AND b.segment LIKE 'S%' GROUP BY ALL""", "rsa")
 def rsa_matrix_spearman(spark, d):
-    return S.rsa_matrix(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)], [f"S{s}" for s in range(6)]).drop("g")
+    return S.rsa_matrix(segments(spark, d), ["g"], "item_id", LAYERS, SUBJECTS).drop("g")
 
 
 @query("rsa_matrix_euclidean_pearson", f"""WITH {SEG}, ps AS (SELECT a.segment, a.item_id AS i, b.item_id AS j,
@@ -108,7 +108,7 @@ def rsa_matrix_spearman(spark, d):
     SELECT a.segment AS "left", b.segment AS "right", {r_of('a.d', 'b.d')} AS rsa FROM ps a JOIN ps b USING (i, j)
     WHERE a.segment LIKE 'L%' AND b.segment LIKE 'S%' GROUP BY ALL""", "rsa")
 def rsa_matrix_euclidean_pearson(spark, d):
-    return S.rsa_matrix(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)], [f"S{s}" for s in range(6)],
+    return S.rsa_matrix(segments(spark, d), ["g"], "item_id", LAYERS, SUBJECTS,
                         "pearson", "euclidean").drop("g")
 
 
@@ -120,20 +120,20 @@ SUBJ = SEG_PAIRS + """, cells AS (SELECT segment AS subject, i, j, d, (sum(d) OV
     {avg_rank('full_mean', 'subject')} AS f FROM cells), s AS (SELECT subject, {r_of('a', 'f')} AS u, {r_of('a', 'l')} AS l FROM rk GROUP BY subject)
     SELECT avg(u) AS upper, avg(l) AS lower, count(*) AS n_subjects FROM s""", "upper lower")
 def rsa_noise_ceiling(spark, d):
-    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)]).drop("g")
+    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", SUBJECTS).drop("g")
 
 
 @query("rsa_noise_ceiling_pearson", f"""WITH {SUBJ}, s AS (SELECT subject, {r_of('d', 'full_mean')} AS u, {r_of('d', 'loo')} AS l FROM cells GROUP BY subject)
     SELECT avg(u) AS upper, avg(l) AS lower, count(*) AS n_subjects FROM s""", "upper lower")
 def rsa_noise_ceiling_pearson(spark, d):
-    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)], "pearson").drop("g")
+    return K.rdm_ceiling(segments(spark, d), ["g"], "item_id", SUBJECTS, "pearson").drop("g")
 
 
 @query("rank_reliability", f"""WITH {SEG_RANKS}, c AS (SELECT segment, r, (sum(r) OVER c - r) / (count(*) OVER c - 1) AS loo FROM rk
     WHERE segment LIKE 'S%' WINDOW c AS (PARTITION BY i, j)), s AS (SELECT segment, {r_of('r', 'loo')} AS r FROM c GROUP BY segment)
     SELECT avg(r) AS mean, stddev_pop(r) AS std, count(*) AS n FROM s""", "mean std")
 def rank_reliability(spark, d):
-    return K.rank_reliability(segments(spark, d), ["g"], "item_id", [f"S{s}" for s in range(6)]).drop("g")
+    return K.rank_reliability(segments(spark, d), ["g"], "item_id", SUBJECTS).drop("g")
 
 
 @query("top1_retrieval", f"""WITH {UNITS} sim AS (SELECT a.item_id AS i, b.item_id AS j, list_inner_product(a.u, b.u) AS s FROM uv a, ut b),
@@ -189,7 +189,7 @@ def linear_cka_by_label(spark, d):
     FROM g a JOIN g b USING (i, j) WHERE a.segment LIKE 'L%' AND b.segment LIKE 'S%' GROUP BY ALL""", "cka")
 def cka_matrix(spark, d):
     seg = segments(spark, d)
-    left, right = {f"L{k}": 8 for k in range(4)}, {f"S{s}": 8 for s in range(6)}
+    left, right = dict.fromkeys(LAYERS, 8), dict.fromkeys(SUBJECTS, 8)
     stacked = seg.select("g", F.concat(*left, *right).alias("z"))
     return S.cka_matrix(stacked, ["g"], "z", left, right).drop("g")
 
@@ -304,5 +304,5 @@ def layer_stream_convergence(spark, d):
     SELECT a.segment, b.segment AS subject, {r_of('a.r', 'b.r')} AS r FROM rk a JOIN rk b USING (i, j)
     WHERE a.segment LIKE 'L%' AND b.segment LIKE 'S%' GROUP BY ALL) a GROUP BY a.segment""", "mean std")
 def two_leg_alignment(spark, d):
-    m = S.rsa_matrix(segments(spark, d), ["g"], "item_id", [f"L{k}" for k in range(4)], [f"S{s}" for s in range(6)])
+    m = S.rsa_matrix(segments(spark, d), ["g"], "item_id", LAYERS, SUBJECTS)
     return R.convergence_summary(m.withColumnRenamed("left", "layer"), ["layer"], "rsa")
