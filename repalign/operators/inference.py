@@ -122,14 +122,56 @@ def bootstrap_rsa(pairs: DataFrame, keys: Sequence[str], a: str, b: str, reps: i
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")
     w, x, y = F.col("w"), F.col("a"), F.col("b")
-    s = rows.groupBy(*group).agg(*[F.sum(e).alias(n) for n, e in (
-        ("n", w), ("sx", w * x), ("sy", w * y), ("sxx", w * x * x), ("syy", w * y * y), ("sxy", w * x * y))])
+    return _weighted_rsa_interval(rows.select(*group, *[e.alias(n) for n, e in zip(_SUMS, (w, w * x, w * y, w * x * x, w * y * y, w * x * y))]), keys, level)
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _weighted_rsa_interval(sums: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """The interval of r over the replicates from parts of their weighted sums."""
+    group = [*keys, "rep"]
+    s = sums.groupBy(*group).agg(*[F.sum(c).alias(c) for c in _SUMS])
     n = F.col("n")
     den = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n))
     stats = s.select(*group, F.when(den > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / den).alias("stat"))
     return interval(stats, keys, "stat", level)
 
 
+def bootstrap_rsa_in_tiles(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, reps: int, metric: str = "correlation",
+                           level: float = 0.95, seed: int = 42) -> DataFrame:
+    """``bootstrap_rsa`` by Pearson from the vectors, all draws inside the tiles of item pairs.
+
+    A pair weighs the product of its items' multiplicities, so a tile's sums over its pairs are matrix products
+    for all draws at once: pairs meet no draw by a join, none is written out, and a tile adds one row of sums per
+    draw. Only the multiplicities (one array per item) travel with the vectors. Keys must not be null.
+    """
+    import numpy as np
+
+    from .pairs import METRICS, pack_blocks, tile_map
+
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    keys, block = list(keys), METRICS[metric]
+    m = bootstrap_counts(df.select(*keys, item), keys, item, reps, seed).groupBy(*keys, item).agg(
+        F.map_from_entries(F.collect_list(F.struct("rep", F.col("m").cast("double")))).alias("__drawn"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("__drawn", r), F.lit(0.0)))
+    rows = df.select(*keys, item, F.col(x).alias("x"), F.col(y).alias("y")).join(m, [*keys, item], "left").withColumn("m", dense)
+
+    def kernel(same, ids_a, mats_a, ids_b, mats_b, _):
+        a, b = block(mats_a["x"], mats_b["x"]), block(mats_a["y"], mats_b["y"])
+        own, other = mats_a["m"], mats_b["m"]
+        inside = np.triu(np.ones(a.shape), 1) if same else np.ones(a.shape)
+        out = {name: (own * ((inside * v) @ other)).sum(axis=0) for name, v in zip(_SUMS, (1.0, a, b, a * a, b * b, a * b))}
+        if same:  # an item drawn again makes pairs at distance zero
+            out["n"] = out["n"] + (own * (own - 1) / 2).sum(axis=0)
+        return {"rep": np.arange(reps), **out}
+
+    blocks = pack_blocks(rows.drop("__drawn"), keys, item, ["x", "y", "m"])
+    sums = tile_map(blocks, keys, ["x", "y", "m"], kernel, "rep int, " + ", ".join(f"{c} double" for c in _SUMS))
+    return _weighted_rsa_interval(sums, keys, level)
+
+
 def bootstrap_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, dx: int, dy: int, reps: int,
                   level: float = 0.95, seed: int = 42) -> DataFrame:
     """Interval of linear CKA under resampling of rows (I3): Gram matrices with multiplicities."""

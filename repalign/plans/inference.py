@@ -39,12 +39,12 @@ def bootstrap_ci_median(spark, d):
     return I.bootstrap_ci(table(spark, d, "events"), ["event_type"], "event_id", "value", 20, "median")
 
 
-def boot_rsa_sql(rank: bool) -> str:
+def boot_rsa_sql(rank: bool, reps: int) -> str:
     value = "ra, rb" if rank else "a AS ra, b AS rb"
     weighted = ("SELECT grp, rep, w, sum(w) OVER (PARTITION BY grp, rep ORDER BY a) - (sum(w) OVER (PARTITION BY grp, rep, a) - 1) / 2 AS ra, "
                 "sum(w) OVER (PARTITION BY grp, rep ORDER BY b) - (sum(w) OVER (PARTITION BY grp, rep, b) - 1) / 2 AS rb FROM rows"
                 if rank else "SELECT grp, rep, w, a AS ra, b AS rb FROM rows")
-    return f"""WITH {TWO_BY_LABEL}, {boot_sql(10, 'label', 'emb', 'item_id')},
+    return f"""WITH {TWO_BY_LABEL}, {boot_sql(reps, 'label', 'emb', 'item_id')},
     rows AS (SELECT pv.label AS grp, x.rep, pv.d AS a, pt.d AS b, (x.m * y.m)::DOUBLE AS w FROM pv JOIN pt USING (i, j) JOIN mi x ON x.item = i JOIN mi y ON y.item = j AND y.rep = x.rep
       UNION ALL SELECT grp, rep, 0, 0, sum(m * (m - 1) / 2)::DOUBLE FROM mi GROUP BY grp, rep HAVING sum(m * (m - 1) / 2) > 0),
     rk AS ({weighted}),
@@ -52,16 +52,15 @@ def boot_rsa_sql(rank: bool) -> str:
     SELECT grp AS label, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high, stddev_pop(s) AS se FROM s GROUP BY grp"""
 
 
-@query("bootstrap_rsa_spearman", boot_rsa_sql(True), "ci_low ci_high se")
+@query("bootstrap_rsa_spearman", boot_rsa_sql(True, 10), "ci_low ci_high se")
 def bootstrap_rsa_spearman(spark, d):
     pairs = P.rdm(streams(spark, d), ["label"], "item_id", {"a": "vis", "b": "txt"})
     return I.bootstrap_rsa(pairs, ["label"], "a", "b", 10)
 
 
-@query("bootstrap_rsa_pearson", boot_rsa_sql(False), "ci_low ci_high se")
+@query("bootstrap_rsa_pearson", boot_rsa_sql(False, 1000), "ci_low ci_high se")
 def bootstrap_rsa_pearson(spark, d):
-    pairs = P.rdm(streams(spark, d), ["label"], "item_id", {"a": "vis", "b": "txt"})
-    return I.bootstrap_rsa(pairs, ["label"], "a", "b", 10, "pearson")
+    return I.bootstrap_rsa_in_tiles(streams(spark, d), ["label"], "item_id", "vis", "txt", 1000)
 
 
 @query("bootstrap_cka", f"""WITH {VIS} {boot_sql(8, 'label', 'emb', 'item_id')},

@@ -469,3 +469,13 @@ def test_moments_merge_and_part(spark):
     pieces = [M.pieces_of(p) for p in parts]
     built = M.assemble(7, [k for p in pieces for k in p], [v for p in pieces for v in p.values()])
     np.testing.assert_allclose(built.c, whole.c, atol=1e-5)
+
+
+def test_bootstrap_in_tiles_equals_pairs_with_draws(spark, data, monkeypatch):
+    df, *_ = data
+    monkeypatch.setattr(P, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(P.pack_blocks, "__defaults__", (16,))
+    pairs = P.rdm(df, ["g"], "item", {"a": "x", "b": "y"})
+    want = I.bootstrap_rsa(pairs, ["g"], "a", "b", 9, "pearson").first()
+    got = I.bootstrap_rsa_in_tiles(df, ["g"], "item", "x", "y", 9).first()
+    assert [got[c] for c in ("ci_low", "ci_high", "se")] == pytest.approx([want[c] for c in ("ci_low", "ci_high", "se")], abs=1e-9)
