@@ -61,13 +61,45 @@ def probability_targets(atlas: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def with_fallback(targets: DataFrame, wanted: DataFrame, general: DataFrame) -> DataFrame:
-    """Regions without any target get the general mask."""
+    """Regions without any target get the general mask, with whatever sides it has."""
     missing = wanted.select("roi").distinct().join(targets, "roi", "left_anti")
-    sides = F.explode(F.array(F.lit("lh"), F.lit("rh"))).alias("hemi")
-    filled = missing.select("roi", sides).join(general, "hemi")
+    sides = general.agg(F.collect_set(F.coalesce("hemi", F.lit("")))).scalar()
+    spread = missing.select("roi", F.explode(sides).alias("__side"))
+    filled = spread.join(general.withColumn("__side", F.coalesce("hemi", F.lit(""))), "__side")
     return targets.unionByName(filled.select(*targets.columns))
 
 
+def region_closure(tree: DataFrame) -> DataFrame:
+    """(roi, part) of everything below each region of a table (parent, child), at any depth, by a recursive query.
+
+    A part that is reached in several ways counts once. A tree with a cycle is an error (Spark's limit of levels).
+    """
+    return tree.sparkSession.sql("""WITH RECURSIVE below(roi, part) AS (
+            SELECT parent, child FROM {tree}
+            UNION ALL SELECT below.roi, t.child FROM below JOIN {tree} t ON below.part = t.parent)
+        SELECT DISTINCT roi, part FROM below""", tree=tree.select("parent", "child"))
+
+
+def nested_targets(atlas: DataFrame, leaves: DataFrame, tree: DataFrame) -> DataFrame:
+    """(roi, hemi, target_id) of leaves and of all regions above them.
+
+    ``leaves`` has (roi, atlas, hemi, labels, threshold); a side of 'both' stands for either. A leaf with a threshold is a
+    probability mask of its atlas (strictly above it), any other one a set of labels.
+    """
+    masks = leaves.where("threshold is not null").select("roi", "atlas", F.col("hemi").alias("__side"), "threshold")
+    above = (atlas.join(masks, "atlas").where((F.col("prob") > F.col("threshold")) & ((F.col("__side") == "both") | (F.col("__side") == F.col("hemi"))))
+             .select("roi", "hemi", "target_id"))
+    own = region_targets(atlas, region_labels(leaves.where("threshold is null"))).unionByName(above).distinct()
+    nested = region_closure(tree).join(own.withColumnRenamed("roi", "part"), "part").select("roi", "hemi", "target_id")
+    return own.unionByName(nested).distinct()
+
+
+def unknown_parts(leaves: DataFrame, tree: DataFrame) -> DataFrame:
+    """(roi, part) where a part is neither a leaf nor a region with parts of its own."""
+    known = leaves.select(F.col("roi").alias("part")).unionByName(tree.select(F.col("parent").alias("part"))).distinct()
+    return region_closure(tree).join(known, "part", "left_anti").select("roi", "part")
+
+
 def region_responses(responses: DataFrame, targets: DataFrame, sides: DataFrame | None = None,
                      ncsnr: DataFrame | None = None) -> DataFrame:
     """Responses of each region's targets, with their reliability.

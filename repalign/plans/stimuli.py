@@ -180,6 +180,26 @@ def roi_fallback(spark, d):
     return Z.with_fallback(t, spec(spark), general).groupBy("roi").agg(F.count(F.lit(1)).alias("n"))
 
 
+NESTED = [("visual", "early"), ("visual", "late"), ("early", "V1"), ("early", "mask"), ("late", "STS"), ("language", "Broca"), ("language", "nowhere")]
+LEAVES = [("V1", "both", [1, 2], None), ("STS", "both", [2, 3, 4], None), ("Broca", "lh", [7], None), ("mask", "rh", None, 0.6)]
+
+
+@query("roi_nested", f"""WITH RECURSIVE {ATLAS}, tree(parent, child) AS (VALUES {", ".join(map(str, NESTED))}),
+    leaf(roi, hemi, labels, threshold) AS (VALUES {", ".join(str(x).replace("None", "NULL") for x in LEAVES)}),
+    below AS (SELECT parent AS roi, child AS part FROM tree UNION SELECT below.roi, tree.child FROM below JOIN tree ON below.part = tree.parent),
+    own AS (SELECT DISTINCT roi, a.hemi, target_id FROM leaf l JOIN atlas a ON (l.hemi = 'both' OR l.hemi = a.hemi) AND CASE WHEN threshold IS NULL THEN list_contains(labels, a.label) ELSE prob > threshold END),
+    every AS (SELECT * FROM own UNION SELECT below.roi, hemi, target_id FROM below JOIN own ON own.roi = below.part)
+    SELECT roi, hemi, NULL AS unknown, count(*) AS n FROM every GROUP BY roi, hemi
+    UNION ALL SELECT roi, NULL, part, 0 FROM below WHERE part NOT IN (SELECT roi FROM leaf) AND part NOT IN (SELECT parent FROM tree)""")
+def roi_nested(spark, d):
+    """Targets of leaves and of two levels of regions above them, labels or probability masks; names that lead nowhere."""
+    tree = spark.createDataFrame(NESTED, "parent string, child string")
+    leaves = spark.createDataFrame([(roi, "hcp", hemi, labels, t) for roi, hemi, labels, t in LEAVES], "roi string, atlas string, hemi string, labels array<int>, threshold double")
+    sizes = Z.nested_targets(atlas(spark, d), leaves, tree).groupBy("roi", "hemi").agg(F.count(F.lit(1)).alias("n"))
+    lost = Z.unknown_parts(leaves, tree).select("roi", F.lit(None).cast("string").alias("hemi"), F.col("part").alias("unknown"), F.lit(0).cast("long").alias("n"))
+    return sizes.withColumn("unknown", F.lit(None).cast("string")).unionByName(lost)
+
+
 @query("roi_by_name", "SELECT p_brand AS roi, p_type AS name, count(*) AS n FROM part GROUP BY ALL")
 def roi_by_name(spark, d):
     """Regions given by names: each brand lists its types, each type names its parts."""

@@ -143,3 +143,20 @@ def test_strict_items(spark):
     want = spark.createDataFrame([(1,), (2,)], "item_id int")
     assert TR.requested_items(r, want, "subject", "item_id").count() == 3
     assert {x["subject"] for x in TR.requested_items(r, want, "subject", "item_id", True).collect()} == {"a"}
+
+
+def test_nested_regions_and_fallback_sides(spark):
+    from repalign.operators import regions as Z
+
+    tree = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "leaf"), ("d", "lost")], "parent string, child string")
+    assert {tuple(r) for r in Z.region_closure(tree).collect()} == {("a", "b"), ("a", "c"), ("a", "leaf"), ("b", "c"), ("b", "leaf"), ("c", "leaf"), ("d", "lost")}
+    atlas = spark.createDataFrame([("x", "lh", 1, 5, 0.2), ("x", "rh", 1, 5, 0.9), ("x", "mid", 2, 6, 0.9), ("x", None, 3, 5, 0.9)], "atlas string, hemi string, target_id int, label int, prob double")
+    leaves = spark.createDataFrame([("leaf", "x", "both", [5], None), ("mask", "x", "rh", None, 0.5)], "roi string, atlas string, hemi string, labels array<int>, threshold double")
+    got = {tuple(r) for r in Z.nested_targets(atlas, leaves, tree).collect()}
+    assert got == {(r, h, 1) for r in ("a", "b", "c", "leaf") for h in ("lh", "rh")} | {("mask", "rh", 1)}
+    assert [tuple(r) for r in Z.unknown_parts(leaves, tree).collect()] == [("d", "lost")]
+    wanted = spark.createDataFrame([("leaf",), ("new",)], "roi string")
+    filled = Z.with_fallback(Z.nested_targets(atlas, leaves, tree), wanted, atlas.select("hemi", "target_id")).where("roi = 'new'")
+    assert {(r["hemi"], r["target_id"]) for r in filled.collect()} == {("lh", 1), ("rh", 1), ("mid", 2), (None, 3)}
+    nothing = Z.with_fallback(Z.nested_targets(atlas, leaves, tree), wanted, atlas.limit(0).select("hemi", "target_id"))
+    assert nothing.where("roi = 'new'").count() == 0
