@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import col, md5_key, zero_padded
+from ..functions.scalars import col, md5_draw, md5_key, zero_padded
 from .order import keep_first, ordered_position, position_by_value
 
 # Splits, file patterns, prompts and option lists.
 SPLITS = ("train2017", "val2017", "train2014", "val2014")
 IMAGE_DIRS = SPLITS + ("images/train2017", "images/val2017")
-ITEM_FILE_FORMATS = (("nsd", 5), ("nsd-", 5), ("stimuli_", 5), ("", 0))  # prefix, digits; all end in .png
+ITEM_FILE_FORMATS = ("nsd{:05d}.png", "nsd-{:05d}.png", "stimuli_{:05d}.png", "{}.png")
 COLOR_OPTIONS = ("red", "green", "blue", "yellow", "white", "black", "gray", "brown")
 OBJECT_PROMPT = "What is the main object in this image? Answer with a single word or short phrase."
 OPTION_PROMPT = ("Which of these best describes the main object? Choices: ", ". Answer with one of the choices.")
@@ -70,6 +70,13 @@ def first_caption(annotations: DataFrame, image: str, order: Sequence[str], text
     return keep_first(annotations.withColumn("caption", F.trim(text)), [image], [F.col(c) for c in order], ["caption"])
 
 
+def caption_lists(annotations: DataFrame, image: str, order: Sequence[str], text: str) -> DataFrame:
+    """(image, caption, all_captions): the trimmed captions of an image in file order, and the first of them."""
+    entry = F.struct(*order, F.trim(text).alias("caption"))
+    out = annotations.groupBy(image).agg(F.sort_array(F.collect_list(entry)).getField("caption").alias("all_captions"))
+    return out.select(image, F.element_at("all_captions", 1).alias("caption"), "all_captions")
+
+
 def largest_object(annotations: DataFrame, image: str, area: str, position: str, columns: Sequence[str]) -> DataFrame:
     """The object of largest area per image, first on ties."""
     best = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.col(area), F.lit(0.0)), -F.col(position)))
@@ -89,18 +96,39 @@ def category_list(categories: DataFrame, category: str) -> Column:
     return categories.agg(F.sort_array(F.collect_set(category))).scalar()
 
 
+def drawn_places(n: Column, k: int, seed: int, *parts: str | Column) -> Column:
+    """k distinct places of 0..n-1, or all n if there are fewer, each set equally likely.
+
+    Floyd's way: step s draws from 0..n-k+s and takes the last of these where the draw is taken already. k hashes
+    whatever n is, nothing is sorted, and SQL draws the same.
+    """
+    steps = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: n - k + s >= 0)
+    draws = F.transform(steps, lambda s: F.struct((n - k + s).cast("long").alias("last"), md5_draw(seed, n - k + s + 1, *parts, s).alias("r")))
+    return F.aggregate(draws, F.array().cast("array<bigint>"), lambda taken, d: F.array_append(
+        taken, F.when(F.array_contains(taken, d["r"]), d["last"]).otherwise(d["r"])))
+
+
 def with_options(df: DataFrame, truth: str, names: Column, item: str, distractors: int = 3, seed: int = 42) -> DataFrame:
-    """Add ``options`` and ``correct_idx``: truth and distinct distractors in md5 order."""
-    def ranked(values: Column, salt: int) -> Column:
-        keyed = F.transform(values, lambda c: F.struct(md5_key(salt, item, c).alias("h"), c.alias("c")))
-        return F.sort_array(keyed).getField("c")
-
-    return (df.withColumn("__names", names)
-            .withColumn("__others", F.filter("__names", lambda c: c != F.col(truth)))
-            .withColumn("__picked", F.slice(ranked(F.col("__others"), seed), 1, distractors))
-            .withColumn("options", ranked(F.concat(F.array(truth), F.col("__picked")), seed + 1))
+    """Add ``options`` and ``correct_idx``: truth and distinct distractors in md5 order.
+
+    Distractors are drawn as places in ``names`` (sorted, distinct) without the truth's own; a truth that is no name
+    leaves all of them. Too few names: all of them. A null truth has null options.
+    """
+    own = F.coalesce(F.array_position("__names", F.col(truth)), F.lit(0)).cast("int")
+    at = F.col("__at")
+    others = F.size("__names") - F.when(at > 0, 1).otherwise(0)
+
+    def shuffled(values: Column) -> Column:
+        return F.sort_array(F.transform(values, lambda c: F.struct(md5_key(seed + 1, item, c).alias("h"), c.alias("c")))).getField("c")
+
+    def name_at(p: Column) -> Column:
+        return F.element_at("__names", (p + F.when((at > 0) & (p >= at - 1), 2).otherwise(1)).cast("int"))
+
+    picked = F.transform(drawn_places(others, distractors, seed, item), name_at)
+    return (df.withColumn("__names", names).withColumn("__at", own).withColumn("__picked", picked)
+            .withColumn("options", F.when(F.col(truth).isNotNull(), shuffled(F.concat(F.array(truth), F.col("__picked")))))
             .withColumn("correct_idx", (F.array_position("options", F.col(truth)) - 1).cast("int"))
-            .drop("__names", "__others", "__picked"))
+            .drop("__names", "__at", "__picked"))
 
 
 def color_options(true_color: str | Column) -> tuple[Column, Column]:
@@ -116,10 +144,17 @@ def resolve_path(candidates: DataFrame, files: DataFrame, item: str) -> DataFram
     return found.groupBy(item).agg(F.min_by("path", "priority").alias("path"))
 
 
+def named_file(pattern: str, number: str | Column) -> Column:
+    """A pattern with one '{}' or '{:05d}' filled in by column functions; a null number gives null."""
+    before, rest = pattern.split("{", 1)
+    width, after = rest.split("}", 1)
+    digits = int(width.strip(":d") or 0)
+    return F.concat(F.lit(before), zero_padded(number, digits), F.lit(after))
+
+
 def candidate_paths(items: DataFrame, item: str, ext: str) -> DataFrame:
     """All places an image may be, best first: local file names, then the external folders."""
-    local = [F.struct(F.lit(p).alias("priority"), F.concat(F.lit(prefix), zero_padded(item, digits), F.lit(".png")).alias("path"))
-             for p, (prefix, digits) in enumerate(ITEM_FILE_FORMATS)]
+    local = [F.struct(F.lit(p).alias("priority"), named_file(pattern, item).alias("path")) for p, pattern in enumerate(ITEM_FILE_FORMATS)]
     outside = [F.struct(F.lit(len(local) + p).alias("priority"), F.concat(F.lit(f"{d}/"), zero_padded(ext, 12), F.lit(".jpg")).alias("path"))
                for p, d in enumerate(IMAGE_DIRS)]
     usable = F.when(F.col(ext) > 0, F.array(*local, *outside)).otherwise(F.array(*local))
@@ -138,24 +173,40 @@ def stimulus_pairs(items: DataFrame, images: DataFrame, captions: DataFrame | No
 
 def item_metadata(items: DataFrame, objects: DataFrame, captions: DataFrame, counts: DataFrame, names: Column,
                   item: str, ext: str, seed: int = 42) -> DataFrame:
-    """One record per item with defaults for what is missing, and options."""
+    """One record per item with defaults for what is missing, and options.
+
+    ``objects(ext, category, category_id, area)`` holds the main object, ``captions(ext, caption, all_captions)`` the
+    captions, ``counts(ext, n_objects)`` all objects. Missing: category 'object' of id -1 and area 0, an empty
+    caption and list, no objects.
+    """
     rows = (items.join(objects, ext, "left").join(captions, ext, "left").join(counts, ext, "left")
             .withColumn("no_objects", F.col("category").isNull()).withColumn("no_caption", F.col("caption").isNull())
             .withColumn("category", F.coalesce("category", F.lit("object")))
+            .withColumn("category_id", F.coalesce("category_id", F.lit(-1)))
             .withColumn("caption", F.coalesce("caption", F.lit("")))
+            .withColumn("all_captions", F.coalesce("all_captions", F.array().cast("array<string>")))
             .withColumn("n_objects", F.coalesce("n_objects", F.lit(0)))
             .withColumn("main_object_area", F.coalesce("area", F.lit(0.0))).drop("area"))
     return with_options(rows, "category", names, item, seed=seed)
 
 
 def task_prompts(meta: DataFrame, item: str) -> DataFrame:
-    """(item, task, prompt, ground_truth): the object, option and caption tasks."""
+    """(item, task, prompt, ground_truth, options, correct_idx, all_captions): the object, option and caption tasks.
+
+    Options belong to the option task and all captions to the caption task; elsewhere they are null.
+    """
     listing = F.concat(F.lit(OPTION_PROMPT[0]), F.array_join("options", ", "), F.lit(OPTION_PROMPT[1]))
-    tasks = F.array(
-        F.struct(F.lit("object").alias("task"), F.lit(OBJECT_PROMPT).alias("prompt"), F.col("category").alias("gt")),
-        F.struct(F.lit("category_mc").alias("task"), listing.alias("prompt"), F.col("category").alias("gt")),
-        F.struct(F.lit("caption").alias("task"), F.lit(CAPTION_PROMPT).alias("prompt"), F.col("caption").alias("gt")))
-    return meta.select(item, F.explode(tasks).alias("t")).select(item, "t.task", "t.prompt", F.col("t.gt").alias("ground_truth"))
+    no_names = F.lit(None).cast("array<string>")
+
+    def task(name: str, prompt: Column, gt: str, options: Column = no_names, captions: Column = no_names) -> Column:
+        index = F.col("correct_idx") if name == "category_mc" else F.lit(None).cast("int")
+        return F.struct(F.lit(name).alias("task"), prompt.alias("prompt"), F.col(gt).alias("ground_truth"), options.alias("options"),
+                        index.alias("correct_idx"), captions.alias("all_captions"))
+
+    tasks = F.array(task("object", F.lit(OBJECT_PROMPT), "category"),
+                    task("category_mc", listing, "category", options=F.col("options")),
+                    task("caption", F.lit(CAPTION_PROMPT), "caption", captions=F.col("all_captions")))
+    return meta.select(item, F.explode(tasks).alias("t")).select(item, "t.*")
 
 
 def chat_prompt(question: str | Column) -> Column:

@@ -254,8 +254,11 @@ def external_ids(spark, d):
 
 
 OPTIONS = """names AS (SELECT list(DISTINCT p_brand ORDER BY p_brand) AS names FROM part),
-    o1 AS (SELECT item, truth, list_sort(list_transform(list_filter(names, lambda c: c <> truth), lambda c: {'h': md5('42-' || item || '-' || c), 'c': c}))[1:3] AS picked FROM src, names),
-    o2 AS (SELECT item, truth, list_transform(list_sort(list_transform(list_append(list_transform(picked, lambda s: s.c), truth), lambda c: {'h': md5('43-' || item || '-' || c), 'c': c})), lambda s: s.c) AS options FROM o1)"""
+    o0 AS (SELECT item, truth, names, coalesce(list_position(names, truth), 0) AS own, len(names) - (own > 0)::INT AS m FROM src, names),
+    o1 AS (SELECT *, ('0x' || substr(md5('42-' || item || '-0'), 1, 8))::BIGINT % (m - 2) AS d0, ('0x' || substr(md5('42-' || item || '-1'), 1, 8))::BIGINT % (m - 1) AS r1,
+      ('0x' || substr(md5('42-' || item || '-2'), 1, 8))::BIGINT % m AS r2, CASE WHEN r1 = d0 THEN m - 2 ELSE r1 END AS d1, CASE WHEN r2 IN (d0, d1) THEN m - 1 ELSE r2 END AS d2 FROM o0),
+    named AS (SELECT item, truth, unnest([truth, names[d0 + 1 + (own > 0 AND d0 >= own - 1)::INT], names[d1 + 1 + (own > 0 AND d1 >= own - 1)::INT], names[d2 + 1 + (own > 0 AND d2 >= own - 1)::INT]]) AS name FROM o1),
+    o2 AS (SELECT item, truth, list(name ORDER BY md5('43-' || item || '-' || name)) AS options FROM named GROUP BY item, truth)"""
 
 
 @query("mc_options", f"WITH src AS (SELECT p_partkey AS item, p_brand AS truth FROM part), {OPTIONS} SELECT item AS p_partkey, options, (list_position(options, truth) - 1)::INT AS correct_idx FROM o2")
@@ -270,24 +273,26 @@ def color_options(spark, d):
     return table(spark, d, "part").select("p_partkey", at.alias("idx"))
 
 
-META = f"""{ANNOT}, obj AS (SELECT image_id, category, area FROM annot QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, pos) = 1),
-    cnt AS (SELECT image_id, count(*) AS n_objects FROM annot GROUP BY image_id), cap AS (SELECT conv_id AS image_id, arg_min(trim(text, ' '), turn) AS caption FROM conversations GROUP BY conv_id),
-    src AS (SELECT o_orderkey AS item, coalesce(category, 'object') AS truth, coalesce(caption, '') AS caption, coalesce(n_objects, 0) AS n_objects, coalesce(area, 0) AS area, category IS NULL AS no_objects, caption IS NULL AS no_caption
+META = f"""{ANNOT}, obj AS (SELECT image_id, category, replace(category, 'Brand#', '')::INT AS category_id, area FROM annot QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, pos) = 1),
+    cnt AS (SELECT image_id, count(*) AS n_objects FROM annot GROUP BY image_id), cap AS (SELECT conv_id AS image_id, list(trim(text, ' ') ORDER BY turn) AS all_captions, all_captions[1] AS caption FROM conversations GROUP BY conv_id),
+    src AS (SELECT o_orderkey AS item, coalesce(category, 'object') AS truth, coalesce(category_id, -1) AS category_id, coalesce(all_captions, []) AS all_captions, coalesce(caption, '') AS caption, coalesce(n_objects, 0) AS n_objects, coalesce(area, 0) AS area, category IS NULL AS no_objects, caption IS NULL AS no_caption
       FROM orders LEFT JOIN obj ON obj.image_id = o_orderkey LEFT JOIN cnt ON cnt.image_id = o_orderkey LEFT JOIN cap ON cap.image_id = o_orderkey), {OPTIONS}"""
 
 
 def metadata(spark, d):
-    ann = annotations(spark, d)
+    ann = annotations(spark, d).withColumn("category_id", F.regexp_replace("category", "Brand#", "").cast("int"))
     names = M.category_list(table(spark, d, "part").select(F.col("p_brand").alias("category")), "category")
     items_ = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("image_id"))
-    captions = M.first_caption(table(spark, d, "conversations"), "conv_id", ["turn"], "text").withColumnRenamed("conv_id", "image_id")
+    captions = M.caption_lists(table(spark, d, "conversations"), "conv_id", ["turn"], "text").withColumnRenamed("conv_id", "image_id")
     counts = ann.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_objects"))
-    return M.item_metadata(items_, M.largest_object(ann, "image_id", "area", "pos", ["category", "area"]), captions, counts, names, "item_id", "image_id")
+    return M.item_metadata(items_, M.largest_object(ann, "image_id", "area", "pos", ["category", "category_id", "area"]), captions, counts, names, "item_id", "image_id")
 
 
-@query("task_metadata", f"WITH {META} SELECT src.item AS item_id, src.truth AS category, caption, n_objects, area AS main_object_area, no_objects, no_caption, options, (list_position(options, src.truth) - 1)::INT AS correct_idx FROM src JOIN o2 USING (item)", "main_object_area")
+@query("task_metadata", f"""WITH {META} SELECT src.item AS item_id, src.truth AS category, category_id, caption, all_captions, n_objects, area AS main_object_area,
+      no_objects, no_caption, options, (list_position(options, src.truth) - 1)::INT AS correct_idx FROM src JOIN o2 USING (item)""", "main_object_area")
 def task_metadata(spark, d):
-    return metadata(spark, d).select("item_id", "category", "caption", "n_objects", "main_object_area", "no_objects", "no_caption", "options", "correct_idx")
+    return metadata(spark, d).select("item_id", "category", "category_id", "caption", "all_captions", "n_objects", "main_object_area", "no_objects",
+                                     "no_caption", "options", "correct_idx")
 
 
 @query("metadata_missing", f"WITH {META} SELECT count(*) AS n, count_if(no_objects)::BIGINT AS missing_objects, count_if(no_caption)::BIGINT AS missing_captions FROM src")
@@ -295,19 +300,16 @@ def metadata_missing(spark, d):
     return metadata(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if("no_objects").alias("missing_objects"), F.count_if("no_caption").alias("missing_captions"))
 
 
-@query("task_prompts", f"""WITH {META}, t AS (SELECT item, src.truth, caption, options FROM src JOIN o2 USING (item))
-    SELECT item AS item_id, 'object' AS task, 'What is the main object in this image? Answer with a single word or short phrase.' AS prompt, truth AS ground_truth FROM t
-    UNION ALL SELECT item, 'category_mc', 'Which of these best describes the main object? Choices: ' || array_to_string(options, ', ') || '. Answer with one of the choices.', truth FROM t
-    UNION ALL SELECT item, 'caption', 'Describe this image in one sentence.', caption FROM t""")
+@query("task_prompts", f"""WITH {META}, t AS (SELECT item, src.truth, caption, all_captions, options, (list_position(options, src.truth) - 1)::INT AS idx FROM src JOIN o2 USING (item))
+    SELECT item AS item_id, 'object' AS task, '{M.OBJECT_PROMPT}' AS prompt, truth AS ground_truth, NULL::VARCHAR[] AS options, NULL::INT AS correct_idx, NULL::VARCHAR[] AS all_captions FROM t
+    UNION ALL SELECT item, 'category_mc', '{M.OPTION_PROMPT[0]}' || array_to_string(options, ', ') || '{M.OPTION_PROMPT[1]}', truth, options, idx, NULL FROM t
+    UNION ALL SELECT item, 'caption', '{M.CAPTION_PROMPT}', caption, NULL, NULL, all_captions FROM t""")
 def task_prompts(spark, d):
     return M.task_prompts(metadata(spark, d), "item_id")
 
 
-@query("rotating_prompts", """WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p, (SELECT ceil(count(*) / 3.0)::BIGINT FROM customer) AS m FROM customer),
-    t AS (SELECT ['visual_recognition', 'cross_modal_binding', 'language_generation'] AS names,
-      [['What is the main object in this image? Answer with a single word or short phrase.', 'Identify the primary object visible in this image.', 'What type of object is shown in the center of this image?'],
-       ['What color is the largest object in this image?', 'Describe the spatial relationship between the objects in this image.', 'What is the color and position of each distinct object?'],
-       ['Describe this image in detail.', 'Write a comprehensive caption for this image.', 'Provide a thorough description of what you see in this image.']] AS lists)
+@query("rotating_prompts", f"""WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p, (SELECT ceil(count(*) / 3.0)::BIGINT FROM customer) AS m FROM customer),
+    t AS (SELECT {list(M.TASK_PROMPTS)} AS names, {[list(prompts) for prompts in M.TASK_PROMPTS.values()]} AS lists)
     SELECT c_custkey, names[p // m + 1] AS task, lists[p // m + 1][(p % m) % 3 + 1] AS prompt FROM p, t""")
 def rotating_prompts(spark, d):
     return M.rotating_prompts(table(spark, d, "customer"), "c_custkey")
