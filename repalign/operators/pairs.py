@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import EPS_NORM
 
@@ -121,6 +121,52 @@ def euclidean_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 METRICS = {"correlation": correlation_block, "euclidean": euclidean_block}
+SELECTION_SHIFTS = (42, 21, 0)  # of the 64 bits of a distance: 22 (sign, exponent, ten of the mantissa), 43, all
+
+
+def pair_medians(blocks: DataFrame, keys: Sequence[str], vectors: Sequence[str], metric: str = "euclidean") -> DataFrame:
+    """(keys, one median distance per vector column) over all pairs i < j of a group, exact, and no pair is written.
+
+    Distances are not negative, so their bits as integers have their order. Each pass sends the tiles' counts of the
+    leading bits, among the distances that agree with what is known of the two middle ones: at most 2^22 counts per group,
+    few of a tile, as 1,024 of them cover a factor of two. Three passes give all bits. A group without a pair is absent.
+    """
+    keys, vectors, block = list(keys), list(vectors), METRICS[metric]
+
+    def counting(shift: int, known: int | None) -> Callable:
+        def kernel(same, ids_a, mats_a, ids_b, mats_b, extra):
+            found = []
+            for v, name in enumerate(vectors):
+                d = block(mats_a[name], mats_b[name])
+                bits = np.abs(d[np.triu_indices(len(d), 1)] if same else d.ravel()).view(np.int64)
+                if known is None:
+                    found += [(t, 0, *np.unique(bits >> shift, return_counts=True)) for t in (2 * v, 2 * v + 1)]
+                    continue
+                lead = bits >> known
+                for t in (2 * v, 2 * v + 1):
+                    hit = bits[lead == extra["lead"][t]]
+                    found.append((t, extra["place"][t], *np.unique(hit >> shift, return_counts=True)))
+            lead = np.concatenate([f[2] for f in found])
+            sizes = [len(f[2]) for f in found]
+            return {"t": np.repeat([f[0] for f in found], sizes).astype(np.int32), "place": np.repeat([f[1] for f in found], sizes).astype(np.int64),
+                    "lead": lead, "d": (lead << shift).view(np.float64), "n": np.concatenate([f[3] for f in found]).astype(np.int64)}
+        return kernel
+
+    state, known = None, None
+    for shift in SELECTION_SHIFTS:
+        counts = (tile_map(blocks, keys, vectors, counting(shift, known), "t int, place bigint, lead bigint, d double, n bigint",
+                           state, ["lead", "place"] if state is not None else [])
+                  .groupBy(*keys, "t", "place", "lead", "d").agg(F.sum("n").alias("n")))
+        w = Window.partitionBy(*keys, "t")
+        counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("lead")))
+        if state is None:  # the lower and the upper middle one
+            counts = counts.withColumn("place", F.floor((F.sum("n").over(w) - 1 + F.pmod("t", F.lit(2))) / 2))
+        at = F.col("place") - (F.col("upto") - F.col("n"))
+        picked = counts.where((at >= 0) & (F.col("place") < F.col("upto"))).select(*keys, "t", "lead", "d", at.alias("place"))
+        entry = F.sort_array(F.collect_list(F.struct("t", "lead", "place", "d")))
+        state = picked.groupBy(*keys).agg(entry.alias("__s")).select(*keys, *[F.col("__s").getField(c).alias(c) for c in ("lead", "place", "d")])
+        known = shift
+    return state.select(*keys, *[((F.col("d")[2 * v] + F.col("d")[2 * v + 1]) / 2).alias(name) for v, name in enumerate(vectors)])
 
 
 def rdm(df: DataFrame, keys: Sequence[str], item: str, columns: dict[str, str], metric: str = "correlation",

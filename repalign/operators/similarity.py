@@ -15,10 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import pearson
 from ..functions.vectors import with_unit_rows
-from ..session import cut_lineage
 from .moments import Moments, moment_parts, per_group
-from .order import exact_quantiles
-from .pairs import ROWS_PER_BLOCK, euclidean_block, pack_blocks, rdm, tile_map
+from .pairs import ROWS_PER_BLOCK, euclidean_block, pack_blocks, pair_medians, rdm, tile_map
 from .rankpairs import pair_correlations
 
 CKA_METHODS = ("linear", "kernel")
@@ -143,11 +141,7 @@ def kernel_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, si
     keys = list(keys)
     blocks = pack_blocks(df, keys, item, [x, y], rows_per_block)
     if sigma is None:
-        pairs = rdm(df, keys, item, {"dx": x, "dy": y}, "euclidean", rows_per_block)
-        both = F.explode(F.array(F.struct(F.lit("x").alias("s"), F.col("dx").alias("d")),
-                                 F.struct(F.lit("y").alias("s"), F.col("dy").alias("d")))).alias("c")
-        mid = (exact_quantiles(cut_lineage(pairs.select(*keys, both).select(*keys, "c.s", "c.d")), [*keys, "s"], "d", {"mid": 0.5})
-               .groupBy(*keys).agg(F.avg("mid").alias("sigma")))
+        mid = pair_medians(blocks, keys, [x, y]).select(*keys, ((F.col(x) + F.col(y)) / 2).alias("sigma"))
         band = mid.select(*keys, F.when(F.col("sigma") < 1e-10, 1.0).otherwise(F.col("sigma")).alias("sigma"))
     else:
         band = df.select(*keys).distinct().withColumn("sigma", F.lit(float(sigma)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stars
-from ..operators import inference as I, order as O, pairs as P, ridge as G, similarity as S
+from ..operators import inference as I, order as O, pairs as P, resample as B, ridge as G, similarity as S
 from ..session import cut_lineage
 from .inputs import LAYERS, SUBJECTS, EMB, avg_rank, items, pair_distances, r_of, responses, segments, streams, student_sql, table, unit_rows, RESP
 from .registry import query
@@ -39,6 +39,18 @@ def bootstrap_ci_median(spark, d):
     return I.bootstrap_ci(table(spark, d, "events"), ["event_type"], "event_id", "value", 20, "median")
 
 
+@query("trimmed_means", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE isfinite(value))
+    SELECT event_type, n, avg(value) AS stat FROM r WHERE p >= floor(0.1::DOUBLE * n) AND p < n - floor(0.1::DOUBLE * n) GROUP BY ALL""", "stat")
+def trimmed_means(spark, d):
+    return B.statistic_of(table(spark, d, "events"), ["event_type"], "value", B.trimmed_mean(0.1))
+
+
+@query("bootstrap_trimmed_mean")
+def bootstrap_trimmed_mean(spark, d):
+    """1,000 draws of a statistic given as a function; numpy's draws have no SQL twin."""
+    return B.bootstrap_statistic(table(spark, d, "events"), ["event_type"], "value", B.trimmed_mean(0.1), 1000)
+
+
 def boot_rsa_sql(rank: bool, reps: int) -> str:
     value = "ra, rb" if rank else "a AS ra, b AS rb"
     weighted = ("SELECT grp, rep, w, sum(w) OVER (PARTITION BY grp, rep ORDER BY a) - (sum(w) OVER (PARTITION BY grp, rep, a) - 1) / 2 AS ra, "
