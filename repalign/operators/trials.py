@@ -65,6 +65,33 @@ def hemisphere_used(files: DataFrame) -> DataFrame:
                     .when((F.col("r") == 1) & (F.col("l") == 0), "rh").alias("hemi_used"))
 
 
+def session_responses(rows: DataFrame, files: DataFrame, side: str = "both", max_sessions: int | None = None,
+                      fallback: bool = True) -> DataFrame:
+    """Responses of the usable sessions, with ``hemi_used`` (S5, S7): both sides, or the only one a subject has.
+
+    ``files(subject, session, hemi)`` tells what there is. With both sides wanted a session counts only where it has
+    both, unless the subject has sessions of one side alone; without ``fallback`` such a subject is left out.
+    """
+    used = hemisphere_used(files) if side == "both" else files.select("subject", F.lit(side).alias("hemi_used")).distinct()
+    if not fallback:
+        used = used.where(F.col("hemi_used") == side)
+    fits = (F.col("hemi_used") == "both") | (F.col("hemi_used") == F.col("hemi"))
+    usable = (files.join(used, "subject").where(fits).groupBy("subject", "session", "hemi_used").agg(F.count_distinct("hemi").alias("s"))
+              .where(F.col("s") == F.when(F.col("hemi_used") == "both", 2).otherwise(1)).drop("s"))
+    if max_sessions is not None:
+        usable = first_sessions(usable, max_sessions)
+    return rows.join(usable, ["subject", "session"]).where(fits)
+
+
+def joined_sides(rows: DataFrame, left_sizes: DataFrame) -> DataFrame:
+    """``target_pos``: left targets first, right ones after them where both sides are used.
+
+    ``left_sizes(subject, n_left)`` gives the number of left targets.
+    """
+    shift = F.when((F.col("hemi") == "rh") & (F.col("hemi_used") == "both"), F.col("n_left")).otherwise(0)
+    return rows.join(left_sizes, "subject", "left").withColumn("target_pos", (F.col("target_id") + shift).cast("int")).drop("n_left")
+
+
 def first_sessions(sessions: DataFrame, n: int) -> DataFrame:
     """The first n sessions of each subject (T3); a subject has a few dozen at most."""
     w = Window.partitionBy("subject").orderBy("session")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import features as X, order as O, regions as Z, stimuli as M, trials as T
+from ..session import shared_folder
+from ..sources import sessions as W
 from .inputs import ANNOT, EMB, FEAT, RESP, VIEWS, annotations, features, items, responses, table, views
 from .registry import query
 
@@ -221,6 +225,33 @@ def roi_responses(spark, d):
     return r.groupBy("roi", "hemi").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
+SIDES = f"""{RESP}, cells AS (SELECT 'S' || subject AS subject, (item_id // 50 + 1)::INT AS session, CASE WHEN target < 4 THEN 'lh' ELSE 'rh' END AS hemi, target % 4 AS target_id, value FROM resp WHERE subject <> 3 OR target < 4)"""
+
+
+@query("session_region_responses", f"""WITH {SIDES}, snr AS (SELECT subject, hemi, target_id, abs(avg(value)) AS ncsnr FROM cells GROUP BY ALL),
+    rt AS (SELECT * FROM (VALUES ('V1', 'lh', 0), ('V1', 'lh', 1), ('V1', 'rh', 0), ('V1', 'rh', 1), ('STS', 'lh', 1), ('STS', 'lh', 2)) r(roi, hemi, target_id))
+    SELECT roi, c.subject, c.hemi, CASE WHEN c.subject = 'S3' THEN 'lh' ELSE 'both' END AS hemi_used, count(*) AS n, count(DISTINCT session) AS n_sessions, max(c.target_id + CASE WHEN c.hemi = 'rh' THEN 4 ELSE 0 END)::INT AS last_pos, avg(value) AS mean, avg(ncsnr) AS reliability
+    FROM cells c JOIN rt USING (hemi, target_id) JOIN snr USING (subject, hemi, target_id) GROUP BY ALL""", "mean reliability")
+def session_region_responses(spark, d):
+    """Responses written as session files and read back: sides by what there is, regions with reliability.
+
+    Sessions of 50 items; one subject has no right side.
+    """
+    at = F.col("target") < 4
+    cells = (responses(spark, d).where(at | (F.col("subject") != 3))
+             .select(F.concat(F.lit("S"), "subject").alias("subject"), T.session_of("item_id", size=50).alias("session"), T.offset_of("item_id", 50).alias("trial_in_session"),
+                     F.when(at, "lh").otherwise("rh").alias("hemi"), F.pmod("target", F.lit(4)).alias("target_id"), "value"))
+    path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    W.write_sessions(cells, path)
+    rows = T.session_responses(W.read_sessions(spark, path), W.read_session_files(spark, path))
+    rows = T.joined_sides(rows, rows.where("hemi = 'lh'").groupBy("subject").agg((F.max("target_id") + 1).alias("n_left")))
+    labels = spark.createDataFrame([("V1", "lh", 0), ("V1", "lh", 1), ("V1", "rh", 0), ("V1", "rh", 1), ("STS", "lh", 1), ("STS", "lh", 2)], "roi string, hemi string, target_id int")
+    snr = cells.groupBy("subject", "hemi", "target_id").agg(F.abs(F.avg("value")).alias("ncsnr"))
+    return Z.region_responses(rows, labels, ncsnr=snr).groupBy("roi", "subject", "hemi", "hemi_used").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("session").alias("n_sessions"), F.max("target_pos").alias("last_pos"),
+        F.avg("value").alias("mean"), F.avg("ncsnr").alias("reliability"))
+
+
 @query("size_gate", "SELECT lang, source, doc_id FROM documents QUALIFY count(*) OVER (PARTITION BY lang, source) >= 10")
 def size_gate(spark, d):
     return Z.at_least(table(spark, d, "documents").select("lang", "source", "doc_id"), ["lang", "source"], 10)
