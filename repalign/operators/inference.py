@@ -16,11 +16,14 @@ from ..functions.vectors import with_unit_rows
 from ..session import cut_lineage
 from .moments import moment_parts, per_group
 from .order import average_rank, average_ranks, counted_totals, crowded, exact_quantiles, in_ranges, joined_back, ordered_position, position_by_value
+from .pairs import ROWS_PER_BLOCK
+from .rankpairs import rank_sums
 from .similarity import linear_cka_value, pearson_rsa, rsa_of_stack, stack_units
 
 # Null and observed statistics are sums in different orders; this much is rounding.
 SLACK = 1e-12
 REPLICATES_PER_CHUNK = 64
+DRAWS_PER_TILE = 32
 ALTERNATIVES = ("two-sided", "greater", "less")
 STATISTICS = ("mean_diff", "rank_sum")
 
@@ -132,7 +135,7 @@ def _weighted_rsa_interval(sums: DataFrame, keys: list[str], level: float) -> Da
     """The interval of r over the replicates from parts of their weighted sums."""
     group = [*keys, "rep"]
     s = sums.groupBy(*group).agg(*[F.sum(c).alias(c) for c in _SUMS])
-    n = F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0.0))
     den = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n))
     stats = s.select(*group, F.when(den > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / den).alias("stat"))
     return interval(stats, keys, "stat", level)
@@ -172,6 +175,30 @@ def bootstrap_rsa_in_tiles(df: DataFrame, keys: Sequence[str], item: str, x: str
     return _weighted_rsa_interval(sums, keys, level)
 
 
+def bootstrap_rank_rsa_in_tiles(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, reps: int, metric: str = "correlation",
+                                level: float = 0.95, seed: int = 42, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``bootstrap_rsa`` by Spearman from the vectors, draws inside tiles and buckets of values.
+
+    A draw ranks the pairs anew, as they weigh the product of their items' multiplicities. Some dozens of draws share
+    one set of tiles: a value travels once for all of them, with an array of weights, and comes back with an array of
+    ranks, so there is no row per pair and draw and no join of draws. A group of one item gets nulls. Keys must not be null.
+    """
+    keys = list(keys)
+    m = bootstrap_counts(df.select(*keys, item), keys, item, reps, seed)
+    m = (m.groupBy(*keys, item, F.floor(F.col("rep") / DRAWS_PER_TILE).cast("int").alias("__chunk"))
+         .agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("rep", F.lit(DRAWS_PER_TILE)).alias("k"), F.col("m").cast("double")))).alias("__drawn")))
+    chunks = -(-reps // DRAWS_PER_TILE)
+    rows = (df.select(*keys, item, F.col(x).alias("__x"), F.col(y).alias("__y"))
+            .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(m, [*keys, item, "__chunk"], "left"))
+    # draws beyond ``reps`` in the last chunk hold every item once; they only fill the arrays
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DRAWS_PER_TILE - 1)), lambda k: F.coalesce(
+        F.try_element_at("__drawn", k), F.when(F.col("__chunk") * DRAWS_PER_TILE + k < reps, 0.0).otherwise(1.0)))
+    sums = rank_sums(rows.withColumn("__m", dense).drop("__drawn"), [*keys, "__chunk"], item, ["__x", "__y"], [(0, 1)], metric,
+                     rows_per_block=rows_per_block, weight="__m", draws=DRAWS_PER_TILE)
+    rep = (F.col("__chunk") * DRAWS_PER_TILE + F.col("draw")).alias("rep")
+    return _weighted_rsa_interval(sums.select(*keys, rep, *_SUMS).where(F.col("rep") < reps), keys, level)
+
+
 def bootstrap_cka(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, dx: int, dy: int, reps: int,
                   level: float = 0.95, seed: int = 42) -> DataFrame:
     """Interval of linear CKA under resampling of rows (I3): Gram matrices with multiplicities."""

@@ -64,10 +64,9 @@ def boot_rsa_sql(rank: bool, reps: int) -> str:
     SELECT grp AS label, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high, stddev_pop(s) AS se FROM s GROUP BY grp"""
 
 
-@query("bootstrap_rsa_spearman", boot_rsa_sql(True, 10), "ci_low ci_high se")
+@query("bootstrap_rsa_spearman", boot_rsa_sql(True, 1000), "ci_low ci_high se")
 def bootstrap_rsa_spearman(spark, d):
-    pairs = P.rdm(streams(spark, d), ["label"], "item_id", {"a": "vis", "b": "txt"})
-    return I.bootstrap_rsa(pairs, ["label"], "a", "b", 10)
+    return I.bootstrap_rank_rsa_in_tiles(streams(spark, d), ["label"], "item_id", "vis", "txt", 1000)
 
 
 @query("bootstrap_rsa_pearson", boot_rsa_sql(False, 1000), "ci_low ci_high se")
