@@ -63,7 +63,7 @@ class _Member:
 
     def __init__(self, file, at: int, size: int) -> None:
         self.file, self.at, self.end = file, at, at + size - 8
-        self.inflate, self.plain = zlib.decompressobj(-15), b""
+        self.inflate, self.plain = zlib.decompressobj(-15), bytearray()
         self.at += 24
 
     def until(self, stop: bytes) -> int:
@@ -72,7 +72,7 @@ class _Member:
                 raise ValueError("a record without an end of its headers")
         return k
 
-    def rest(self) -> bytes:
+    def rest(self) -> bytearray:
         while self._more(1 << 20):
             pass
         return self.plain
@@ -116,7 +116,7 @@ def _first_member(file, start: int, end: int) -> int:
     return end
 
 
-def _parsed(head: bytes) -> dict[str, object]:
+def _parsed(head: bytes | bytearray) -> dict[str, object]:
     raw = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
@@ -189,7 +189,7 @@ class WarcReader(DataSourceReader):
             row["payload"] = None
             if self.payload and row["record_type"] == "response":
                 body = member.rest()
-                row["payload"] = body[body.index(b"\r\n\r\n", cut + 4) + 4:-4]
+                row["payload"] = bytes(memoryview(body)[body.index(b"\r\n\r\n", cut + 4) + 4:-4])
                 size += len(row["payload"])
             held.append(row)
             if len(held) >= 4096 or size >= 8 << 20:
@@ -305,12 +305,14 @@ def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLI
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back from its archive.
 
-    Of responses, length and digest are computed from the payload that was read; of revisits they come from the
-    headers. An empty table makes an archive without records.
+    Two scans of the source, each with its record type pushed down: responses with their payloads, from which length and
+    digest are computed, and revisits from headers alone, so that no payload is inflated for them and none of the other
+    scan's records goes beyond its headers. An empty table makes an archive without records.
     """
-    path = new_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = new_path(spark, "warc")
     write(pages, path)
-    rows = read(pages.sparkSession, path)
-    response = F.col("record_type") == "response"
-    return rows.select("page_id", F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                       F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+    responses = read(spark, path).where("record_type = 'response'").select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    revisits = read(spark, path, payload=False).where("record_type = 'revisit'")
+    return responses.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

@@ -37,6 +37,30 @@ def test_round_trip(table, pages):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_round_trip_pushes_both_record_types(table):
+    plan = warc.round_trip(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "Filter (" not in plan and "Filter isnotnull" not in plan
+
+
+def test_revisits_are_read_without_inflating_payloads(spark, table, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(table, path)
+    reader = warc.WarcReader(path, warc.SPLIT_BYTES, False)
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")])) == [warc.EqualTo(("payload",), b"")]
+    seen = []
+    rest = warc._Member.rest
+    warc._Member.rest = lambda self: seen.append(self) or rest(self)
+    try:
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert len(rows) == 39 and {r["record_type"] for r in rows} == {"revisit"} and not seen
+        whole = warc.WarcReader(path, warc.SPLIT_BYTES, True)
+        list(whole.pushFilters([warc.EqualTo(("record_type",), "response")]))
+        held = sum(b.num_rows for p in whole.partitions() for b in whole.read(p))
+        assert held == len(seen) > 100
+    finally:
+        warc._Member.rest = rest
+
+
 @pytest.mark.parametrize("split", [1 << 26, 1000, 77])
 def test_ranges_and_filters(spark, table, pages, tmp_path, split):
     path = str(tmp_path / "w")
