@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from .licenses import PHRASES, TEMPLATES
+from .licenses import PHRASES, TEMPLATES, WIDTH
 from .urls import GLOBS, SITES
 
 _UPPER = "".join(map(chr, range(65, 91)))
@@ -48,7 +48,8 @@ SELECT doc_id, n::BIGINT AS n_shingles, n_links::BIGINT AS n_links, component_id
 
 def licenses(threshold: float = 0.9) -> str:
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    rows = ", ".join(f"({label!r}, {sorted(set(words.split()))}, {math.ceil(threshold * len(set(words.split())))})" for label, words in TEMPLATES)
+    rows = ", ".join(f"({k}, {label!r}, {sorted(set(words.split()))}, {math.ceil(threshold * len(set(words.split())))}, {WIDTH * len(words.split())})"
+                     for k, (label, words) in enumerate(TEMPLATES))
 
     def places(phrase: str) -> str:
         parts = phrase.split()
@@ -60,12 +61,17 @@ def licenses(threshold: float = 0.9) -> str:
     labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
     text = "coalesce(array_to_string(list_sort(list_distinct({})), ','), '')"
     return f"""
-WITH t(label, tw, need) AS (VALUES {rows}), d AS (SELECT doc_id, {_LOW} AS s FROM documents),
+WITH t(k, label, tw, need, width) AS (VALUES {rows}), d AS (SELECT doc_id, {_LOW} AS s FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(s, '{word}') AS w FROM d),
 p AS (SELECT doc_id, len(w) AS n, {found} FROM w),
 q AS (SELECT doc_id, n, {every} AS spots, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(s, chr(10))), '{word}')) AS b FROM d),
-h AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, tw)) / len(tw)::DOUBLE) AS share FROM l, t WHERE len(list_intersect(b, tw)) >= need GROUP BY doc_id)
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+v AS (SELECT k, need, width, unnest(tw) AS x FROM t),
+l AS (SELECT doc_id, k, width, need, i, x FROM u JOIN v USING (x)),
+e AS (SELECT doc_id, k FROM l GROUP BY doc_id, k HAVING count(DISTINCT x) >= min(need)),
+l2 AS MATERIALIZED (SELECT l.* FROM l JOIN e USING (doc_id, k)),
+m AS (SELECT a.doc_id, a.k, a.i, count(DISTINCT b.x) AS c FROM l2 a JOIN l2 b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.width GROUP BY ALL),
+h AS (SELECT doc_id, list(DISTINCT label) AS more, max(c / len(tw)::DOUBLE) AS share FROM m JOIN t USING (k) WHERE c >= need GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word,
   {text.format("base")} AS base_labels, {text.format("list_concat(base, coalesce(more, []))")} AS labels,
   CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
