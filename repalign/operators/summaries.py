@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import EPS_NORM, pearson, specialisation
+from ..functions.scalars import EPS_NORM, ceiling_from_snr, pearson, specialisation
 from ..functions.tails import correlation_p, mann_whitney_p
 from .order import average_rank, small_group_rank
 
@@ -111,6 +111,23 @@ def dissociation_statistics(cells: DataFrame, row: str, col_: str, value: str, k
     return _with_mean(out, sel, keys, "mean_selectivity").drop("__m", "__n", "__w", "__ties")
 
 
+def stage_task_report(scores: DataFrame, task: str, value: str, ranges: Sequence[tuple[str, int, int]], tasks: Sequence[str]) -> DataFrame:
+    """(stage, task, mean, diagonal, off_max, ratio, peak_layer, peak value): the stage by task matrix of a layer sweep.
+
+    ``scores`` has one row per (task, layer). Stage k is expected to serve task k: ``ratio`` is its mean there over its largest
+    mean elsewhere, null for stages beyond the tasks or without layers. Tasks that are not listed and null scores do not count.
+    """
+    def place(name, names):
+        return F.array_position(F.array(*map(F.lit, names)), F.col(name)) - 1
+
+    listed = scores.where(F.col(task).isin(list(tasks)))
+    cells = (stage_means(listed, ranges, [task], value).withColumn("__r", place("stage", [r[0] for r in ranges]))
+             .withColumn("__c", place(task, tasks)))
+    rows = selectivity(cells, "__r", "__c", value).select("__r", "diagonal", "off_max", "ratio")
+    out = cells.join(rows, "__r", "left").join(peak(listed, [task], "layer", value), task)
+    return out.select("stage", task, value, "diagonal", "off_max", "ratio", "peak_layer", f"peak_{value}")
+
+
 # ---- specialisation ----------------------------------------------------------------------
 
 def with_known_score(df: DataFrame, region: str, known: DataFrame) -> DataFrame:
@@ -172,6 +189,31 @@ def win_verdict(contrast: DataFrame, keys: Sequence[str], group: str, first_grou
     return g.withColumn("verdict", F.when(all_won, "DOUBLE").when(most, "partial").otherwise("-"))
 
 
+def labour_report(scores: DataFrame, known: DataFrame, a: str, b: str, first_layer: int = 0) -> DataFrame:
+    """Which regions prefer stream ``a`` to ``b``, per layer, over all layers and beyond the first layer.
+
+    ``scores`` has (layer, roi, stream, value). A scope (``L<layer>``, ``all``, ``beyond first``) gets the Spearman r of the
+    stream difference with the published scores, its p, and the wins of visual regions for ``a`` and of the others for ``b``.
+    DOUBLE: all of both groups; partial: more than half of both in a layer, all of one group in the averages. ``peak_layer`` is
+    the layer of the largest r, the first on ties. A region without one of the streams has no difference and no win.
+    """
+    layers = stream_contrast(scores, ["layer", "roi"], "stream", a, b, "value")
+    scopes = F.array_compact(F.array(F.concat(F.lit("L"), F.col("layer").cast("string")), F.lit("all"),
+                                     F.when(F.col("layer") > first_layer, F.lit("beyond first"))))
+    means = layers.withColumn("scope", F.explode(scopes)).groupBy("scope", "roi").agg((F.avg("a") - F.avg("b")).alias("difference"))
+    contrast = with_known_score(means.where("difference is not null"), "roi", known).withColumn(
+        "grp", F.when(F.col("known") > 0, "visual").otherwise("language"))
+    wins = win_verdict(contrast, ["scope"], "grp", "visual", "language")
+    one = (F.col("first_wins") == F.col("first_n")) | (F.col("second_wins") == F.col("second_n"))
+    of_layer = F.col("scope").startswith("L")
+    verdict = F.when(of_layer | (F.col("verdict") == "DOUBLE"), F.col("verdict")).when(one, "partial").otherwise("-")
+    fit = specialisation_fit(contrast, ["scope"], "difference").select("scope", "spearman", "spearman_p")
+    out = fit.join(wins.withColumn("verdict", verdict), "scope")
+    at = F.when(of_layer & F.col("spearman").isNotNull(), F.substring("scope", 2, 12).cast("int"))
+    best = F.max_by(at, F.when(at.isNotNull(), F.struct("spearman", (-at).alias("first"))))
+    return out.withColumn("peak_layer", best.over(Window.partitionBy(F.lit(0))))  # a row per layer and two more
+
+
 # ---- grids, distances, layers ------------------------------------------------------------
 
 def grid_coherence(df: DataFrame, keys: Sequence[str], row: str, col_: str, value: str) -> DataFrame:
@@ -262,6 +304,25 @@ def model_convergence(scores: DataFrame, model: str, roi: str, value: str, names
     return ranked.groupBy(*keys).agg(pearson("__x", "__y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def convergence_report(scores: DataFrame, model: str, roi: str, value: str, names: Sequence[str]) -> DataFrame:
+    """``model_convergence`` with the p of each pair and the mean over all pairs of models."""
+    pairs = model_convergence(scores, model, roi, value, names)
+    everything = Window.partitionBy(F.lit(0))  # pairs of the listed models
+    return (pairs.withColumn("p", correlation_p(F.col("rho"), F.col("n"))).withColumn("mean_rho", F.avg("rho").over(everything)))
+
+
+def variance_report(r: DataFrame, keys: Sequence[str], snr: DataFrame, names: tuple[str, str, str] = ("V", "L", "VL"), reps: int = 3) -> DataFrame:
+    """Squared r of both parts and of the whole, what is unique to a part and shared, and the squared ceiling.
+
+    ``r`` has (keys, model, r), ``snr`` (keys, snr). A key without a ratio has no ceiling.
+    """
+    v, l, vl = (F.max(F.when(F.col("model") == m, F.col("r") * F.col("r"))).alias(f"r2_{part}")
+                for m, part in zip(names, ("vision", "language", "multimodal")))
+    v_, l_, both = F.col("r2_vision"), F.col("r2_language"), F.col("r2_multimodal")
+    out = r.groupBy(*keys).agg(v, l, vl).join(snr.select(*keys, (ceiling_from_snr("snr", reps) * ceiling_from_snr("snr", reps)).alias("noise_ceiling_r2")), list(keys), "left")
+    return out.select(*keys, v_, l_, both, (both - l_).alias("unique_vision"), (both - v_).alias("unique_language"), (v_ + l_ - both).alias("shared"), "noise_ceiling_r2")
+
+
 # ---- roll-ups ----------------------------------------------------------------------------
 
 def region_class_summary(scores: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

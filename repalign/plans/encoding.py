@@ -82,13 +82,15 @@ def ridge_global_scaling_one_feature(spark, d):
     return G.optimistic_ridge(one_feature(spark, d), ["g"], "item_id", "x", "y", alphas=(10.0,)).select("target", "r")
 
 
-@query("ridge_plain_two_features", f"""WITH {EMB}, long AS (SELECT item_id, e[9] AS a, e[10] AS b, t.t::INT AS target, e[t.t + 1] AS y FROM emb, range(8) t(t)),
+TWO_FEATURES = f"""WITH {EMB}, long AS (SELECT item_id, e[9] AS a, e[10] AS b, t.t::INT AS target, e[t.t + 1] AS y FROM emb, range(8) t(t)),
     fold AS (SELECT item_id, ntile(5) OVER (ORDER BY md5('42-' || item_id)) - 1 AS fold FROM emb), f AS (SELECT * FROM long JOIN fold USING (item_id)),
     s AS (SELECT k.k, target, sum(a*a) + 1000 AS aa, sum(a*b) AS ab, sum(b*b) + 1000 AS bb, sum(a*y) AS ay, sum(b*y) AS byy FROM f, range(5) k(k) WHERE fold <> k.k GROUP BY ALL),
     w AS (SELECT k, target, (ay*bb - byy*ab) / (aa*bb - ab*ab) AS wa, (byy*aa - ay*ab) / (aa*bb - ab*ab) AS wb, ay / aa AS w1, byy / bb AS w2 FROM s),
     r AS (SELECT f.target, {r_of('a*wa + b*wb', 'y')} AS r12, {r_of('a*w1', 'y')} AS r1, {r_of('b*w2', 'y')} AS r2
-      FROM f JOIN w ON f.target = w.target AND f.fold = w.k GROUP BY f.target)
-    SELECT target, r12*r12 - r2*r2 AS unique_v, r12*r12 - r1*r1 AS unique_l, r1*r1 + r2*r2 - r12*r12 AS shared FROM r""", "unique_v unique_l shared")
+      FROM f JOIN w ON f.target = w.target AND f.fold = w.k GROUP BY f.target)"""
+
+
+@query("ridge_plain_two_features", f"{TWO_FEATURES} SELECT target, r12*r12 - r2*r2 AS unique_v, r12*r12 - r1*r1 AS unique_l, r1*r1 + r2*r2 - r12*r12 AS shared FROM r", "unique_v unique_l shared")
 def ridge_plain_two_features(spark, d):
     z = items(spark, d).select("g", "item_id", F.slice("e", 9, 2).alias("z"), F.slice("e", 1, 8).alias("y"))
     r = G.partitioned_ridge(z, ["g"], "item_id", "z", {"V": [(0, 1)], "L": [(1, 1)], "VL": [(0, 2)]}, "y",
@@ -96,6 +98,18 @@ def ridge_plain_two_features(spark, d):
     return unique_parts(r, ["target"])
 
 
+@query("variance_report", f"""{TWO_FEATURES}, n AS (SELECT target, pow(4 * stddev_pop(y), 2) AS s FROM long GROUP BY target)
+    SELECT target, r1*r1 AS r2_vision, r2*r2 AS r2_language, r12*r12 AS r2_multimodal, r12*r12 - r2*r2 AS unique_vision, r12*r12 - r1*r1 AS unique_language,
+      r1*r1 + r2*r2 - r12*r12 AS shared, s / (s + 1.0/3) AS noise_ceiling_r2 FROM r JOIN n USING (target)""",
+       "r2_vision r2_language r2_multimodal unique_vision unique_language shared noise_ceiling_r2")
+def variance_report(spark, d):
+    """The whole result of a variance partition, with the ceiling of each target."""
+    z = items(spark, d).select("g", "item_id", F.slice("e", 9, 2).alias("z"), F.slice("e", 1, 8).alias("y"))
+    r = G.partitioned_ridge(z, ["g"], "item_id", "z", {"V": [(0, 1)], "L": [(1, 1)], "VL": [(0, 2)]}, "y", fixed_alpha=G.ALPHA_PARTITION, n_components=256)
+    snr = z.select("g", F.posexplode("y").alias("target", "v")).groupBy("g", "target").agg((F.stddev_pop("v") * 4).alias("snr"))
+    return R.variance_report(r, ["g", "target"], snr).drop("g")
+
+
 def unique_parts(r, keys):
     """Unique and shared shares of r squared per key."""
     sq = {m: F.max(F.when(F.col("model") == m, F.col("r") * F.col("r"))) for m in ("V", "L", "VL")}

@@ -156,6 +156,34 @@ def contrast_t(spark, d):
     return I.two_sample_t(c, [], F.col("known") > 0, "difference")
 
 
+@query("labour_report", f"""WITH {CON}, sc AS (SELECT 'L' || layer AS scope, roi, a, b FROM con UNION ALL SELECT 'all', roi, a, b FROM con UNION ALL SELECT 'beyond first', roi, a, b FROM con WHERE layer > 0),
+    m AS (SELECT scope, roi, avg(a) - avg(b) AS v FROM sc GROUP BY ALL), x AS (SELECT scope, v, coalesce(known, 0) AS known, CASE WHEN known > 0 THEN 'visual' ELSE 'language' END AS grp FROM m LEFT JOIN known USING (roi) WHERE v IS NOT NULL),
+    k AS (SELECT *, {avg_rank('v', 'scope')} AS ra, {avg_rank('known', 'scope')} AS rb FROM x),
+    r AS (SELECT scope, {r_of('ra', 'rb')} AS spearman, count(*) AS n, count(*) FILTER (grp = 'visual' AND v > 0) AS first_wins, count(*) FILTER (grp = 'visual') AS first_n,
+      count(*) FILTER (grp = 'language' AND v < 0) AS second_wins, count(*) FILTER (grp = 'language') AS second_n FROM k GROUP BY scope)
+    SELECT scope, spearman, {student_sql('(spearman * sqrt((n - 2) / (1 - spearman * spearman)))', 'n - 2')} AS spearman_p, first_wins, first_n, second_wins, second_n,
+      CASE WHEN first_wins = first_n AND second_wins = second_n THEN 'DOUBLE'
+        WHEN scope LIKE 'L%' AND first_wins > first_n // 2 AND second_wins > second_n // 2 THEN 'partial'
+        WHEN scope NOT LIKE 'L%' AND (first_wins = first_n OR second_wins = second_n) THEN 'partial' ELSE '-' END AS verdict,
+      (SELECT substr(scope, 2)::INT FROM r WHERE scope LIKE 'L%' AND spearman IS NOT NULL ORDER BY spearman DESC, substr(scope, 2)::INT LIMIT 1) AS peak_layer FROM r""",
+       "spearman spearman_p")
+def labour_report(spark, d):
+    return R.labour_report(stream_scores(spark, d), known_scores(spark), "click", "view")
+
+
+TASKS = ("de", "en", "es", "fr")
+
+
+@query("stage_task_report", f"""WITH {LAYER_MEANS}, {RANGES_SQL}, st AS (SELECT stage, list_position({[r[0] for r in RANGES]}, stage) AS r, lo, hi FROM rg),
+    m AS (SELECT stage, r, l.lang, list_position({list(TASKS)}, l.lang) AS c, avg(score) AS score FROM (SELECT DISTINCT lang FROM lm) l CROSS JOIN st LEFT JOIN lm ON lm.lang = l.lang AND layer BETWEEN lo AND hi GROUP BY ALL),
+    g AS (SELECT r, max(score) FILTER (r = c) AS diagonal, coalesce(max(score) FILTER (r <> c), 0) AS off_max FROM m GROUP BY r HAVING max(score) FILTER (r = c) IS NOT NULL),
+    p AS (SELECT lang, layer AS peak_layer, score AS peak_score FROM lm QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, layer) = 1)
+    SELECT stage, lang, score, diagonal, off_max, diagonal / greatest(off_max, 1e-6) AS ratio, peak_layer, peak_score FROM m LEFT JOIN g USING (r) JOIN p USING (lang)""",
+       "score diagonal off_max ratio peak_score")
+def stage_task_report(spark, d):
+    return R.stage_task_report(layer_means(spark, d), "lang", "score", RANGES, TASKS)
+
+
 @query("region_class_summary", f"WITH {SPEC} SELECT layer, grp, avg(m) AS mean, min(m) AS min, max(m) AS max, count(m) AS n FROM (SELECT layer, roi, avg(value) AS m FROM ss GROUP BY ALL) JOIN apart USING (roi) GROUP BY ALL", "mean min max")
 def region_class_summary(spark, d):
     s = stream_scores(spark, d).groupBy("layer", "roi").agg(F.avg("value").alias("m"))
@@ -235,16 +263,24 @@ def layer_resample(spark, d):
     return R.resample_layers(model_scores(spark, d), "model", "roi", "value", F.lit(4))
 
 
-@query("model_convergence", f"""WITH {MS}, pr AS (SELECT a.model AS ma, b.model AS mb, least(a.n, b.n) AS t FROM sz a JOIN sz b ON a.model < b.model),
+CONVERGENCE = f"""WITH {MS}, pr AS (SELECT a.model AS ma, b.model AS mb, least(a.n, b.n) AS t FROM sz a JOIN sz b ON a.model < b.model),
     pt AS (SELECT ma, mb, m.model, k.k, k.k * (n - 1)::DOUBLE / (t - 1) AS p FROM pr JOIN sz m ON m.model IN (ma, mb), range(20) k(k) WHERE k.k < t),
     v AS (SELECT ma, mb, pt.model, k, a.roi, a.value * (1 - (p - floor(p))) + coalesce(b.value, 0) * (p - floor(p)) AS v FROM pt JOIN ms a ON a.model = pt.model AND a.layer = floor(p) LEFT JOIN ms b ON b.model = pt.model AND b.layer = floor(p) + 1 AND b.roi = a.roi),
     x AS (SELECT l.ma, l.mb, l.v AS x, r.v AS y FROM v l JOIN v r ON l.ma = r.ma AND l.mb = r.mb AND l.k = r.k AND l.roi = r.roi AND l.model = l.ma AND r.model = r.mb),
     k AS (SELECT ma, mb, {avg_rank('x', 'ma, mb')} AS a, {avg_rank('y', 'ma, mb')} AS b FROM x)
-    SELECT ma AS model_a, mb AS model_b, {r_of('a', 'b')} AS rho, count(*) AS n FROM k GROUP BY ALL""", "rho")
+    SELECT ma AS model_a, mb AS model_b, {r_of('a', 'b')} AS rho, count(*) AS n FROM k GROUP BY ALL"""
+
+
+@query("model_convergence", CONVERGENCE, "rho")
 def model_convergence(spark, d):
     return R.model_convergence(model_scores(spark, d), "model", "roi", "value", MODELS)
 
 
+@query("convergence_report", f"SELECT *, {student_sql('(rho * sqrt((n - 2) / (1 - rho * rho)))', 'n - 2')} AS p, avg(rho) OVER () AS mean_rho FROM ({CONVERGENCE})", "rho p mean_rho")
+def convergence_report(spark, d):
+    return R.convergence_report(model_scores(spark, d), "model", "roi", "value", MODELS)
+
+
 @query("vector_difference", f"WITH {EMB}, x AS (SELECT item_id, list_transform(list_zip(e[1:32], e[33:64]), lambda p: abs(p[1] - p[2])) AS d FROM emb) SELECT item_id, list_avg(d) AS mean_diff, list_max(d) AS max_diff, list_avg(d) < 0.12 AND list_max(d) < 0.5 AS ok FROM x", "mean_diff max_diff")
 def vector_difference(spark, d):
     s = streams(spark, d)
