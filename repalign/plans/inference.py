@@ -92,9 +92,9 @@ def perm_sql(reps: int, group: str, source: str, item: str) -> str:
             f"perm AS (SELECT home.grp, rep, item, other FROM home JOIN moved ON home.grp = moved.grp AND home.p = moved.p)")
 
 
-@query("permutation_table", f"WITH {EMB}, {perm_sql(3, '0', 'emb', 'item_id')} SELECT rep::INT AS rep, item AS item_id, other FROM perm")
+@query("permutation_table", f"WITH {EMB}, {perm_sql(1000, '0', 'emb', 'item_id')} SELECT rep::INT AS rep, item AS item_id, other FROM perm")
 def permutation_table(spark, d):
-    return I.permutation_table(items(spark, d).select("g", "item_id"), ["g"], "item_id", 3).drop("g")
+    return I.permutation_table(items(spark, d).select("g", "item_id"), ["g"], "item_id", 1000).drop("g")
 
 
 @query("perm_rsa_by_label", f"""WITH {TWO_BY_LABEL}, {perm_sql(20, 'label', 'emb', 'item_id')},
@@ -108,13 +108,13 @@ def perm_rsa_by_label(spark, d):
     return I.permutation_test_rsa(pairs, ["label"], "a", "b", 20)
 
 
-@query("perm_rsa_pearson", f"""WITH {TWO}, {perm_sql(10, '0', 'emb', 'item_id')},
+@query("perm_rsa_pearson", f"""WITH {TWO}, {perm_sql(1000, '0', 'emb', 'item_id')},
     rk AS (SELECT i, j, pv.d AS a, pt.d AS b FROM pv JOIN pt USING (i, j)), o AS (SELECT {r_of('a', 'b')} AS observed FROM rk),
     n AS (SELECT p.rep, {r_of('x.a', 'y.b')} AS s FROM rk x JOIN perm p ON p.item = x.i JOIN perm q ON q.item = x.j AND q.rep = p.rep
       JOIN rk y ON y.i = least(p.other, q.other) AND y.j = greatest(p.other, q.other) GROUP BY ALL)
     SELECT observed, (1 + sum((s >= observed - 1e-12)::INT)) / (count(*) + 1) AS p, avg(s) AS null_mean, stddev_pop(s) AS null_std FROM n, o GROUP BY observed""", "observed p null_mean null_std")
 def perm_rsa_pearson(spark, d):
-    return I.permutation_test_rsa_linear(streams(spark, d), ["g"], "item_id", "vis", "txt", 32, 32, 10, plus_one=True).drop("g")
+    return I.permutation_test_rsa_linear(streams(spark, d), ["g"], "item_id", "vis", "txt", 32, 32, 1000, plus_one=True).drop("g")
 
 
 @query("perm_rsa_shared", f"""WITH {SEG_RANKS}, {perm_sql(5, '0', 'emb', 'item_id')},
@@ -143,7 +143,7 @@ def perm_cka(spark, d):
     return I.permutation_test_cka(streams(spark, d), ["label"], "item_id", "vis", "txt", 32, 32, 8)
 
 
-def two_sample_sql(stat: str, hit: str, reps: int = 10) -> str:
+def two_sample_sql(stat: str, hit: str, reps: int = 1000) -> str:
     return f"""WITH e AS (SELECT lang, doc_id, source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6') AS a, n_chars AS v0 FROM documents),
     v AS (SELECT lang, doc_id, a, {stat} AS v, sum(a::INT) OVER (PARTITION BY lang) AS na FROM e),
     n AS (SELECT lang, r.r AS rep, v, na, row_number() OVER (PARTITION BY lang, r.r ORDER BY md5('42-' || r.r || '-' || doc_id), doc_id) AS p FROM v, range({reps}) r(r))"""
@@ -157,7 +157,7 @@ MEAN_DIFF = "sum(v) FILTER ({0}) / count(*) FILTER ({0}) - sum(v) FILTER (NOT ({
     SELECT lang, observed, avg((abs(s) >= abs(observed) - 1e-12)::INT) AS p FROM s JOIN o USING (lang) GROUP BY ALL""", "observed p")
 def perm_two_sample_mean(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id", "source", F.col("n_chars").cast("double").alias("v"))
-    return I.permutation_test(docs, ["lang"], "doc_id", F.col("source").isin(*[f"src{k}" for k in range(7)]), "v", 10)
+    return I.permutation_test(docs, ["lang"], "doc_id", F.col("source").isin(*[f"src{k}" for k in range(7)]), "v", 1000)
 
 
 @query("perm_two_sample_rank", two_sample_sql(avg_rank("v0", "lang"), "") + """, o AS (SELECT lang, sum(v) FILTER (a) AS observed FROM v GROUP BY lang),
@@ -165,7 +165,7 @@ def perm_two_sample_mean(spark, d):
     SELECT lang, observed, avg((s >= observed - 1e-12)::INT) AS p FROM s JOIN o USING (lang) GROUP BY ALL""", "observed p")
 def perm_two_sample_rank(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id", "source", F.col("n_chars").cast("double").alias("v"))
-    return I.permutation_test(docs, ["lang"], "doc_id", F.col("source").isin(*[f"src{k}" for k in range(7)]), "v", 10, "rank_sum", "greater")
+    return I.permutation_test(docs, ["lang"], "doc_id", F.col("source").isin(*[f"src{k}" for k in range(7)]), "v", 1000, "rank_sum", "greater")
 
 
 @query("null_encoder")
