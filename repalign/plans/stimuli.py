@@ -243,8 +243,10 @@ def session_region_responses(spark, d):
                      F.when(at, "lh").otherwise("rh").alias("hemi"), F.pmod("target", F.lit(4)).alias("target_id"), "value"))
     path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
     W.write_sessions(cells, path)
-    rows = T.session_responses(W.read_sessions(spark, path), W.read_session_files(spark, path))
-    rows = T.joined_sides(rows, rows.where("hemi = 'lh'").groupBy("subject").agg((F.max("target_id") + 1).alias("n_left")))
+    files = W.read_session_files(spark, path)
+    left = T.session_responses(W.read_sessions(spark, path, sides=["lh"]), files)  # a read of its own: see read_sessions
+    rows = T.joined_sides(T.session_responses(W.read_sessions(spark, path), files),
+                          left.groupBy("subject").agg((F.max("target_id") + 1).alias("n_left")))
     labels = spark.createDataFrame([("V1", "lh", 0), ("V1", "lh", 1), ("V1", "rh", 0), ("V1", "rh", 1), ("STS", "lh", 1), ("STS", "lh", 2)], "roi string, hemi string, target_id int")
     snr = cells.groupBy("subject", "hemi", "target_id").agg(F.abs(F.avg("value")).alias("ncsnr"))
     return Z.region_responses(rows, labels, ncsnr=snr).groupBy("roi", "subject", "hemi", "hemi_used").agg(

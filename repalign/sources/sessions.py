@@ -143,7 +143,8 @@ def read_sessions(spark: SparkSession, path: str, subjects: Iterable[str] | None
     """(subject, session, trial_in_session, hemi, target_id, value) of the wanted files (S5); an empty list wants none.
 
     Filters on these columns and on target_id prune as well where the session has
-    spark.sql.python.filterPushdown.enabled; the setting is left as it is.
+    spark.sql.python.filterPushdown.enabled; the setting is left as it is. Spark keeps pushed filters with the table that a
+    read makes, for all that is derived from it: where that setting is on, read anew for each use with filters of its own.
     """
     spark.dataSource.register(SessionSource)
     pushing = spark.conf.get("spark.sql.python.filterPushdown.enabled")
