@@ -10,7 +10,7 @@ from ..functions import scalars as C
 from ..operators import features as X, order as O, regions as Z, stimuli as M, trials as T
 from ..session import shared_folder
 from ..sources import sessions as W
-from .inputs import ANNOT, EMB, FEAT, RESP, VIEWS, annotations, features, items, responses, table, views
+from .inputs import ALL_RESP, ANNOT, EMB, FEAT, N_ALL_SUBJECTS, RESP, VIEWS, annotations, features, items, responses, table, views
 from .registry import query
 
 TRIALS = f"{VIEWS}, tr AS (SELECT *, (row_number() OVER (PARTITION BY subject ORDER BY ts, event_id) - 1)::BIGINT AS trial_idx FROM views)"
@@ -447,7 +447,7 @@ def semantic_vectors(spark, d):
     return X.semantic_vectors(topk, vocab, ["item_id"]).select("item_id", F.posexplode("vector").alias("p", "v"))
 
 
-@query("pack_targets", f"WITH {RESP} SELECT subject, target // 4 AS target_block, item_id, sum(value) AS s, count(*)::INT AS w FROM resp GROUP BY ALL", "s")
+@query("pack_targets", f"WITH {ALL_RESP} SELECT subject, target // 4 AS target_block, item_id, sum(value) AS s, count(*)::INT AS w FROM resp GROUP BY ALL", "s")
 def pack_targets(spark, d):
-    p = X.pack_targets(responses(spark, d), ["subject"], "item_id", "target", "value", 4)
+    p = X.pack_targets(responses(spark, d, N_ALL_SUBJECTS), ["subject"], "item_id", "target", "value", 4)
     return p.select("subject", "target_block", "item_id", F.aggregate("y", F.lit(0.0), lambda s, x: s + x).alias("s"), F.size("y").alias("w"))
