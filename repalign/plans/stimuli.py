@@ -210,9 +210,8 @@ def roi_by_name(spark, d):
     p = table(spark, d, "part").select(F.col("p_brand").alias("roi"), F.col("p_type").alias("name"), F.col("p_partkey").cast("int").alias("label"))
     s = p.select("roi", "name").distinct().groupBy("roi").agg(F.sort_array(F.collect_set("name")).alias("names"))
     s = s.withColumn("atlas", F.col("roi")).withColumn("hemi", F.lit("lh"))
-    labels = Z.region_labels(s, p.select("name", "label"))
     target = p.select(F.col("roi").alias("atlas"), F.lit("lh").alias("hemi"), "label", F.col("label").alias("target_id"))
-    hit = Z.region_targets(target, labels)
+    hit = Z.named_targets(target, s, p.select("name", "label"))
     named = p.select(F.col("label").alias("target_id"), "name")
     return hit.join(named, "target_id").groupBy("roi", "name").agg(F.count(F.lit(1)).alias("n"))
 
