@@ -3,6 +3,8 @@
 import pytest
 
 from repalign.operators import inference as I
+from repalign.plans import catalog
+from repalign.plans import inference as plans
 
 
 def frame(spark):
@@ -31,3 +33,11 @@ def test_no_draw_is_shuffled(spark):
     plan = I._values_drawn(df, ["g"], "v", 13, 42)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
     assert "RepartitionByExpression" not in plan[:plan.index("explode(sequence")]  # nothing above the draws
+
+
+def test_the_mean_takes_the_draws_of_the_reference(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(I, "bootstrap_ci", lambda df, *args: seen.append(args) or df)
+    plans.bootstrap_ci_mean(spark, "/root/testdata/sf0.001")
+    assert seen == [(["event_type"], "event_id", "value", 10_000)]
+    assert "range(10000)" in catalog.ORACLE["bootstrap_ci_mean"]
