@@ -12,9 +12,11 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .graph import connected_components
 from .storage import kept, shuffle_parts
-from .tiles import dealt, spread_in_tiles, tiles_of
+from .tiles import dealt, tiles_of
 
-PART_ROWS = 1_500
+# Rows of either side of a tile: few where the table is small, so that all tasks get some, and more where it is large.
+LEAST_ROWS, PART_ROWS = 1_500, 8_192
+STRIP = 512  # rows compared at a time with the other side of their tile
 _GROUP = ["label", "dim", "block", "x", "y"]
 
 
@@ -84,36 +86,56 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _spread(cells: DataFrame, part_rows: int) -> DataFrame:
+    """Add (tile_i, tile_j, left, right): each row at home in a cell meets every other row of that cell in one tile.
+
+    Tile (i, j) compares part i of the rows at home, its left side, with part j of all rows, its right side. So the rows
+    of cells around, four of five, go to the parts of those at home only, and never meet each other.
+    """
+    count = lambda rows: F.ceil(rows / F.lit(float(part_rows))).cast("int")
+    sizes = cells.groupBy(*_GROUP).agg(count(F.count_if("home")).alias("lefts"), count(F.count(F.lit(1))).alias("rights")).where("lefts > 0")
+    many = sizes.where("rights > 1")
+    alone = F.struct(F.lit(0).alias("tile_i"), F.lit(0).alias("tile_j"))
+    own_i, own_j = (F.pmod(F.xxhash64(F.lit(7), "key"), F.col(n)).cast("int") for n in ("lefts", "rights"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(F.col("own_i").alias("tile_i"), j.alias("tile_j")))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("tile_i"), F.col("own_j").alias("tile_j")))
+    tiles = F.when(F.col("rights").isNull(), F.array(alone)).when(F.col("home"), F.array_union(as_left, as_right)).otherwise(as_right)
+    placed = cells.join(many, _GROUP, "left").withColumn("own_i", F.coalesce(own_i, F.lit(0))).withColumn("own_j", F.coalesce(own_j, F.lit(0)))
+    return (placed.withColumn("tile", F.explode(tiles)).withColumn("left", F.col("home") & (F.col("tile.tile_i") == F.col("own_i")))
+            .withColumn("right", F.col("tile.tile_j") == F.col("own_j")).select(*cells.columns, "tile.tile_i", "tile.tile_j", "left", "right"))
+
+
 def _links(blocks: int, threshold: float, seed: int, kind: type):
     """Tiles -> kind 0: (key, links to copies of other vectors); kind 1: edges (a, b) that connect what links connect.
 
-    A pair counts in the first block whose allowance it keeps, in the cell of one of the two.
+    A pair counts in the first block whose allowance it keeps, in the cell of one of the two, and of two rows at home
+    in the tile where the smaller key is on the left.
     """
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in tiles_of(batches, _GROUP):
-            key, copies, part, home = (tile[c].to_numpy() for c in ("key", "copies", "part", "home"))
+            key, copies, home, left, right = (tile[c].to_numpy() for c in ("key", "copies", "home", "left", "right"))
             dim, block = tile["dim"][0].as_py(), tile["block"][0].as_py()
             cuts = _cuts(dim, blocks)
             near = [_allowance(dim, c, threshold) for c in cuts]
-            across = tile["tile_i"][0].as_py() != tile["tile_j"][0].as_py()
-            if len(key) < 2 or not home.any():
+            lefts, rights = np.flatnonzero(left), np.flatnonzero(right)
+            if not len(lefts) or not len(rights):
                 continue
             v = _rotated(_matrix(tile["v"].combine_chunks(), dim, kind), seed)
             low, high = cuts[block]
             part_v = v[:, low:high]
             length = (part_v * part_v).sum(axis=1)
-            a_all, b_all = [], []
-            for s in range(0, len(key), 512):
-                far = length[s:s + 512, None] + length[None, :] - 2 * part_v[s:s + 512] @ part_v.T
+            other_v, other_length, other_key = part_v[rights], length[rights], np.where(home[rights], key[rights], np.iinfo(np.int64).max)
+            degrees, roots = np.zeros(len(key)), np.arange(len(key))
+            for s in range(0, len(lefts), STRIP):
+                own = lefts[s:s + STRIP]
+                far = length[own, None] + other_length - 2 * part_v[own] @ other_v.T
                 may = far <= near[block] + 1e-9
-                may &= home[s:s + 512, None] | home[None, :]
-                may &= np.arange(s, min(s + 512, len(key)))[:, None] < np.arange(len(key))[None, :]
-                if across:
-                    may &= part[s:s + 512, None] != part[None, :]
+                may &= key[own, None] < other_key
                 a, b = np.nonzero(may)
-                a += s
+                a, b = own[a], rights[b]
+                found = []
                 for k in range(0, len(a), 200_000):
                     i, j = a[k:k + 200_000], b[k:k + 200_000]
                     first = np.ones(len(i), bool)
@@ -123,16 +145,17 @@ def _links(blocks: int, threshold: float, seed: int, kind: type):
                         first &= close if other == block else ~close
                     i, j = i[first], j[first]
                     real = (v[i] * v[j]).sum(axis=1) >= threshold
-                    a_all.append(i[real])
-                    b_all.append(j[real])
-            if not sum(map(len, a_all)):
-                continue
-            a, b = np.concatenate(a_all), np.concatenate(b_all)
-            degrees = np.bincount(a, copies[b], len(key)) + np.bincount(b, copies[a], len(key))
-            roots = _roots(a, b, len(key))
+                    found.append((i[real], j[real]))
+                if not sum(len(i) for i, _ in found):
+                    continue
+                a, b = (np.concatenate(side) for side in zip(*found))
+                degrees += np.bincount(a, copies[b], len(key)) + np.bincount(b, copies[a], len(key))
+                moved = np.flatnonzero(roots != np.arange(len(key)))
+                roots = _roots(np.concatenate([a, moved]), np.concatenate([b, roots[moved]]), len(key))
             some, moved = np.flatnonzero(degrees), np.flatnonzero(roots != np.arange(len(key)))
-            yield pa.record_batch([pa.array([0] * len(some) + [1] * len(moved), pa.int32()), pa.array(np.concatenate([key[some], key[moved]])),
-                                   pa.array(np.concatenate([degrees[some].astype(np.int64), key[roots[moved]]]))], schema=schema)
+            if len(some):
+                yield pa.record_batch([pa.array([0] * len(some) + [1] * len(moved), pa.int32()), pa.array(np.concatenate([key[some], key[moved]])),
+                                       pa.array(np.concatenate([degrees[some].astype(np.int64), key[roots[moved]]]))], schema=schema)
 
     return run
 
@@ -174,7 +197,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     columns = "key long, label long, dim int, copies long, v binary"
     nodes = classes.select("key", "embedding", "label", "copies").mapInArrow(packed, columns)
     cells = nodes.mapInArrow(_cells(blocks, threshold, seed, kind), columns + ", block int, x int, y int, home boolean")
-    tiles = dealt(spread_in_tiles(cells, _GROUP, "key", F.lit(1), PART_ROWS), _GROUP, parts)
+    part_rows = min(PART_ROWS, max(LEAST_ROWS, 5 * blocks * classes.count() // (4 * parts)))
+    tiles = dealt(_spread(cells, part_rows), _GROUP, parts)
     links = kept(tiles.mapInArrow(_links(blocks, threshold, seed, kind), "kind int, a long, b long"), "links")
 
     degrees = links.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("others"))
