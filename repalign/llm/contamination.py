@@ -18,7 +18,7 @@ Q = 8
 FILTER_BITS = 22
 WINDOW = 1 << 14
 _GAP = re.compile(r"[\W_]+")
-_STEPS = mix(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)
+_STEPS = [(1 << k, step) for k, step in enumerate(mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1))]  # 2, 4 and Q characters
 MATCHES = "array<struct<item_id:long,edits:int,start:int>>"
 
 
@@ -44,10 +44,12 @@ def plain_codes(text: str | None) -> np.ndarray:
 def _grams(codes: np.ndarray) -> np.ndarray:
     if len(codes) < Q:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(codes) - Q + 1, np.uint64)
-    for k in range(Q):
-        total += codes[k:len(codes) - Q + 1 + k] * _STEPS[k]
-    return mix(total)
+    out = codes.astype(np.uint64)
+    for reach, step in _STEPS:
+        longer = out[:-reach] * step
+        longer += out[reach:]
+        out = longer
+    return mix(out)
 
 
 def budget(length: int, rate: float) -> int:
@@ -62,6 +64,8 @@ class Index:
     ids: np.ndarray
     codes: list[np.ndarray]
     edits: np.ndarray
+    least: np.ndarray  # q-grams that an occurrence shares with the item
+    overlap: int
     hashes: np.ndarray
     starts: np.ndarray
     item: np.ndarray
@@ -83,7 +87,9 @@ def build(items: list[tuple[int, str]], rate: float) -> Index | None:
     hashes, starts = np.unique(flat[order], return_index=True)
     marks = np.zeros(1 << FILTER_BITS, bool)
     marks[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array([i for i, _ in items]), codes, np.array([budget(len(c), rate) for c in codes]), hashes,
+    lengths, edits = np.array([len(c) for c in codes]), np.array([budget(len(c), rate) for c in codes])
+    overlap = 2 * int(lengths.max()) + 8 * int(edits.max() + 1)  # of windows of a text, so that one of them holds an occurrence
+    return Index(np.array([i for i, _ in items]), codes, edits, lengths - Q + 1 - Q * edits, overlap, hashes,
                  np.append(starts, len(flat)), item[order].astype(np.int64), place[order].astype(np.int64), marks)
 
 
@@ -93,7 +99,7 @@ def _bands(grams: np.ndarray, offset: int, index: Index) -> list[tuple[int, int]
     An occurrence within e edits shares at least length - Q + 1 - Q e q-grams with its item, on
     diagonals at most e apart, hence inside one of the bands, which overlap by half.
     """
-    at = np.flatnonzero(index.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+    at = np.flatnonzero(index.filter.take((grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
     if not len(at):
         return []
     spot = np.searchsorted(index.hashes, grams[at])
@@ -106,7 +112,12 @@ def _bands(grams: np.ndarray, offset: int, index: Index) -> list[tuple[int, int]
     ends = np.cumsum(sizes)
     pick = np.arange(ends[-1]) + np.repeat(index.starts[spot] - (ends - sizes), sizes)
     item = index.item[pick]
-    diagonal = np.repeat(at + offset, sizes) - index.place[pick]
+    enough = np.bincount(item, minlength=len(index.least)) >= index.least  # else no band of the item can have them
+    kept = np.flatnonzero(enough[item])
+    if not len(kept):
+        return []
+    item = item[kept]
+    diagonal = np.repeat(at + offset, sizes)[kept] - index.place[pick[kept]]
     step = index.edits[item] + 1
     band = np.floor_divide(diagonal, step)
     names, counts = np.unique(item << np.int64(40) | (band + (1 << 39)), return_counts=True)
@@ -115,12 +126,10 @@ def _bands(grams: np.ndarray, offset: int, index: Index) -> list[tuple[int, int]
     after[follows] = counts[follows + 1]
     before = np.ones(len(names), bool)
     before[follows + 1] = False  # the band that begins one earlier holds these too
-    lengths = np.array([len(c) for c in index.codes])
     item = names >> 40
-    least = lengths[item] - Q + 1 - Q * index.edits[item]
     first = (names & ((1 << 40) - 1)) - (1 << 39)
     step = index.edits[item] + 1
-    hit = counts + after >= least
+    hit = counts + after >= index.least[item]
     return [(int(i), int(b * s)) for i, b, s in zip(item[hit], first[hit], step[hit])]
 
 
@@ -128,38 +137,43 @@ def _aligned(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[
     """(least edits, end in the text) of each (item, text, first diagonal, edits) inside its band, all at once.
 
     Row by row of the items; a cell (i, k) stands for text position i + k + low. The text may
-    begin and end anywhere in the band.
+    begin and end anywhere in the band. Items that have used up their edits are not followed to their end.
     """
     wide = max(4 * (e + 1) for *_, e in jobs)
     low = np.array([d - e for _, _, d, e in jobs])
     longest = max(len(i) for i, *_ in jobs)
-    items = np.zeros((len(jobs), longest), np.int64)
-    texts = np.full((len(jobs), longest + wide + 1), -1, np.int64)
+    items = np.zeros((len(jobs), longest), np.int32)
+    texts = np.full((len(jobs), longest + wide + 1), -1, np.int32)
     for n, (item, text, _, _) in enumerate(jobs):
         items[n, :len(item)] = item
         a, b = max(0, low[n]), min(len(text), low[n] + longest + wide + 1)
         if b > a:
             texts[n, a - low[n]:b - low[n]] = text[a:b]
-    lengths = np.array([len(i) for i, *_ in jobs])
-    slide = np.arange(wide)
-    now = np.zeros((len(jobs), wide), np.int64)
+    lengths, edits = np.array([len(i) for i, *_ in jobs]), np.array([e for *_, e in jobs])
+    alive = np.arange(len(jobs))
+    slide = np.arange(wide, dtype=np.int32)
+    now = np.zeros((len(jobs), wide), np.int32)
     out: list[tuple[int, int]] = [(1 << 30, 0)] * len(jobs)
     for i in range(1, longest + 1):
+        if i % 32 == 0:  # the least of a row never falls from row to row
+            near = (now.min(axis=1) <= edits[alive]) & (lengths[alive] >= i)
+            alive, now, texts, items = (x[near] for x in (alive, now, texts, items))
+            if not len(alive):
+                break
         new = now + (texts[:, i - 1:i - 1 + wide] != items[:, i - 1:i])
         new[:, :-1] = np.minimum(new[:, :-1], now[:, 1:] + 1)
         now = np.minimum.accumulate(new - slide, axis=1) + slide
-        for n in np.flatnonzero(lengths == i):
-            k = int(np.argmin(now[n]))
-            out[n] = int(now[n, k]), int(low[n] + i + k)
+        for row in np.flatnonzero(lengths[alive] == i):
+            k, n = int(np.argmin(now[row])), alive[row]
+            out[n] = int(now[row, k]), int(low[n] + i + k)
     return out
 
 
 def _search(codes: np.ndarray, index: Index) -> list[tuple[int, int]]:
     grams = _grams(codes)
-    overlap = max(len(c) for c in index.codes) * 2 + 8 * int(index.edits.max() + 1)
     found: set[tuple[int, int]] = set()
     for a in range(0, max(1, len(grams)), WINDOW):
-        found.update(_bands(grams[a:a + WINDOW + overlap], a, index))
+        found.update(_bands(grams[a:a + WINDOW + index.overlap], a, index))
     return sorted(found)
 
 
@@ -173,8 +187,10 @@ def _matches(texts: pd.Series, index: Index) -> list[list[dict]]:
             jobs.append((index.codes[item], codes, diagonal, int(index.edits[item])))
             whose.append((n, item))
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    order = sorted(range(len(jobs)), key=lambda n: len(jobs[n][0]))  # items of about one length at a time
     for k in range(0, len(jobs), 256):
-        for (n, item), (edits, end) in zip(whose[k:k + 256], _aligned(jobs[k:k + 256])):
+        some = order[k:k + 256]
+        for (n, item), (edits, end) in zip([whose[n] for n in some], _aligned([jobs[n] for n in some])):
             if edits <= index.edits[item]:
                 best[n, item] = min(best.get((n, item), (1 << 30, 0)), (edits, max(0, end - len(index.codes[item]))))
     for (n, item), (edits, start) in sorted(best.items()):
