@@ -94,13 +94,13 @@ def _spread(cells: DataFrame, part_rows: int) -> DataFrame:
     """
     count = lambda rows: F.ceil(rows / F.lit(float(part_rows))).cast("int")
     sizes = cells.groupBy(*_GROUP).agg(count(F.count_if("home")).alias("lefts"), count(F.count(F.lit(1))).alias("rights")).where("lefts > 0")
-    many = sizes.where("rights > 1")
+    many = sizes.where("rights > 1")  # few: each has more than part_rows rows
     alone = F.struct(F.lit(0).alias("tile_i"), F.lit(0).alias("tile_j"))
     own_i, own_j = (F.pmod(F.xxhash64(F.lit(7), "key"), F.col(n)).cast("int") for n in ("lefts", "rights"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(F.col("own_i").alias("tile_i"), j.alias("tile_j")))
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("tile_i"), F.col("own_j").alias("tile_j")))
     tiles = F.when(F.col("rights").isNull(), F.array(alone)).when(F.col("home"), F.array_union(as_left, as_right)).otherwise(as_right)
-    placed = cells.join(many, _GROUP, "left").withColumn("own_i", F.coalesce(own_i, F.lit(0))).withColumn("own_j", F.coalesce(own_j, F.lit(0)))
+    placed = cells.join(F.broadcast(many), _GROUP, "left").withColumn("own_i", F.coalesce(own_i, F.lit(0))).withColumn("own_j", F.coalesce(own_j, F.lit(0)))
     return (placed.withColumn("tile", F.explode(tiles)).withColumn("left", F.col("home") & (F.col("tile.tile_i") == F.col("own_i")))
             .withColumn("right", F.col("tile.tile_j") == F.col("own_j")).select(*cells.columns, "tile.tile_i", "tile.tile_j", "left", "right"))
 
